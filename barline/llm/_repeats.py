@@ -35,7 +35,7 @@ from barline.llm._text import hashes, inverse_powers, mix, pieces, powers, runs,
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 22, 128  # bytes of text behind a bucket; fewest buckets
 HOT = 512  # different segments of one anchor beyond which its windows are dealt out one by one
 SELF = 128  # added to a segment's number of windows if its anchor occurs in it more than once
-HELD = 1 << 21  # segments that a task holds before it sends them
+HELD = 1 << 19  # segments that a task holds before it sends them
 _TOP = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F)
 _KINDS = {"doc": np.int64, "tie": np.int32, "start": np.int64, "n": np.uint8, "anchor": np.uint64, "content": np.uint64}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import maxscore, packing, quality, rlz, sharding, suffix_array, toxicity, webp
+from barline.llm import lsh_forest, maxscore, packing, quality, rlz, sharding, suffix_array, toxicity, webp
 from barline.llm._sample import fold
 from barline.llm._spark import table
 
@@ -35,6 +35,11 @@ def op4_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webp.text_media(table(spark, sf_dir, "documents"))
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsh_forest.components(table(spark, sf_dir, "documents"), shingle=3, similarity=(85, 100))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op6_jump_sharding, op8_quality, op9_maxscore, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op5_lsh_forest, op6_jump_sharding, op8_quality, op9_maxscore, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import packing, quality, suffix_array, toxicity
+from barline.llm import lsh_forest, packing, quality, suffix_array, toxicity
 from barline.llm._spark import shared, table
 
 #: Documents leave below this probability of good quality, and from this probability of being toxic.
@@ -37,8 +37,6 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates on five-word shingles at 0.8."""
-    from barline.llm import lsh_forest
-
     kept = lsh_forest.components(docs, shingle=5, similarity=(80, 100)).where("doc_id = component_id")
     return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 

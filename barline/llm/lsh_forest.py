@@ -4,8 +4,8 @@ A set's signature has TREES * WIDE slots by one-permutation MinHash; empty slots
 of the forest is a sorted order of WIDE slots of its own. In a tree, sets with a common prefix of at least `depth` slots
 are a region; where a region would be far too full by the counts of a bounded sketch, its depth grows. In a region each
 set has two kinds of candidates, so their number is linear in the region's size: its neighbours in the sorted order, which
-share the longest prefixes, and the hub of each prefix length, the set whose slots are the most common ones. (Copies with
-edits of their own resemble their original more than each other; the hub is that original.)
+share the longest prefixes, and the hubs of each prefix length, the few sets whose slots are the most common ones. (Copies
+with edits of their own resemble their original, and those with few edits, more than each other; these are the hubs.)
 
 Sets that are equal are collapsed first. Candidates are confirmed in two rounds: each set's best ones, then, of the rest, those
 whose sets are not in one component yet.
@@ -29,7 +29,8 @@ TREES, WIDE = 16, 8
 SLOTS = TREES * WIDE
 NEAR = 3  # neighbours on one side in a sorted order
 LEVELS = (0, 2, 4)  # prefix lengths beyond the depth that have hubs
-CELLS = 4096  # counters of the sketch for each slot
+HUBS = 16  # hubs of a prefix; where a region has no more sets, every pair in it is a candidate
+CELLS = 1024  # counters of the sketch for each slot
 FULL = 1 << 15  # sets of a region beyond which it grows deeper
 BUCKET_SETS = 4096  # sets behind a bucket of regions
 
@@ -163,9 +164,12 @@ def _candidates(table: pa.Table, depth: int, share: float) -> pa.Table:
         if not n:
             break
         best = np.lexsort((doc, -score, group))
-        hub = best[np.flatnonzero(np.concatenate(([True], group[best][1:] != group[best][:-1])))][group]
-        at = np.flatnonzero((hub != np.arange(n)) & (np.bincount(group)[group] > 1))
-        found.append((at, hub[at], np.full(len(at), WIDE + level)))
+        size_of, first = np.bincount(group), np.flatnonzero(edge)  # groups are stretches of the order, and of `best`
+        own = size_of[group]
+        for i in range(HUBS):
+            at = np.flatnonzero(own > i)
+            hub = best[first[group[at]] + i]
+            found.append((at[hub != at], hub[hub != at], np.full((hub != at).sum(), WIDE + 1 + 32 * level + HUBS - i)))
     a, b, rank = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in zip(*found, strict=True))
     fits = (doc[a] != doc[b]) & (np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b]) - 1e-9)
     a, b, rank = doc[a[fits]], doc[b[fits]], rank[fits]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import lsh_forest, maxscore, packing, quality, rlz, sharding, suffix_array, toxicity, webp
+from barline.llm import dropout_bpe, lsh_forest, maxscore, packing, quality, rlz, sharding, suffix_array, toxicity, webp
 from barline.llm._sample import fold
 from barline.llm._spark import table
 
@@ -44,6 +44,10 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropout_bpe.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score, spark, sf_dir, 5, 0)
 
@@ -58,6 +62,6 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op5_lsh_forest, op6_jump_sharding, op8_quality, op9_maxscore, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op5_lsh_forest, op6_jump_sharding, op7_merge_dropout, op8_quality, op9_maxscore, op10_suffix_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

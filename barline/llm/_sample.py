@@ -13,11 +13,13 @@ def fold(id_column: str, folds: int) -> Column:
 
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and 0/1 labels of the `rows` learnable rows whose ids hash lowest, of texts up to `chars` characters.
+    """Texts and 0/1 labels of the `rows` learnable rows whose ids hash lowest, without those of more than `chars` characters.
 
-    The two bounds keep what reaches the driver below rows * chars characters at any size of the corpus.
+    The two bounds keep what reaches the driver below rows * chars characters at any size of the corpus. Ids are chosen before
+    any text is moved, so the broadcast holds `rows` ids at most. Of rows that share an id the least text counts.
     """
-    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    chosen = documents.where(learn & (F.length("text") <= chars)).join(marks, "doc_id")
-    got = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(rows).select("text", "_label").toPandas()
+    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label")).where(learn)
+    chosen = marks.join(documents.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    texts = documents.where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
+    got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_label").alias("_label")).toPandas().sort_values("doc_id")
     return got["text"].tolist(), got["_label"].to_numpy(np.int64)

@@ -218,19 +218,21 @@ def fit(restorer: Restorer, texts: list[str], labels: np.ndarray, strength: floa
     if len(set(labels.tolist())) < 2:
         return model
     column = pa.array(texts, pa.string())
-    seen = []
+    seen = []  # small parts, so that the driver never holds one wide array of all features
     for row, _, data, offsets in pieces(restorer.restore(column)):
         owner, bucket = features(data, offsets)
-        seen.append(np.unique((row + owner) * BUCKETS + bucket))
-    pairs = np.concatenate(seen)
-    owner, bucket = pairs // BUCKETS, pairs % BUCKETS
+        pairs = np.unique(owner * BUCKETS + bucket)
+        seen.append(((row + pairs // BUCKETS).astype(np.int32), (pairs % BUCKETS).astype(np.int32)))
     part = np.arange(len(labels)) % 2  # weights from one half are judged on the other, so that the regression sees honest ones
 
     def weigh(which: np.ndarray) -> np.ndarray:
         n1, n0 = labels[which].sum(), (1 - labels[which]).sum()
-        here = which[owner]
-        toxic = np.bincount(bucket[here], labels[owner[here]], BUCKETS)
-        other = np.bincount(bucket[here], 1 - labels[owner[here]], BUCKETS)
+        toxic, other = np.zeros(BUCKETS), np.zeros(BUCKETS)
+        for owner, bucket in seen:
+            here = which[owner]
+            marked = labels[owner[here]] == 1
+            toxic += np.bincount(bucket[here][marked], minlength=BUCKETS)
+            other += np.bincount(bucket[here][~marked], minlength=BUCKETS)
         odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((other + 0.5) / (n0 + 1))
         sure = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5))  # in standard errors
         return np.where((sure > strength) & (odds > 1), odds, 0.0)
@@ -249,7 +251,7 @@ def fit(restorer: Restorer, texts: list[str], labels: np.ndarray, strength: floa
     return model
 
 
-def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 8000, chars: int = 20_000, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 6000, chars: int = 20_000, label: str = "toxic", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and score, the probability of label 1 of every whole restored text.
 
     The letter model counts all documents. `learn` says which labelled rows may be learned from: at most `rows` texts of at
@@ -260,7 +262,9 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 80
     texts = ids(documents, id_column, text_column)
     restorer = Restorer.of(trigram_counts(texts))
     sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
-    model = documents.sparkSession.sparkContext.broadcast(fit(restorer, *sample))
+    fitted = fit(restorer, *sample)
+    restorer.kept.clear()  # tasks keep their own
+    model = documents.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

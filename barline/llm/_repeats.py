@@ -131,6 +131,8 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, unit: str, length: in
             return
         all_ = {x: np.concatenate([h[x] for h in held]) for x in _KINDS}
         held.clear()
+        if not len(all_["doc"]):  # texts without a whole window
+            return
         order = np.lexsort((all_["start"], all_["doc"], all_["content"], all_["anchor"]))
         all_ = {x: v[order] for x, v in all_.items()}
         same = np.concatenate(([False], (all_["content"][1:] == all_["content"][:-1]) & (all_["anchor"][1:] == all_["anchor"][:-1])))
@@ -197,7 +199,7 @@ def _texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
     codec = pa.Codec("zstd", 1)
     for batch in batches:
         doc, tie = (batch[x].to_numpy(zero_copy_only=False) for x in ("doc_id", "tie"))
-        for row, end, data, offsets in pieces(batch["text"], 1 << 24):
+        for row, end, data, offsets in pieces(batch["text"], 1 << 23):
             here = bucket_of(doc[row:end], buckets)
             order = np.argsort(here, kind="stable")
             edges = np.flatnonzero(np.concatenate(([True], np.diff(here[order]) != 0)))
@@ -210,6 +212,7 @@ def _texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
 
 def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, tie, bytes and offsets of packed texts."""
+    pa.default_memory_pool().release_unused()  # what the groups before have left
     codec = pa.Codec("zstd")
     read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     raw = b"".join(codec.decompress(b, n, asbytes=True) if n else b"" for b, n in zip(table["bytes"].to_pylist(), table["n_bytes"].to_pylist(), strict=True))
@@ -323,8 +326,8 @@ def _remove(texts: pa.Table, repeated: pa.Table, unit: str, length: int) -> pa.T
         begin = places[row] + got["start"][entry]
         np.add.at(mark, begin, 1)
         np.add.at(mark, begin + got["n"][entry] - 1 + length, -1)
-    gone = np.cumsum(mark)[:-1] > 0
-    row_of = np.repeat(np.arange(len(doc)), np.diff(places))
+    gone = np.cumsum(mark, dtype=np.int32)[:-1] > 0
+    row_of = np.repeat(np.arange(len(doc), dtype=np.int32), np.diff(places))
     lead = gone & ~(np.concatenate(([False], gone[:-1])) & np.concatenate(([False], row_of[1:] == row_of[:-1])) if len(gone) else gone)
     tail = gone & ~(np.concatenate((gone[1:], [False])) & np.concatenate((row_of[1:] == row_of[:-1], [False])) if len(gone) else gone)
     a, b = np.flatnonzero(lead), np.flatnonzero(tail) + 1

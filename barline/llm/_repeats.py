@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm._spark import cut, ids
+from barline.llm._spark import cut, ids, tidied, tidy
 from barline.llm._text import hashes, inverse_powers, mix, pieces, powers, runs, words
 
 BUCKET_BYTES, LEAST_BUCKETS = 1 << 22, 128  # bytes of text behind a bucket; fewest buckets
@@ -86,6 +86,17 @@ def span_hash(total: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mix((total[ends] - total[starts]) * inverse_powers(len(total), base)[starts] + (ends - starts).astype(np.uint64))
 
 
+def window_hashes(symbols: np.ndarray, begin: np.ndarray, n: np.ndarray, length: int) -> list[np.ndarray]:
+    """Two hashes of each of the n[i] windows from begin[i] on, of every i, end to end. Works on a part at a time, so that memory stays small."""
+    size = n - 1 + length
+    found: list[list[np.ndarray]] = [[] for _ in _BASES]
+    for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(size) >> 18)) + 1):
+        taken, at = symbols[ragged(begin[own], size[own])], ragged(np.cumsum(size[own]) - size[own], n[own])
+        for out, base in zip(found, _BASES, strict=True):
+            out.append(span_hash(prefix(taken, base), at, at + length, base))
+    return [np.concatenate(f) for f in found]
+
+
 def segments(symbols: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """row, start (in the row), n (windows; with SELF added if some may be equal to each other), anchor and content hash of every segment of texts laid end to end."""
     w = length - gram + 1
@@ -156,8 +167,10 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int, unit: str, length: in
         if sum(len(h["doc"]) for h in held) > HELD:
             yield from flush()
     yield from flush()
+    tidy()
 
 
+@tidied
 def _gather(table: pa.Table, buckets: int, hot: int) -> pa.Table:
     """Step 1, for the anchors of a bucket: repeated segments, and those that are to be compared."""
     kind = table["kind"].to_numpy()
@@ -208,11 +221,11 @@ def _texts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
                 raw = data[ragged(offsets[own], offsets[own + 1] - offsets[own])].tobytes()
                 rows.append((here[own[0]], doc[row + own].tobytes(), tie[row + own].tobytes(), (offsets[own + 1] - offsets[own]).tobytes(), codec.compress(raw, asbytes=True), len(raw)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _TEXTS.types, strict=True)], schema=_TEXTS)
+    tidy()
 
 
 def _opened(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """doc, tie, bytes and offsets of packed texts."""
-    pa.default_memory_pool().release_unused()  # what the groups before have left
     codec = pa.Codec("zstd")
     read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
     raw = b"".join(codec.decompress(b, n, asbytes=True) if n else b"" for b, n in zip(table["bytes"].to_pylist(), table["n_bytes"].to_pylist(), strict=True))
@@ -229,6 +242,7 @@ def _rows_of(doc: np.ndarray, tie: np.ndarray, of: dict[str, np.ndarray]) -> tup
     return np.repeat(np.arange(len(entry)), count[entry]), order[ragged(begin[entry], count[entry])]
 
 
+@tidied
 def _compare_input(texts: pa.Table, wanted: pa.Table, buckets: int, unit: str, length: int) -> pa.Table:
     """Step 2, in the task that holds the texts: symbols of the segments that are to be compared, dealt out by anchor; windows by their hashes."""
     out: list[pa.RecordBatch] = []
@@ -255,9 +269,8 @@ def _compare_input(texts: pa.Table, wanted: pa.Table, buckets: int, unit: str, l
             cuts = np.concatenate(([0], edges[last - 1]))
             held = pa.array([taken[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
         else:
-            at = ragged(begin, n)
             names = {x: np.repeat(v, n) for x, v in names.items()} | {"start": ragged(got["start"], n)}
-            pair = [span_hash(prefix(symbols, b), at, at + length, b) for b in _BASES]
+            pair = window_hashes(symbols, begin, n, length)
             order = np.lexsort((names["start"], names["doc"], pair[1], pair[0]))
             names, pair = {x: v[order] for x, v in names.items()}, [p[order] for p in pair]
             again = _not_first(names, np.cumsum(np.concatenate(([True], (pair[0][1:] != pair[0][:-1]) | (pair[1][1:] != pair[1][:-1])))))
@@ -284,6 +297,7 @@ def _not_first(names: dict[str, np.ndarray], group: np.ndarray) -> np.ndarray:
     return ~edge & ((names["doc"] != names["doc"][lead]) | (names["start"] != names["start"][lead]))
 
 
+@tidied
 def _compare(table: pa.Table, buckets: int, unit: str, length: int, method: Callable) -> pa.Table:
     """Step 2, for the anchors of a bucket: windows that are repeated, found by `method`."""
     found: list[dict[str, np.ndarray]] = []
@@ -311,6 +325,7 @@ def _compare(table: pa.Table, buckets: int, unit: str, length: int, method: Call
     return pa.Table.from_batches([packed(bucket_of(all_["doc"], buckets), all_, REPEATED)], _SENT)
 
 
+@tidied
 def _remove(texts: pa.Table, repeated: pa.Table, unit: str, length: int) -> pa.Table:
     """Step 3: each text's spans and what is left of it."""
     doc, tie, data, offsets = _opened(texts)

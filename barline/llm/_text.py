@@ -15,15 +15,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
 _POWERS: dict[int, np.ndarray] = {}
+_KEPT = 1 << 20  # entries of a table of powers that a worker keeps
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the table is kept and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64; tables of up to _KEPT entries are kept and grown by doubling."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        steps = np.full(max(1 << 16, 1 << (n - 1).bit_length()), base, np.uint64)
+        steps = np.full(n if n > _KEPT else max(1 << 16, 1 << (n - 1).bit_length()), base, np.uint64)
         steps[0] = 1
-        have = _POWERS[base] = np.multiply.accumulate(steps)
+        have = np.multiply.accumulate(steps)
+        if n <= _KEPT:
+            _POWERS[base] = have
     return have[:n]
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm._sample import labelled
-from barline.llm._spark import ids
+from barline.llm._spark import ids, tidy
 from barline.llm._text import hashes, pieces
 
 LETTERS = 27  # a to z, and 0 for everything else
@@ -263,7 +263,9 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 60
     restorer = Restorer.of(trigram_counts(texts))
     sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
     fitted = fit(restorer, *sample)
+    del sample
     restorer.kept.clear()  # tasks keep their own
+    tidy()  # the driver lives on, too
     model = documents.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

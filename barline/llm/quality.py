@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm._sample import labelled
-from barline.llm._spark import ids, tidy
+from barline.llm._sample import fitted, labelled
+from barline.llm._spark import ids
 from barline.llm._text import hashes, lower, mix, pieces
 
 ROWS, SHAPES, WIDTH, HIDDEN = 1 << 15, 128, 32, 24
@@ -157,9 +157,8 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 40
     usable labels every score is 0.5. An empty table gives no rows; further columns are not read.
     """
     texts = ids(documents, id_column, text_column)
-    fitted = fit(*labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars))
-    tidy()  # the driver lives on
-    model = documents.sparkSession.sparkContext.broadcast(fitted)
+    sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
+    model = documents.sparkSession.sparkContext.broadcast(fitted(sample, fit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,8 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm._sample import labelled
-from barline.llm._spark import ids, tidy
+from barline.llm._sample import fitted, labelled
+from barline.llm._spark import ids
 from barline.llm._text import hashes, pieces
 
 LETTERS = 27  # a to z, and 0 for everything else
@@ -71,9 +71,9 @@ def trigram_counts(documents: DataFrame) -> np.ndarray:
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
-    got = documents.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = documents.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(LETTERS**3)
-    out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out.reshape(LETTERS, LETTERS, LETTERS)
 
 
@@ -218,7 +218,7 @@ def fit(restorer: Restorer, texts: list[str], labels: np.ndarray, strength: floa
     if len(set(labels.tolist())) < 2:
         return model
     column = pa.array(texts, pa.string())
-    seen = []  # small parts, so that the driver never holds one wide array of all features
+    seen = []  # small parts, so that the task never holds one wide array of all features
     for row, _, data, offsets in pieces(restorer.restore(column)):
         owner, bucket = features(data, offsets)
         pairs = np.unique(owner * BUCKETS + bucket)
@@ -248,6 +248,7 @@ def fit(restorer: Restorer, texts: list[str], labels: np.ndarray, strength: floa
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         beta -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(5), x.T @ (p - labels) + 0.5 * beta)
     model.beta = beta
+    restorer.kept.clear()  # tasks keep their own
     return model
 
 
@@ -262,11 +263,7 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 60
     texts = ids(documents, id_column, text_column)
     restorer = Restorer.of(trigram_counts(texts))
     sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
-    fitted = fit(restorer, *sample)
-    del sample
-    restorer.kept.clear()  # tasks keep their own
-    tidy()  # the driver lives on, too
-    model = documents.sparkSession.sparkContext.broadcast(fitted)
+    model = documents.sparkSession.sparkContext.broadcast(fitted(sample, lambda got, marks: fit(restorer, got, marks)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -31,6 +31,24 @@ PIECE = 1 << 21  # bytes of text that are worked on at once
 _NEVER = np.iinfo(np.int32).max
 
 
+def _slot(key: np.ndarray, factor: int, size: int) -> np.ndarray:
+    return ((key.view(np.uint64) * np.uint64(factor)) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+
+def _tables(keys: np.ndarray, merges: dict[int, int]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(factor, keys, pieces) of hash tables without chains: what finds its slot taken goes to the next, smaller table."""
+    out, factor = [], 0x9E3779B97F4A7C15
+    while len(keys):
+        size = 1 << (8 * len(keys)).bit_length()
+        slot = _slot(keys, factor, size)
+        _, one = np.unique(slot, return_index=True)
+        held, merged = np.full(size, -1, np.int64), np.full(size, -1, np.int32)
+        held[slot[one]], merged[slot[one]] = keys[one], [merges[k] for k in keys[one].tolist()]
+        out.append((factor, held, merged))
+        keys, factor = np.delete(keys, one), mix(np.array([factor], np.uint64))[0].item() | 1
+    return out
+
+
 class Vocabulary:
     """Pieces, the merges that lead to them, and each piece's bytes."""
 
@@ -57,9 +75,8 @@ class Vocabulary:
         self.single[LITERAL] = -1
         rank = np.argsort(np.argsort([-model.get_score(i) for i in range(n)], kind="stable"), kind="stable")
         merges = {(known[t[:k]] << 32 | known[t[k:]]): i for t, i in known.items() for k in range(1, len(t)) if t[:k] in known and t[k:] in known}
-        self.keys = np.array(sorted(merges), np.int64)
-        self.merged = np.array([merges[k] for k in self.keys.tolist()], np.int64)
-        self.rank = rank.astype(np.int64)
+        self.tables = _tables(np.array(sorted(merges), np.int64), merges)
+        self.rank = rank.astype(np.int32)
         self.table = merges
         self.text = np.frombuffer(b"".join(raw), np.uint8)
         self.ends = np.cumsum([len(r) for r in raw])
@@ -67,9 +84,13 @@ class Vocabulary:
 
     def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece of each two neighbours, or -1."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.merged[at], -1)
+        key = a.astype(np.int64) << 32 | b
+        out = np.full(len(key), -1, np.int32)
+        for factor, keys, merged in self.tables:
+            slot = _slot(key, factor, len(keys))
+            out = np.where(keys[slot] == key, merged[slot], out)
+        out[(a < 0) | (b < 0)] = -1
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -115,9 +136,9 @@ def _agenda(v: Vocabulary, base: list[int], word: int, dropout: float) -> list[i
 
 def _merge(v: Vocabulary, base: np.ndarray, sizes: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of words laid end to end, and their number in each word."""
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    begin = np.arange(len(base)) - (np.cumsum(sizes) - sizes)[word]
-    piece, end = base.copy(), begin + 1
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    begin = (np.arange(len(base)) - (np.cumsum(sizes) - sizes)[word]).astype(np.int32)
+    piece, end = base.astype(np.int32), begin + 1
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def candidates(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,25 +153,23 @@ def _merge(v: Vocabulary, base: np.ndarray, sizes: np.ndarray, keys: np.ndarray,
     merged, rank = candidates(np.arange(len(piece)))
     while len(piece):
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        best = np.minimum.reduceat(rank, first)
-        group = np.cumsum(np.concatenate(([False], word[1:] != word[:-1])))
-        over = best[group] == _NEVER
-        if over.any():
+        best = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(piece))))
+        over = best == _NEVER
+        if 4 * np.count_nonzero(over) > len(over) or over.all():  # ended words leave together
             done.append((word[over], begin[over], piece[over]))
-            stay = ~over
-            word, begin, end, piece, merged, rank = word[stay], begin[stay], end[stay], piece[stay], merged[stay], rank[stay]
-            if not len(piece):
-                break
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            best, group = best[best != _NEVER], np.cumsum(np.concatenate(([False], word[1:] != word[:-1])))
-        hits = np.flatnonzero(rank == best[group])
+            word, begin, end, piece, merged, rank = (x[~over] for x in (word, begin, end, piece, merged, rank))
+            continue
+        hits = np.flatnonzero((rank == best) & ~over)
         at = hits[np.concatenate(([True], word[hits][1:] != word[hits][:-1]))]  # the leftmost
         piece[at], end[at] = merged[at], end[at + 1]
         stay = np.ones(len(piece), bool)
         stay[at + 1] = False
         moved = at - np.arange(len(at))
-        word, begin, end, piece, merged, rank = word[stay], begin[stay], end[stay], piece[stay], merged[stay], rank[stay]
-        again = np.unique(np.concatenate((moved, moved[(moved > 0) & (word[moved - 1] == word[moved])] - 1)))
+        word, begin, end, piece, merged, rank = (x[stay] for x in (word, begin, end, piece, merged, rank))
+        touched = np.zeros(len(piece), bool)
+        touched[moved] = True
+        touched[moved[(moved > 0) & (word[moved - 1] == word[moved])] - 1] = True
+        again = np.flatnonzero(touched)
         merged[again], rank[again] = candidates(again)
     if not done:
         return base[:0], np.zeros(len(sizes), np.int64)

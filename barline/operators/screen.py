@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,16 +108,90 @@ def conform(features: DataFrame, names: list[str], key: str = "code") -> DataFra
     return features.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) if c in features.columns else F.lit(0.0).alias(c) for c in names])
 
 
-def non_max_suppression(boxes: DataFrame, key: str, threshold: float = 0.4) -> DataFrame:
-    """Boxes (x1, y1, x2, y2, score) of each key that no better kept box overlaps by more than the threshold; areas count the last pixel."""
-    area = lambda x: (x["x2"] - x["x1"] + 1) * (x["y2"] - x["y1"] + 1)
-    zero = F.lit(0.0)
-
-    def overlap(a: Column, b: Column) -> Column:
-        both = F.greatest(F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"]) + 1, zero) * F.greatest(F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]) + 1, zero)
-        return both / (area(a) + area(b) - both)
-
-    box = F.struct((-F.col("score")).alias("order"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "score")])
-    ranked = boxes.groupBy(key).agg(F.array_sort(F.collect_list(box)).alias("all"))
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: overlap(x, y) > threshold), acc).otherwise(F.concat(acc, F.array(x))))
-    return ranked.select(key, F.inline(kept)).drop("order")
+def _cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder; a folder of this machine is set only where the cluster names none, as in tests."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def _overlap(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Intersection over union of two boxes; areas count the last pixel."""
+    area = lambda x: (x("x2") - x("x1") + 1) * (x("y2") - x("y1") + 1)
+    side = lambda lo, hi: F.greatest(F.least(a(hi), b(hi)) - F.greatest(a(lo), b(lo)) + 1, F.lit(0.0))
+    both = side("x1", "x2") * side("y1", "y2")
+    return both / (area(a) + area(b) - both)
+
+
+def _suppress(table: pa.Table, threshold: float) -> pa.Table:
+    """The kept boxes of one key, of few boxes, by a loop."""
+    table = table.sort_by("place")
+    boxes = {c: table[c].to_numpy() for c in ("x1", "y1", "x2", "y2")}
+    area = (boxes["x2"] - boxes["x1"] + 1) * (boxes["y2"] - boxes["y1"] + 1)
+    left, kept = np.arange(len(area)), []
+    while len(left):
+        one = left[0]
+        kept.append(one)
+        side = lambda lo, hi: np.maximum(np.minimum(boxes[hi][one], boxes[hi][left]) - np.maximum(boxes[lo][one], boxes[lo][left]) + 1, 0)  # noqa: B023, E731
+        both = side("x1", "x2") * side("y1", "y2")
+        stay = both / (area[one] + area[left] - both) <= threshold
+        stay[0] = False
+        left = left[stay]
+    return table.take(kept)
+
+
+def non_max_suppression(boxes: DataFrame, key: str, threshold: float = 0.4, few: int = 20_000) -> DataFrame:
+    """Boxes (x1, y1, x2, y2, score) of each key that no better kept box overlaps by more than the threshold (from 0 to below 1); areas count the last pixel.
+
+    Equal boxes are one. Boxes lie in grids by size, one for each power of two of the width and of the height, with cells of a
+    quarter of that size. In each round the best undecided box of a cell is kept if the best boxes of all cells within reach are
+    not better, and drops what it overlaps; so the rows of a round grow with the undecided boxes, never with their pairs. As soon as no more than `few` are undecided,
+    a loop over each key decides them. Boxes without area, or with a null or unbounded coordinate, overlap nothing and stay.
+    """
+    if not 0 <= threshold < 1:
+        raise ValueError("the threshold is from 0 to below 1")
+    names = ["x1", "y1", "x2", "y2"]
+    rows = boxes.select(F.struct(F.col(key)).alias("key"), *[F.col(c).cast("double").alias(c) for c in names], F.struct((-F.col("score")).alias("order"), F.col("score").cast("double").alias("score")).alias("best"))
+    flat = F.lit(True)
+    for c in names:
+        flat = flat & F.col(c).isNotNull() & (F.abs(c) < 1e15)
+    flat = F.coalesce(flat & (F.col("x2") - F.col("x1") + 1 > 0) & (F.col("y2") - F.col("y1") + 1 > 0), F.lit(False))
+    out = lambda df: df.select(F.col("key")[key].alias(key), *names, "best.score")
+    level = lambda lo, hi: F.floor(F.log2(F.col(hi) - F.col(lo) + 1)).cast("int")
+    cell = lambda c, at: F.floor(c / (F.pow(F.lit(2.0), at) / 4))
+    left = rows.where(flat).groupBy("key", *names).agg(F.min("best").alias("best"))
+    left = left.withColumns({"lx": level("x1", "x2"), "ly": level("y1", "y2"), "rank": F.struct("best", *names)})
+    left = _cut(left.withColumns({"cx": cell(F.col("x1"), F.col("lx")), "cy": cell(F.col("y1"), F.col("ly"))}))
+    # Pairs of sizes that can overlap enough; their number is bounded by the range of sizes. A box can't begin further behind
+    # another one's beginning than this share of the other one's size.
+    share = (1 - threshold) * (1 + 1e-9)
+    sizes = left.groupBy("lx", "ly").agg((share * F.max(F.col("x2") - F.col("x1") + 1)).alias("wide"), (share * F.max(F.col("y2") - F.col("y1") + 1)).alias("high"))
+    close = lambda a, b: F.pow(F.lit(2.0), F.greatest(a, b)) * threshold < F.pow(F.lit(2.0), F.least(a, b) + 1)
+    meets = sizes.crossJoin(sizes.select(F.col("lx").alias("mx"), F.col("ly").alias("my"), F.col("wide").alias("mwide"), F.col("high").alias("mhigh"))).where(close(F.col("lx"), F.col("mx")) & close(F.col("ly"), F.col("my")))
+    meets = F.broadcast(_cut(meets))
+    place, near = ["key", "lx", "ly", "cx", "cy"], ["key", "mx", "my", "nx", "ny"]
+
+    def spread(df: DataFrame, x: tuple[Column, Column], y: tuple[Column, Column], *more: str) -> DataFrame:
+        """df for each cell of each size whose boxes can begin within reach of one that begins between x[0] and y[0], and reaches to x[1] and y[1]."""
+        df = df.join(meets, ["lx", "ly"])
+        for new, (lo, hi), m, size in (("nx", x, "mx", "mwide"), ("ny", y, "my", "mhigh")):
+            df = df.withColumn(new, F.explode(F.sequence(cell(lo - F.col(size), F.col(m)), cell(hi, F.col(m)))))
+        return df.select(*near, *more)
+
+    kept = []
+    while left.count() > few:
+        best = _cut(left.groupBy(*place).agg(F.min("rank").alias("rank")))
+        edge = lambda c, at, size: (F.col(c) * F.pow(F.lit(2.0), F.col(at)) / 4, (F.col(c) + 1) * F.pow(F.lit(2.0), F.col(at)) / 4 + F.col(size))
+        around = spread(best, edge("cx", "lx", "wide"), edge("cy", "ly", "high"), "rank").groupBy(*near).agg(F.min("rank").alias("least"))
+        around = around.select("least", *[F.col(n).alias(p) for n, p in zip(near, place, strict=True)])
+        won = best.join(around, place).where(F.col("rank") == F.col("least")).select("key", "lx", "ly", F.col("rank.best").alias("best"), *[F.col("rank")[c].alias(c) for c in names])
+        won = _cut(won)
+        kept.append(won)
+        drop = spread(won, *[(F.col(lo), F.col(lo) + share * (F.col(hi) - F.col(lo) + 1)) for lo, hi in (("x1", "x2"), ("y1", "y2"))], *names)
+        drop = drop.select(*[F.col(n).alias(f"_{p}") for n, p in zip(near, place, strict=True)], *[F.col(c).alias(f"_{c}") for c in names])
+        hit = reduce(lambda a, b: a & b, [F.col(p) == F.col(f"_{p}") for p in place]) & (_overlap(F.col, lambda c: F.col(f"_{c}")) > threshold)
+        left = _cut(left.join(drop, hit, "left_anti"))
+    kept.append(left.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rank"))).drop("rank"))
+    kept[-1] = kept[-1].groupBy("key").applyInArrow(lambda t: _suppress(t, threshold), kept[-1].schema)
+    return reduce(DataFrame.unionByName, [out(x) for x in (rows.where(~flat), *kept)])

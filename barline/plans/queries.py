@@ -205,5 +205,5 @@ def event_hours(spark, sf_dir):
 @_query
 def box_suppression(spark, sf_dir):
     """Boxes of unlike sizes, made from orders: keys are priorities."""
-    rows = sources.table(spark, sf_dir, "orders").where("o_orderkey < 2000").select(F.col("o_orderpriority").alias("key"), (F.col("o_orderkey") % 97).alias("x1"), (F.col("o_custkey") % 89).alias("y1"), (F.col("o_orderkey") % 97 + 10 + F.col("o_orderkey") % 13).alias("x2"), (F.col("o_custkey") % 89 + 12).alias("y2"), F.col("o_totalprice").alias("score"))
+    rows = sources.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("key"), (F.col("o_orderkey") % 97).alias("x1"), (F.col("o_custkey") % 89).alias("y1"), (F.col("o_orderkey") % 97 + 10 + F.col("o_orderkey") % 13).alias("x2"), (F.col("o_custkey") % 89 + 12).alias("y2"), F.col("o_totalprice").alias("score"))
     return screen.non_max_suppression(rows, "key")

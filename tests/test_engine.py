@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions import scalars
 from barline.functions.ma import PERIODS
 from barline.operators import patterns, returns, screen, stages
+from barline.plans.queries import QUERIES
 from barline.sources import bars as sources
 
 DAY = datetime.date(2020, 1, 1)
@@ -126,6 +127,40 @@ def test_non_max_suppression(spark):
     assert sorted((r.key, r.score) for r in got.collect()) == [("j", 0.1), ("k", 0.7), ("k", 0.9)]
 
 
+def suppressed(rows, threshold=0.4):
+    """(key, x1, y1, x2, y2, score) of the kept rows, by a plain loop."""
+    def overlap(a, b):
+        both = max(min(a[3], b[3]) - max(a[1], b[1]) + 1, 0) * max(min(a[4], b[4]) - max(a[2], b[2]) + 1, 0)
+        area = lambda x: (x[3] - x[1] + 1) * (x[4] - x[2] + 1)
+        return both / (area(a) + area(b) - both)
+
+    kept = []
+    for x in sorted(rows, key=lambda r: (-r[5], *r[1:5])):
+        if not any(k[0] == x[0] and overlap(x, k) > threshold for k in kept):
+            kept.append(x)
+    return sorted(kept, key=str)
+
+
+@pytest.mark.parametrize(("threshold", "few"), [(0.0, 1000), (0.0, 120), (0.4, 120), (0.4, 0)])
+def test_non_max_suppression_by_a_plain_loop(spark, threshold, few):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(400 if few else 60):
+        x, y, size = rng.uniform(-60, 60), rng.randrange(-40, 40), rng.choice([0.3, 3, 12, 40])
+        rows.append((rng.choice(["a", "b", None]), float(x), float(y), x + size * rng.uniform(0.5, 2), y + size * rng.uniform(0.5, 2), float(rng.randrange(90))))
+    rows += rows[:40]
+    got = screen.non_max_suppression(spark.createDataFrame(rows, "key string, x1 double, y1 double, x2 double, y2 double, score double"), "key", threshold, few)
+    assert sorted(map(tuple, got.collect()), key=str) == suppressed(rows, threshold)
+
+
+def test_box_suppression_reads_all_orders(spark, tmp_path):
+    orders = [(k, k * 31 % 1000, f"P{k % 2}", float(k * 7919 % 1009)) for k in range(1, 2400, 7)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    boxes = [(p, k % 97, c % 89, k % 97 + 10 + k % 13, c % 89 + 12, t) for k, c, p, t in orders]
+    got = QUERIES["box_suppression"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(b[0], *map(float, b[1:])) for b in suppressed(boxes)], key=str)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("code,timestamps,open,close,high,low,vol,name,industry,block\n21,2020-01-01,1,2,3,0.5,10,n,i,b\n21,bad,1,2,3,0.5,10,n,i,b\n600000,2020-01-02,1,2,3,0.5,10,n,i,b\n")
     (tmp_path / "pool.txt").write_text("# comment\n000021.SZ\n\n")

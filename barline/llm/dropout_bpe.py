@@ -3,8 +3,8 @@
 A text is escaped as the model expects (blanks become U+2581, one stands in front) and cut into words before each run of
 U+2581; no piece of the vocabulary crosses such a cut. In a word, the agenda holds every two neighbouring pieces that form a
 piece; the best score, and of equals the leftmost, is merged first. Each candidate is skipped for good if a hash of
-(seed, word, variant, span) falls below the dropout. The variant of an occurrence is a hash of (seed, document, place) modulo
-`variants`, so one word has several segmentations in a text, and all of them come back alike on every run.
+(seed, word, variant, span) falls below the dropout. The variant of an occurrence is a hash of (seed, document, place), so every
+occurrence draws a segmentation of its own, and all of them come back alike on every run. `variants` folds the hash to so many values.
 
 Agendas of many words are worked off together, one merge a word in each round; very long words have a heap of their own.
 Characters without a piece, and U+2581 itself, become byte pieces, so decoding returns the text exactly.
@@ -194,7 +194,7 @@ def _to_bytes(v: Vocabulary, piece: np.ndarray, count: np.ndarray) -> tuple[np.n
     return out, np.bincount(owner, size, len(count)).astype(np.int64)
 
 
-def encode(v: Vocabulary, texts: list[str], docs: np.ndarray, seed: int, dropout: float, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def encode(v: Vocabulary, texts: list[str], docs: np.ndarray, seed: int, dropout: float, variants: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts laid end to end, and their number in each text. Empty texts have none."""
     sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
     codes = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -210,7 +210,9 @@ def encode(v: Vocabulary, texts: list[str], docs: np.ndarray, seed: int, dropout
     place = np.arange(len(starts)) - np.searchsorted(owner, owner)
     u = np.uint64
     name = span_hash(prefix(codes, 0x9E3779B97F4A7C15), starts, ends, 0x9E3779B97F4A7C15)
-    variant = mix(docs[owner].astype(u) * u(0xD1342543DE82EF95) + place.astype(u) * u(0x2545F4914F6CDD1D) + u(seed & 0xFFFFFFFF)) % u(variants) if dropout else np.zeros(len(starts), u)
+    variant = mix(docs[owner].astype(u) * u(0xD1342543DE82EF95) + place.astype(u) * u(0x2545F4914F6CDD1D) + u(seed & 0xFFFFFFFF)) if dropout else np.zeros(len(starts), u)
+    if variants is not None:
+        variant %= u(variants)
     key = mix(name + variant * u(0xA0761D6478BD642F) + u(seed & 0xFFFFFFFF) * u(0xE7037ED1A0B428DB))
     _, one, inverse = np.unique(key, return_index=True, return_inverse=True)
     s, n = starts[one], ends[one] - starts[one]
@@ -249,7 +251,7 @@ def _path(model: str) -> str:
     return public_tokenizers.path(model)
 
 
-def encode_documents(documents: DataFrame, seed: int = 1, dropout: float = 0.1, variants: int = 8, model: str = "piece_bpe_32k.model", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_documents(documents: DataFrame, seed: int = 1, dropout: float = 0.1, variants: int | None = None, model: str = "piece_bpe_32k.model", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_pieces, ids (array<int>) and decoded_sha256 (of the text that the ids decode to) of every document.
 
     Without dropout the ids are the model's own. Null and empty texts have no ids. Rows that repeat are encoded alike; rows with a

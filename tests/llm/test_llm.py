@@ -210,6 +210,21 @@ def test_merge_dropout(spark):
         assert dropout_bpe.decode(v, whole, np.array([len(whole)]))[0] == text.encode()
 
 
+def test_merge_dropout_draws_anew_for_each_occurrence(spark):
+    got = dropout_bpe.encode_documents(frame(spark, [(d, "international " * 200) for d in range(3)]), dropout=0.2).collect()
+    v = dropout_bpe.vocabulary(dropout_bpe._path("piece_bpe_32k.model"))
+    seen = set()
+    for r in got:
+        word = []
+        for i in r.ids:
+            raw = v.text[v.ends[i] - v.sizes[i] : v.ends[i]].tobytes()
+            if raw.startswith(b" ") and word:
+                seen.add(tuple(word))
+                word = []
+            word.append(i)
+    assert len(seen) > 30
+
+
 def test_maxscore(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=8).round(1).tolist()) for i in range(300)] + [(300, None), (301, [float("nan")] * 8), (302, [None] * 8)]

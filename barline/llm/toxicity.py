@@ -35,8 +35,8 @@ _TOKEN = re.compile(
     rf"(?<!\w)(?:[^\W_]|[@$!|+€])(?:([ .\-_*])(?:[^\W_]|[@$!|+€])(?![^\W_]))(?:\1(?:[^\W_]|[@$!|+€])(?![^\W_]))+"  # s p a c e d
     rf"|(?:[^\W_]|[{_SIGNS}])+"  # l33t, looong
 )
-_LONGEST = 24  # characters of a token of letters and signs beyond which it is a code, not a word
-_IS_SPACE, _IS_LETTER, _IS_SIGN, _IS_ENDING, _IS_GAP = (np.isin(np.arange(256), [*x]) for x in ([0x20, *range(0x09, 0x0E)], [*range(97, 123), *range(128, 256)], b"0123456789@$!|+(*#", b"0123456789@", b" .-_*"))
+CLOSING = {"!": 0.1, "|": 3.0, "$": 4.0}  # nats of a sign after a word that stands for no letter
+_IS_SPACE, _IS_LETTER, _IS_SIGN, _IS_ENDING, _IS_GAP = (np.isin(np.arange(256), [*x]) for x in ([0x20, *range(0x09, 0x0E)], [*range(97, 123), *range(128, 256)], b"0123456789@$!|+(*#", b"0123456789@$!|", b" .-_*"))
 
 
 def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,25 +112,45 @@ class Restorer:
 
     def decode(self, token: str) -> str:
         """The cheapest reading, in lower case. Signs at the ends that stand for no letter of a word are left out first."""
-        state = {(0, 0): (0.0, "")}
-        for reads in self.lattice(token):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+        return self.cheapest(self.lattice(token))[1]
+
+    def cheapest(self, lattice: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """Cost and letters of the cheapest path. Paths share their beginnings, so the time is linear in the length."""
+        state: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+        for reads in lattice:
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (cost, text) in state.items():
                 for letter, extra in reads:
                     c = ord(letter) - 96 if letter and "a" <= letter <= "z" else 0
                     key, total = ((a, b), cost + extra) if not letter else ((b, c), cost + extra + self.cost[a, b, c])
                     if key not in after or total < after[key][0]:
-                        after[key] = total, text + letter
+                        after[key] = total, (text, letter) if letter else text
             state = after
-        return min((cost + self.cost[a, b, 0], text) for (a, b), (cost, text) in state.items())[1]
+
+        def spelled(path: tuple) -> str:
+            letters = []
+            while path:
+                path, letter = path
+                letters.append(letter)
+            return "".join(reversed(letters))
+
+        return min((cost + self.cost[a, b, 0], spelled(path)) for (a, b), (cost, path) in state.items())
 
     def _replace(self, match: re.Match) -> str:
         token = match[0]
         core = token if match[1] else token.rstrip("!*|+(#$").lstrip("*|+(#")
         signs = sum(not c.isalpha() for c in core)
-        if len(core) < 3 or not match[1] and (len(core) > _LONGEST or not signs and not re.search(r"(.)\1\1", core) or signs > 0.8 * len(core)):
-            return token
-        return self.decode(core)
+        plain = len(core) < 3 or not match[1] and (not signs and not re.search(r"(.)\1\1", core) or signs > 0.8 * len(core))
+        closing = "" if match[1] or signs == len(core) else re.match("[$!|]*", token.lstrip("*|+(#")[len(core) :])[0]
+        if not closing or len(core) + len(closing) < 3:
+            return token if plain else self.decode(core)
+        # With the closing signs as letters, or without them; a plain word's own letters are not in doubt.
+        word = [[(c, 0.0)] for c in core] if plain else self.lattice(core)
+        without, left = self.cheapest(word)
+        letters, read = self.cheapest([*word, *([(x, SIGN) for x in LEET[c]] for c in closing)])
+        if letters < without + sum(CLOSING[c] for c in closing):
+            return read
+        return token if plain else left
 
     def restore(self, column: pa.Array) -> pa.Array:
         """Whole texts in lower case, obfuscated tokens restored; null counts as empty."""

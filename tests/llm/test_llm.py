@@ -8,6 +8,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barline.llm import dropout_bpe, lsh_forest, maxscore, packing, queries, rlz, sharding, suffix_array, webp
@@ -245,6 +246,16 @@ def test_held_out_accuracy(spark, name, label):
     assert np.mean([(a > b) + (a == b) / 2 for a in one for b in none]) > 0.8
 
 
+def test_restores_stretched_words_and_closing_signs(spark):
+    from barline.llm import toxicity
+
+    rows = [(i, "what an ass he is and a stupid bass player, boss of the glass class! you all passed. the idiots") for i in range(50)]
+    restorer = toxicity.Restorer.of(toxicity.trigram_counts(frame(spark, rows)))
+    for token, word in (("stup" + "i" * 30 + "d", "stupid"), ("".join(c * 6 for c in "stupid"), "stupid"), ("a$$", "ass"), ("idiot$", "idiots"), ("class!", "class!"), ("100$", "100$")):
+        assert restorer.restore(pa.array([f"you {token} there"]))[0].as_py() == f"you {word} there".encode()
+    assert len(restorer.restore(pa.array(["a1b2" * 50_000]))) == 1
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (suffix_array.dedup_bytes, rlz.dedup_words, lsh_forest.components, packing.pack, sharding.shard_documents, webp.text_media, dropout_bpe.encode_documents):

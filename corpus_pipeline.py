@@ -42,11 +42,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated stretches of 100 bytes out of the texts; n_chars follows. Documents of which nothing is left leave."""
-    out = suffix_array.dedup_texts(docs)
+    """Takes repeated stretches of 100 bytes out of the texts; n_chars follows. Documents of which nothing is left leave; those that were empty before stay."""
+    out = suffix_array.dedup_texts(docs.withColumn("_empty", F.col("text") == ""))
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.where("text is null or text <> ''")
+    return out.where("text is null or text <> '' or _empty").drop("_empty")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,6 +262,24 @@ def test_empty_tables(spark):
         assert f(empty).count() == 0
 
 
+def test_pipeline_removes_repeats_only(spark):
+    import corpus_pipeline
+
+    rows = texts()
+    expected = brute(rows, str.encode, 100)
+    copy = bytes(expected[rows[0][0]][2]).decode()  # of a document that loses nothing
+    assert not expected[rows[0][0]][1] and len(copy) >= 100
+    rows += [(1000, copy), (1001, "")]
+    expected = brute(rows, str.encode, 100)
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows if d is not None], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in corpus_pipeline.without_repeats(spark, docs, SF).collect()}
+    whole = {d: t for d, t in rows if d is not None}
+    stays = {d for d, (n, gone, _) in expected.items() if gone < n or not n}
+    assert set(got) == stays and {6, 1001} <= stays and 1000 not in stays
+    for d in stays:
+        assert got[d].text == (None if whole[d] is None else bytes(expected[d][2]).decode(errors="ignore"))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -5,8 +5,8 @@ distances, the colour cache, groups of codes chosen by a coarse image, and the f
 subtract-green, palette with bundled pixels). It gives an array of shape (height, width, 4) in the order red, green,
 blue, alpha.
 
-A payload is stored as grey images 576 samples wide. The palette lists the bytes in use, so one code for the palette's index
-carries a pixel. For such streams the decoder looks the code up at every bit position at once and then only follows the
+A payload is stored as grey images 576 samples wide: under a palette where at most 16 byte values occur, else with
+subtract-green, so that the code for green carries a pixel either way. Copies are only runs of one sample. For such streams the decoder looks the code up at every bit position at once and then only follows the
 chain of lengths; any other stream goes pixel by pixel.
 """
 

@@ -1,14 +1,20 @@
-"""Near-duplicate groups through an LSH forest over MinHash signatures, with every link confirmed on full shingle sets.
+"""Near-duplicate groups through an LSH forest over MinHash signatures, with every group confirmed on full shingle sets.
 
 A set's signature has TREES * WIDE slots by one-permutation MinHash; empty slots borrow from the next filled one. Every tree
 of the forest is a sorted order of WIDE slots of its own. In a tree, sets with a common prefix of at least `depth` slots
-are a region; where a region would be far too full by the counts of a bounded sketch, its depth grows. In a region each
-set has two kinds of candidates, so their number is linear in the region's size: its neighbours in the sorted order, which
-share the longest prefixes, and the hubs of each prefix length, the few sets whose slots are the most common ones. (Copies
-with edits of their own resemble their original, and those with few edits, more than each other; these are the hubs.)
-
-Sets that are equal are collapsed first. Candidates are confirmed in two rounds: each set's best ones, then, of the rest, those
-whose sets are not in one component yet.
+are a region; where a region would be far too full by the counts of a bounded sketch, its depth grows.
+
+1. Every set takes its place in every tree with a fingerprint, two bits of each slot. In the sorted order of a region the neighbours,
+   which share the longest prefixes, are compared first: those whose fingerprints and sizes don't rule a link out (six
+   deviations below the least similarity) join one cluster. Sets that are then outside their region's largest cluster are
+   compared with the whole region, so every pair of a region that might be linked lies in one cluster. A task emits one row for
+   each member, which names its cluster's first member, never pairs.
+2. Clusters of all trees that overlap become one, by rounds of label exchange.
+3. Each set of a cluster is sent to it once. The task intersects full sets, all against all, and again emits one row for each
+   member: it names the first document that links reach. A cluster of more than CHUNK sets is dealt into chunks, with some
+   members in all of them; then those outside the cluster's largest component are sent in blocks to all chunks, so no link is lost.
+
+Sets that are equal are collapsed first. A region that stays too full at the last slot is joined to one cluster as it is.
 """
 
 from __future__ import annotations
@@ -18,21 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm._repeats import bucket_of, ragged
-from barline.llm._spark import cut, ids
+from barline.llm._repeats import bucket_of
+from barline.llm._spark import cut, ids, tidied
 from barline.llm._text import hashes, lower, mix, pieces, runs, words
 
 TREES, WIDE = 16, 8
 SLOTS = TREES * WIDE
-NEAR = 3  # neighbours on one side in a sorted order
-LEVELS = (0, 2, 4)  # prefix lengths beyond the depth that have hubs
-HUBS = 16  # hubs of a prefix; where a region has no more sets, every pair in it is a candidate
-CELLS = 1024  # counters of the sketch for each slot
+NEAR = 3  # neighbours on one side in a sorted order that are compared first
+SMALL = 64  # sets of a region that are all compared at once
 FULL = 1 << 15  # sets of a region beyond which it grows deeper
 BUCKET_SETS = 4096  # sets behind a bucket of regions
+CHUNK, MEMBERS = 2048, 1 << 21  # sets, and shingles of them, that one task intersects all against all
+SHARED = 128  # about so many members of a cluster of several chunks are in each of them
+DENSE = 32  # sets of a chunk that have a shingle, beyond which the shingle goes into a matrix product
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -93,30 +100,77 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
 
 
-def sketch(sets: DataFrame) -> np.ndarray:
-    """How many sets have each value, folded to CELLS values, in each slot: SLOTS * CELLS numbers, summed by Spark."""
+def sketch(sets: DataFrame, cells: int) -> np.ndarray:
+    """How many sets have each value, folded to `cells` values, in each slot: SLOTS * cells numbers, summed by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS * CELLS, np.int64)
+        total = np.zeros(SLOTS * cells, np.int64)
         for batch in batches:
-            total += np.bincount((_matrix(batch["sig"]) % CELLS + np.arange(SLOTS) * CELLS).ravel(), minlength=len(total))
+            total += np.bincount((_matrix(batch["sig"]) % cells + np.arange(SLOTS) * cells).ravel(), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "count"])
 
-    got = sets.select("sig").mapInArrow(run, "cell long, count long").groupBy("cell").agg(F.sum("count").cast("int").alias("count")).toPandas()
-    out = np.zeros(SLOTS * CELLS, np.int32)
-    out[got["cell"].to_numpy(np.int64)] = got["count"].to_numpy(np.int32)
-    return out.reshape(SLOTS, CELLS)
+    got = sets.select("sig").mapInArrow(run, "cell long, count long").groupBy("cell").agg(F.sum("count").alias("count")).toPandas()
+    out = np.zeros(SLOTS * cells, np.int64)
+    out[got["cell"].to_numpy(np.int64)] = got["count"].to_numpy(np.int64)
+    return out.reshape(SLOTS, cells)
+
+
+def union(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number of 0 .. n-1 that each reaches by the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def fingerprints(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each slot, as four numbers."""
+    two = (sig & 3).astype(np.uint64).reshape(len(sig), 4, SLOTS // 4)
+    return (two << (2 * np.arange(SLOTS // 4, dtype=np.uint64))).sum(2, dtype=np.uint64)
+
+
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slots in which fingerprints agree; those of different values do by chance in a quarter of cases."""
+    odd = x ^ y
+    odd = (odd | (odd >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    return SLOTS - np.bitwise_count(odd).sum(-1, dtype=np.int64)
+
 
+class Plausible:
+    """Whether sizes and fingerprints leave a link possible. The bound lies six deviations below what linked sets have; small sets fill few slots, so theirs is low."""
 
-def _plant(batches: Iterator[pa.RecordBatch], counts: np.ndarray, depth: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Every set's place in every tree: one row for each task's batch and bucket."""
-    full = FULL + 4 * counts[0].sum() / CELLS
+    def __init__(self, size: np.ndarray, marks: np.ndarray, share: float):
+        self.size, self.marks, self.share = size, marks, share
+        p = share + (1 - share) / 4
+        filled = SLOTS * -np.expm1(-size / SLOTS) / 2
+        self.least = SLOTS * (p - 6 * np.sqrt(p * (1 - p) / np.maximum(filled, 1e-9)))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x, y = self.size[a], self.size[b]
+        fits = np.minimum(x, y) >= self.share * np.maximum(x, y) - 1e-9
+        return fits & (agreement(self.marks[a], self.marks[b]) >= np.minimum(self.least[a], self.least[b]))
+
+
+_PLANTED = "bucket long, key binary, rep binary, size binary, marks binary, slots binary"
+
+
+def _plant(batches: Iterator[pa.RecordBatch], counts: np.ndarray, depth: int, buckets: int, full: int) -> Iterator[pa.RecordBatch]:
+    """Every set's place in every tree: one row for each task's batch and bucket. Bucket -1 has the places in regions that are too full at any depth."""
+    cells = counts.shape[1]
+    full = full + 4 * counts[0].sum() / cells
     for batch in batches:
         sig, n = _matrix(batch["sig"]), len(batch)
-        common = counts[np.arange(SLOTS), sig % CELLS]
-        score = np.log2(1 + common).sum(1).astype(np.float32)
-        parts = []
+        if not n:
+            continue
+        common = counts[np.arange(SLOTS), sig % cells]
+        keys, slots, hot = [], [], []
         for tree in range(TREES):
             at = slice(tree * WIDE, (tree + 1) * WIDE)
             own, key = sig[:, at], np.full(n, tree + 1, np.uint64)
@@ -124,84 +178,143 @@ def _plant(batches: Iterator[pa.RecordBatch], counts: np.ndarray, depth: int, bu
             going = np.ones(n, bool)
             for i in range(WIDE):
                 if i >= depth:
-                    going = going & (least[:, i - 1] > full * 4.0 ** (i - depth))
+                    going = going & (least[:, i - 1] > full)
                 key = np.where(going, mix(key * np.uint64(0x2545F4914F6CDD1D) + own[:, i]), key)
-            parts.append((key, own))
-        key, own = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        doc, size, score = (np.tile(x, TREES) for x in (batch["rep"].to_numpy(), batch["n"].to_numpy(), score))
-        bucket = bucket_of(key, buckets)
+            keys.append(key)
+            slots.append(np.ascontiguousarray(own.astype(">u2")).view(">u8").astype(np.uint64))
+            hot.append(going & (least[:, -1] > full))
+        key, slots, hot = np.concatenate(keys), np.concatenate(slots), np.concatenate(hot)
+        rep, size = (np.tile(batch[c].to_numpy(), TREES) for c in ("rep", "n"))
+        marks = np.tile(fingerprints(sig), (TREES, 1))
+        bucket = np.where(hot, -1, bucket_of(key, buckets))
         order = np.argsort(bucket, kind="stable")
-        edges = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(order) else order
-        groups = np.split(order, edges[1:]) if len(order) else []
-        columns = [pa.array(bucket[order][edges], pa.int64())] + [pa.array([v[g].tobytes() for g in groups], pa.binary()) for v in (key, doc, size, score, own)]
-        yield pa.RecordBatch.from_arrays(columns, names=["bucket", "key", "doc", "size", "score", "slots"])
-
-
-def _candidates(table: pa.Table, depth: int, share: float) -> pa.Table:
-    """Of the regions of a bucket: (a, b, rank) with a < b; pairs whose sizes alone rule a link out leave."""
-    read = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-    key, doc, size, score, slots = read("key", np.uint64), read("doc", np.int64), read("size", np.int64), read("score", np.float32), read("slots", np.uint16).reshape(-1, WIDE)
-    order = np.lexsort((doc, *slots.T[::-1], key))
-    key, doc, size, score, slots = key[order], doc[order], size[order], score[order], slots[order]
-    n, found = len(key), []
-    together = np.concatenate(([False], key[1:] == key[:-1]))  # with the one before
-    prefix = np.zeros(n, np.int64)
-    alike = together.copy()
-    for i in range(WIDE):
-        alike[1:] &= slots[1:, i] == slots[:-1, i]
-        prefix += alike
-    link = np.where(together, prefix, -1)
-    common = np.full(n, WIDE)
-    for step in range(1, NEAR + 1):
-        # The common prefix with the one `step` before is the least of those in between.
-        common = np.minimum(common[: n - step], link[step:])
-        at = np.flatnonzero(common >= depth)
-        found.append((at, at + step, common[at]))
-    for more in LEVELS:
-        level = min(WIDE, depth + more)
-        edge = link < level
-        group = np.cumsum(edge) - 1
-        if not n:
+        groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+        held = [pa.array([v[g].tobytes() for g in groups], pa.binary()) for v in (key, rep, size.astype(np.int32), marks, slots)]
+        yield pa.RecordBatch.from_arrays([pa.array([bucket[g[0]] for g in groups], pa.int64()), *held], names=["bucket", "key", "rep", "size", "marks", "slots"])
+
+
+_LINK = "a long, b long"
+
+
+def _link_table(a: np.ndarray, b: np.ndarray) -> pa.Table:
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _full_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set, region) of the regions that are too full; regions have numbers below all ids but by chance of a hash."""
+    for batch in batches:
+        for key, rep in zip(batch["key"].to_pylist(), batch["rep"].to_pylist(), strict=True):
+            yield from _link_table(np.frombuffer(rep, np.int64), np.frombuffer(key, np.int64)).to_batches()
+
+
+@tidied
+def _clusters(table: pa.Table, share: float) -> pa.Table:
+    """Of the regions of a bucket: (set, first set of its cluster) of each set that may have a link in its region."""
+    read = lambda name, kind, *wide: np.frombuffer(b"".join(table[name].to_pylist()), kind).reshape(-1, *wide)
+    key, rep, size, marks, slots = read("key", np.uint64), read("rep", np.int64), read("size", np.int32), read("marks", np.uint64, 4), read("slots", np.uint64, 2)
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    order = order[np.concatenate((same, [False])) | np.concatenate(([False], same))] if len(order) else order  # sets alone in their region leave
+    order = order[np.lexsort((rep[order], slots[order, 1], slots[order, 0], key[order]))]
+    key, rep, size, marks = key[order], rep[order], size[order], marks[order]
+    n = len(key)
+    if not n:
+        return _link_table(rep, rep)
+    region = np.cumsum(np.concatenate(([False], key[1:] != key[:-1])))
+    sizes = np.bincount(region)
+    plausible, found = Plausible(size.astype(np.int64), marks, share), []
+    for step in range(1, SMALL):
+        # In the sorted order the nearest ones share the longest prefixes. Large regions take a few steps, small ones all.
+        at = np.flatnonzero((region[step:] == region[:-step]) & ((step <= NEAR) | (sizes[region[step:]] <= SMALL)))
+        if not len(at):
             break
-        best = np.lexsort((doc, -score, group))
-        size_of, first = np.bincount(group), np.flatnonzero(edge)  # groups are stretches of the order, and of `best`
-        own = size_of[group]
-        for i in range(HUBS):
-            at = np.flatnonzero(own > i)
-            hub = best[first[group[at]] + i]
-            found.append((at[hub != at], hub[hub != at], np.full((hub != at).sum(), WIDE + 1 + 32 * level + HUBS - i)))
-    a, b, rank = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in zip(*found, strict=True))
-    fits = (doc[a] != doc[b]) & (np.minimum(size[a], size[b]) >= share * np.maximum(size[a], size[b]) - 1e-9)
-    a, b, rank = doc[a[fits]], doc[b[fits]], rank[fits]
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((-rank, high, low))
-    low, high, rank = low[order], high[order], rank[order]
-    new = np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(low) else np.zeros(0, bool)
-    return pa.table({"a": pa.array(low[new], pa.int64()), "b": pa.array(high[new], pa.int64()), "rank": pa.array(rank[new], pa.int32())})
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
-    least, of = similarity
+        at = at[plausible(at, at + step)]
+        found.append((at, at + step))
+    label = union(n, *map(np.concatenate, zip(*found, strict=True)))
+    ends = np.cumsum(sizes)
+    for r in np.flatnonzero(sizes > SMALL):
+        here = np.arange(ends[r] - sizes[r], ends[r])
+        names, count = np.unique(label[here], return_counts=True)
+        rest = here[label[here] != names[np.argmax(count)]]
+        step = max(1, (1 << 20) // len(here))
+        for block in (rest[i : i + step] for i in range(0, len(rest), step)):
+            a, b = np.repeat(block, len(here)), np.tile(here, len(block))
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            fits = plausible(a, b)
+            found.append((a[fits], b[fits]))
+    label = union(n, *map(np.concatenate, zip(*found, strict=True)))
+    first = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(first, label, rep)
+    a, b = rep, first[label]
+    pairs = np.unique(np.stack((a[a != b], b[a != b]), 1), axis=0)
+    return _link_table(pairs[:, 0], pairs[:, 1])
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets. Shingles that few sets have add up one pair at a time, the others by matrix products."""
+    m = len(sets)
+    both = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(both, kind="stable")
+    both, owner = both[order], owner[order]
+    column = np.cumsum(np.concatenate(([False], both[1:] != both[:-1])))
+    count = np.bincount(column)[column]
+    out = np.zeros(m * m, np.float32)
+    few = (count > 1) & (count <= DENSE)
+    who, what = owner[few], column[few]
+    for step in range(1, DENSE):
+        at = np.flatnonzero(what[step:] == what[:-step])
+        if not len(at):
+            break
+        np.add.at(out, who[at] * m + who[at + step], np.float32(1))
+    out = out.reshape(m, m)
+    out += out.T
+    many = count > DENSE
+    who, what = owner[many], column[many]
+    what = np.cumsum(np.concatenate(([False], what[1:] != what[:-1]))) if len(what) else what
+    for low in range(0, int(what[-1]) + 1 if len(what) else 0, 1024):
+        a, b = np.searchsorted(what, (low, low + 1024))
+        block = np.zeros((m, 1024), np.float32)
+        block[who[a:b], what[a:b] - low] = 1
+        out += block @ block.T
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = ([np.frombuffer(x, np.uint64) for x in batch[c].to_pylist()] for c in ("left", "right"))
-            n = len(left)
-            if not n:
-                continue
-            size = np.array([[len(x), len(y)] for x, y in zip(left, right, strict=True)])
-            pair = np.repeat(np.arange(n), size.sum(1))
-            both = np.concatenate([z for xy in zip(left, right, strict=True) for z in xy])
-            order = np.lexsort((both, pair))
-            both, pair = both[order], pair[order]
-            same = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=n)
-            hit = pa.array(of * same >= least * (size.sum(1) - same))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(hit), batch["b"].filter(hit)], names=["a", "b"])
-
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
+
+@tidied
+def _confirm(table: pa.Table, shingle: int, similarity: tuple[int, int]) -> pa.Table:
+    """Of the chunks of a bucket: (document, first document that links reach in the chunk). Where some rows are stragglers, only their links to other labels count."""
+    least, of = similarity
+    table = table.sort_by([("component", "ascending"), ("chunk", "ascending"), ("block", "ascending")])
+    doc, label, straggler = (table[c].to_numpy() for c in ("doc_id", "label", "straggler"))
+    place = np.stack([table[c].to_numpy() for c in ("component", "chunk", "block")])
+    edges = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
+    a, b = [], []
+    sizes, held = [], []
+    for _, size, h in shingle_sets(table["text"].combine_chunks(), shingle):
+        sizes.append(size)
+        held.append(h)
+    size, h = np.concatenate(sizes), np.concatenate(held)
+    ends = np.cumsum(size)
+    for rows in np.split(np.arange(len(doc)), edges):
+        if len(rows) < 2:
+            continue
+        sets = [h[ends[r] - size[r] : ends[r]] for r in rows]
+        own = size[rows].astype(np.float64)
+        if len(rows) == 2:
+            both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]], float)
+        else:
+            both = overlaps(sets).astype(np.float64)
+        hit = np.triu(of * both >= least * (own[:, None] + own[None] - both), 1)
+        hit &= (straggler[rows][:, None] != straggler[rows][None]) & (label[rows][:, None] != label[rows][None]) if straggler[rows].any() else True
+        x, y = np.nonzero(hit)
+        root = union(len(rows), x, y)
+        first = np.full(len(rows), np.iinfo(np.int64).max)
+        np.minimum.at(first, root, doc[rows])
+        away = doc[rows] != first[root]
+        a.append(doc[rows][away])
+        b.append(first[root][away])
+    return _link_table(np.concatenate(a) if a else [], np.concatenate(b) if b else [])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -221,13 +334,51 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def components(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _share(column: str, salt: int, parts: Column) -> Column:
+    return F.pmod(F.xxhash64(column, F.lit(salt)), parts).cast("long")
+
+
+def confirmed(clusters: DataFrame, sets: DataFrame, rows: DataFrame, shingle: int, similarity: tuple[int, int], chunk: int) -> tuple[DataFrame, bool]:
+    """Links (a, b) between documents of one cluster that reach all others which full sets link; whether they are stars already, one for each component."""
+    sized = cut(clusters.join(sets.select(F.col("rep").alias("node"), "n"), "node"))
+    stats = cut(sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("chunks", F.ceil(F.greatest(F.col("size") / chunk, F.col("weight") / MEMBERS)).cast("long")))
+    totals = stats.agg(F.sum("weight").alias("weight"), F.max("chunks").alias("most")).first()
+    buckets = max(64, math.ceil((totals["weight"] or 0) / (1 << 19)))
+    members = sized.select("node", "component").distinct().join(stats.select("component", "size", "chunks"), "component").withColumn("chunk", _share("node", 1, F.col("chunks")))
+    everywhere = (F.col("chunks") > 1) & (_share("node", 2, F.ceil(F.col("size") / SHARED)) == 0)
+    placed = members.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
+
+    def compare(at: DataFrame) -> DataFrame:
+        # Always a shuffle join, so that no size decides the plan. Tasks are few by bytes and dear by time, so their number is given.
+        at = at.withColumn("bucket", F.pmod(F.xxhash64("component", "chunk", "block"), F.lit(buckets))).hint("merge")
+        sent = rows.join(at, rows["doc_id"] == at["node"]).select("bucket", "component", "chunk", "block", "doc_id", "text", "label", "straggler")
+        return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _confirm(t, shingle, similarity), _LINK)
+
+    zero = F.lit(0).cast("long")
+    links = cut(compare(placed.select("node", "component", "chunk", zero.alias("block"), F.col("node").alias("label"), F.lit(False).alias("straggler"))))
+    if (totals["most"] or 0) <= 1:
+        return links, True
+    split = members.where("chunks > 1")
+    told = connected(links.join(split.select(F.col("node").alias("a")), "a", "left_semi")).withColumnRenamed("component", "label")
+    split = cut(split.join(told, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    largest = split.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("largest"))
+    split = split.join(largest, "component").withColumn("straggler", F.col("label") != F.col("largest"))
+    blocks = split.groupBy("component").agg(F.ceil(F.sum(F.col("straggler").cast("long")) / chunk).alias("blocks")).where("blocks > 0")
+    split = split.join(blocks, "component").withColumn("of", _share("node", 3, F.col("blocks")))
+    every = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
+    heads = ["node", "component", "label"]
+    asked = split.where("straggler").select(*heads, every("chunks").alias("chunk"), F.col("of").alias("block"), F.lit(True).alias("straggler"))
+    there = split.select(*heads, "chunk", every("blocks").alias("block"), F.lit(False).alias("straggler"))
+    return links.union(cut(compare(asked.unionByName(there)))), False
+
+
+def components(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", full: int = FULL, chunk: int = CHUNK) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest id that links reach, the document's own included.
 
     Two documents are linked if similarity[1] * |intersection| >= similarity[0] * |union| of their sets of shingles of
-    lower-cased words (fewer words: all of them as one). Texts without words, null or empty, have no shingles and no link.
-    Rows that share an id are one document for links, and each of them is returned. Rows with a null id leave. An empty table
-    gives no rows; further columns are not read.
+    lower-cased words (fewer words: all of them as one). Shingles are compared by 64-bit hashes, and sets are equal if their size and two 64-bit sums of
+    hashes are. Texts without words, null or empty, have no shingles and no link. Rows that share an id are one document for links, and each of
+    them is returned. Rows with a null id leave. An empty table gives no rows; further columns are not read.
     """
     rows = ids(documents, id_column, text_column)
     profile = cut(rows.mapInArrow(lambda it: _profile(it, shingle), "doc_id long, n long, k1 long, k2 long, sig binary"))
@@ -235,36 +386,20 @@ def components(documents: DataFrame, shingle: int = 5, similarity: tuple[int, in
     n_sets = sets.count()
     depth = 4 if similarity[0] >= 0.85 * similarity[1] else 3
     buckets = max(128, math.ceil(n_sets / BUCKET_SETS))
-    counts = documents.sparkSession.sparkContext.broadcast(sketch(sets))
-    placed = sets.select("rep", "n", "sig").mapInArrow(lambda it: _plant(it, counts.value, depth, buckets), "bucket long, key binary, doc binary, size binary, score binary, slots binary")
+    held = sketch(sets, 1 << (10 if n_sets < 1 << 20 else 14))
+    counts = documents.sparkSession.sparkContext.broadcast(held)
     share = similarity[0] / similarity[1]
-    found = placed.groupBy("bucket").applyInArrow(lambda t: _candidates(t, depth, share), "a long, b long, rank int")
-    pairs = cut(found.groupBy("a", "b").agg(F.max("rank").alias("rank")))
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, sizes, h in shingle_sets(batch["text"], shingle):
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"][row : row + len(sizes)], pa.array([h[e - s : e].tobytes() for s, e in zip(sizes, ends, strict=True)], pa.binary())], names=["doc_id", "shingles"])
-
-    shingles = cut(rows.join(wanted, "doc_id", "left_semi").mapInArrow(full, "doc_id long, shingles binary"))
-    # Round 1: each set's best partner by either kind of candidate.
-    ends = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("to"), "rank").union(pairs.select("b", "a", "rank"))
-    best = ends.groupBy("doc_id", F.col("rank") > WIDE).agg(F.max_by("to", F.struct("rank", -F.col("to"))).alias("to"))
-    first = cut(confirm(best.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b")).distinct(), shingles, similarity))
-    labels = connected(first)
-    # Round 2: the other candidates between different components.
-    side = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
-    rest = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where("of_a is null or of_b is null or of_a <> of_b").select("a", "b")
-    tried = best.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b"))
-    second = cut(confirm(rest.join(tried, ["a", "b"], "left_anti"), shingles, similarity))
-    links = first.union(second)
+    planted = sets.select("rep", "n", "sig").mapInArrow(lambda it: _plant(it, counts.value, depth, buckets, full), _PLANTED)
+    near = planted.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda t: _clusters(t, share), _LINK)
+    if (held.max(1).reshape(TREES, WIDE) > full).all(1).any():
+        near = near.union(planted.where("bucket < 0").mapInArrow(_full_regions, _LINK))
+    clusters = connected(near)
+    links, stars = confirmed(clusters, sets, rows, shingle, similarity, chunk)
     known = sets.select("k1", "k2", "n", "rep")
-    if not profile.groupBy("doc_id").count().where("count > 1").isEmpty():
-        again = profile.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = profile.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not again.isEmpty():
+        stars = False
         links = links.union(profile.join(again, "doc_id", "left_semi").join(known, ["k1", "k2", "n"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    labels = connected(links)
+    labels = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if stars else connected(links)
     known = known.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     return profile.drop("sig").join(known, ["k1", "k2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -281,21 +281,17 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-@tidied
-def _confirm(table: pa.Table, shingle: int, similarity: tuple[int, int]) -> pa.Table:
-    """Of the chunks of a bucket: (document, first document that links reach in the chunk). Where some rows are stragglers, only their links to other labels count."""
+_PLACE = [("component", "ascending"), ("chunk", "ascending"), ("block", "ascending")]
+_CONFIRMED = "a long, b long, shingles binary"
+
+
+def _linked(table: pa.Table, size: np.ndarray, h: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the chunks of a bucket, by their place: documents, and the first document that links reach in the chunk. Where some rows are stragglers, only their links to other labels count."""
     least, of = similarity
-    table = table.sort_by([("component", "ascending"), ("chunk", "ascending"), ("block", "ascending")])
     doc, label, straggler = (table[c].to_numpy() for c in ("doc_id", "label", "straggler"))
-    place = np.stack([table[c].to_numpy() for c in ("component", "chunk", "block")])
+    place = np.stack([table[c].to_numpy() for c, _ in _PLACE])
     edges = np.flatnonzero((place[:, 1:] != place[:, :-1]).any(0)) + 1
-    a, b = [], []
-    sizes, held = [], []
-    for _, size, h in shingle_sets(table["text"].combine_chunks(), shingle):
-        sizes.append(size)
-        held.append(h)
-    size, h = np.concatenate(sizes), np.concatenate(held)
-    ends = np.cumsum(size)
+    a, b, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.cumsum(size)
     for rows in np.split(np.arange(len(doc)), edges):
         if len(rows) < 2:
             continue
@@ -306,15 +302,36 @@ def _confirm(table: pa.Table, shingle: int, similarity: tuple[int, int]) -> pa.T
         else:
             both = overlaps(sets).astype(np.float64)
         hit = np.triu(of * both >= least * (own[:, None] + own[None] - both), 1)
-        hit &= (straggler[rows][:, None] != straggler[rows][None]) & (label[rows][:, None] != label[rows][None]) if straggler[rows].any() else True
-        x, y = np.nonzero(hit)
-        root = union(len(rows), x, y)
+        if straggler[rows].any():
+            hit &= (straggler[rows][:, None] != straggler[rows][None]) & (label[rows][:, None] != label[rows][None])
+        root = union(len(rows), *np.nonzero(hit))
         first = np.full(len(rows), np.iinfo(np.int64).max)
         np.minimum.at(first, root, doc[rows])
         away = doc[rows] != first[root]
         a.append(doc[rows][away])
         b.append(first[root][away])
-    return _link_table(np.concatenate(a) if a else [], np.concatenate(b) if b else [])
+    return np.concatenate(a), np.concatenate(b)
+
+
+@tidied
+def _confirm(table: pa.Table, shingle: int, similarity: tuple[int, int]) -> pa.Table:
+    """Links of the chunks of a bucket, from texts; and the sets themselves, as rows without b, of clusters that have more chunks."""
+    table = table.sort_by(_PLACE)
+    found = [(size, h) for _, size, h in shingle_sets(table["text"].combine_chunks(), shingle)]
+    size, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    a, b = _linked(table, size, h, similarity)
+    ends, keep = np.cumsum(size), np.flatnonzero(table["keep"].to_numpy(zero_copy_only=False))
+    links = pa.table({"a": a, "b": b, "shingles": pa.nulls(len(a), pa.binary())})
+    sets = pa.table({"a": table["doc_id"].to_numpy()[keep], "b": pa.nulls(len(keep), pa.int64()), "shingles": pa.array([h[ends[r] - size[r] : ends[r]].tobytes() for r in keep], pa.binary())})
+    return pa.concat_tables([links, sets])
+
+
+@tidied
+def _confirm_across(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
+    """Links between stragglers and the other rows of the chunks of a bucket, from sets."""
+    table = table.sort_by(_PLACE)
+    held = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+    return _link_table(*_linked(table, np.array([len(x) for x in held], np.int64), np.concatenate(held), similarity))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -344,18 +361,20 @@ def confirmed(clusters: DataFrame, sets: DataFrame, rows: DataFrame, shingle: in
     stats = cut(sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).withColumn("chunks", F.ceil(F.greatest(F.col("size") / chunk, F.col("weight") / MEMBERS)).cast("long")))
     totals = stats.agg(F.sum("weight").alias("weight"), F.max("chunks").alias("most")).first()
     buckets = max(64, math.ceil((totals["weight"] or 0) / (1 << 19)))
-    members = sized.select("node", "component").distinct().join(stats.select("component", "size", "chunks"), "component").withColumn("chunk", _share("node", 1, F.col("chunks")))
+    members = sized.select("node", "component").distinct().join(stats.select("component", "size", "chunks"), "component").withColumn("own", _share("node", 1, F.col("chunks")))
     everywhere = (F.col("chunks") > 1) & (_share("node", 2, F.ceil(F.col("size") / SHARED)) == 0)
-    placed = members.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))))
+    placed = members.withColumn("chunk", F.explode(F.when(everywhere, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("own"))))
 
-    def compare(at: DataFrame) -> DataFrame:
-        # Always a shuffle join, so that no size decides the plan. Tasks are few by bytes and dear by time, so their number is given.
-        at = at.withColumn("bucket", F.pmod(F.xxhash64("component", "chunk", "block"), F.lit(buckets))).hint("merge")
-        sent = rows.join(at, rows["doc_id"] == at["node"]).select("bucket", "component", "chunk", "block", "doc_id", "text", "label", "straggler")
-        return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _confirm(t, shingle, similarity), _LINK)
+    def dealt(at: DataFrame) -> DataFrame:
+        # Tasks are few by bytes and dear by time, so their number is given.
+        return at.withColumn("bucket", F.pmod(F.xxhash64("component", "chunk", "block"), F.lit(buckets))).repartition(buckets, "bucket").groupBy("bucket")
 
     zero = F.lit(0).cast("long")
-    links = cut(compare(placed.select("node", "component", "chunk", zero.alias("block"), F.col("node").alias("label"), F.lit(False).alias("straggler"))))
+    # Always a shuffle join, so that no size decides the plan.
+    at = placed.withColumns({"block": zero, "label": F.col("node"), "straggler": F.lit(False), "keep": (F.col("chunks") > 1) & (F.col("chunk") == F.col("own"))}).hint("merge")
+    sent = rows.join(at, rows["doc_id"] == at["node"]).select("component", "chunk", "block", "doc_id", "text", "label", "straggler", "keep")
+    found = cut(dealt(sent).applyInArrow(lambda t: _confirm(t, shingle, similarity), _CONFIRMED))
+    links = found.where("b is not null").select("a", "b")
     if (totals["most"] or 0) <= 1:
         return links, True
     split = members.where("chunks > 1")
@@ -368,8 +387,10 @@ def confirmed(clusters: DataFrame, sets: DataFrame, rows: DataFrame, shingle: in
     every = lambda c: F.explode(F.sequence(zero, F.col(c) - 1))
     heads = ["node", "component", "label"]
     asked = split.where("straggler").select(*heads, every("chunks").alias("chunk"), F.col("of").alias("block"), F.lit(True).alias("straggler"))
-    there = split.select(*heads, "chunk", every("blocks").alias("block"), F.lit(False).alias("straggler"))
-    return links.union(cut(compare(asked.unionByName(there)))), False
+    there = split.select(*heads, F.col("own").alias("chunk"), every("blocks").alias("block"), F.lit(False).alias("straggler"))
+    held = found.where("b is null").select(F.col("a").alias("node"), "shingles")
+    across = asked.unionByName(there).join(held, "node").withColumnRenamed("node", "doc_id")
+    return links.union(cut(dealt(across).applyInArrow(lambda t: _confirm_across(t, similarity), _LINK))), False
 
 
 def components(documents: DataFrame, shingle: int = 5, similarity: tuple[int, int] = (80, 100), id_column: str = "doc_id", text_column: str = "text", full: int = FULL, chunk: int = CHUNK) -> DataFrame:

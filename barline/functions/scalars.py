@@ -43,17 +43,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
 
 
-def resample(values: Column, length: int) -> Column:
+def resample(values: Column, length: int | Column) -> Column:
     """Linear resampling of an array to a length; one value is repeated."""
     n = F.size(values)
+    length = F.lit(length) if isinstance(length, int) else length
 
     def at(i: Column) -> Column:
-        x = i * (n - 1) / F.lit(float(max(1, length - 1)))
+        x = i * (n - 1) / F.greatest(length - 1, F.lit(1)).cast("double")
         low = F.least(F.floor(x).cast("int"), F.greatest(n - 2, F.lit(0)))
         a, b = F.get(values, low), F.coalesce(F.get(values, low + 1), F.get(values, low))
         return a + (b - a) * (x - low)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at)
+    return F.transform(F.sequence(F.lit(0), length - 1), at)
+
+
+def unified(values: Column, other: Column) -> Column:
+    """values, resampled to the length of the longer of both arrays; an empty array stays empty."""
+    length = F.greatest(F.size(values), F.size(other))
+    return F.when((F.size(values) == length) | (F.size(values) == 0), values).otherwise(resample(values, length))
 
 
 def dtw(a: Column, b: Column) -> Column:

@@ -30,7 +30,12 @@ def similar_windows(sums: DataFrame, code: str, lo: int, length: int = 10, strid
     rows = sums.select("code", "n", values.alias("x")).withColumn("start", starts).withColumn("o", F.col("n") - F.col("start")).join(F.broadcast(base), "o")
     add = lambda f: F.sum(F.aggregate(F.zip_with("x", "y", f), F.lit(0.0), lambda a, v: a + v))
     ends = lambda c, i, by: by(F.get(c, i), "o")
-    got = rows.groupBy("code", "start").agg(F.count("*").alias("bars"), add(lambda x, y: x).alias("sx"), add(lambda x, y: y).alias("sy"), add(lambda x, y: x * x).alias("sxx"), add(lambda x, y: y * y).alias("syy"), add(lambda x, y: x * y).alias("sxy"), ends("x", 0, F.min_by).alias("x0"), ends("x", len(PERIODS) - 1, F.max_by).alias("x1"), ends("y", 0, F.min_by).alias("y0"), ends("y", len(PERIODS) - 1, F.max_by).alias("y1")).where(F.col("bars") == length)
+    got = rows.groupBy("code", "start").agg(
+        F.count("*").alias("bars"), add(lambda x, y: x).alias("sx"), add(lambda x, y: y).alias("sy"),
+        add(lambda x, y: x * x).alias("sxx"), add(lambda x, y: y * y).alias("syy"), add(lambda x, y: x * y).alias("sxy"),
+        ends("x", 0, F.min_by).alias("x0"), ends("x", len(PERIODS) - 1, F.max_by).alias("x1"),
+        ends("y", 0, F.min_by).alias("y0"), ends("y", len(PERIODS) - 1, F.max_by).alias("y1"),
+    ).where(F.col("bars") == length)
     m = float(length * len(PERIODS))
     sd = lambda a, b: F.sqrt(F.greatest(F.col(b) / m - (F.col(a) / m) * (F.col(a) / m), F.lit(0.0)))
     got = got.withColumns({"dx": sd("sx", "sxx"), "dy": sd("sy", "syy")})
@@ -57,39 +62,64 @@ def tail(sums: DataFrame, days: int = 20, whole: bool = False) -> DataFrame:
     return (out.where(F.col("_c") >= days) if whole else out).drop("_r", "_c")
 
 
-def series(sums: DataFrame, days: int = 20) -> DataFrame:
-    """One row for each code: the averages of its last bars as arrays m4 .. m47."""
-    rows = tail(sums, days, whole=True)
+def series(sums: DataFrame, days: int = 20, whole: bool = True) -> DataFrame:
+    """One row for each code: the averages of its last bars as arrays m4 .. m47; without `whole`, codes with fewer bars have shorter ones."""
+    rows = tail(sums, days, whole)
     return rows.groupBy("code").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("i", centred(k).alias("v")))), lambda x: x["v"]).alias(f"m{k}") for k in PERIODS])
 
 
-def line_similarities(rows: DataFrame, code: str, k: int = 4, days: int = 20) -> DataFrame:
-    """Of each code's line MA_k against that of `code`: direction, slope, volatility, pearson, spearman, dtw and mean_level, from 0 to 1.
+WEIGHTS = {"direction": 0.15, "slope": 0.1, "volatility": 0.15, "pearson": 0.2, "spearman": 0.15, "dtw": 0.15, "mean_level": 0.1}
+CROSS_WEIGHTS = {"golden_count": 0.25, "golden_position": 0.25, "death_count": 0.25, "death_position": 0.25}
+GROUP_WEIGHTS = {"lines": 0.6, "crossover": 0.4}
+
+
+def normalised(weights: dict[str, float]) -> dict[str, float]:
+    """The weights divided by their sum, as a new mapping."""
+    whole = sum(weights.values())
+    if whole <= 0:
+        raise ValueError("weights need a sum above 0")
+    return {k: v / whole for k, v in weights.items()}
+
+
+def pair_similarities(both: DataFrame, *keys: str) -> DataFrame:
+    """Of arrays a and b: direction, slope, volatility, pearson, spearman, dtw and mean_level, from 0 to 1, beside the keys.
 
-    Constant lines have no correlation; its value is 0.5. The target is one row: its broadcast has a fixed size.
+    The shorter array is resampled to the longer one's length. Constant arrays have no correlation; its value is 0.5. Arrays are averages less BASE.
     """
-    own = rows.select("code", F.col(f"m{k}").alias("a"))
-    target = own.where(F.col("code") == code).select(F.col("a").alias("b"))
-    both = own.crossJoin(F.broadcast(target))
-    n = float(days)
+    both = both.select(*keys, scalars.unified(F.col("a"), F.col("b")).alias("a"), scalars.unified(F.col("b"), F.col("a")).alias("b")).withColumn("size", F.size("a"))
+    n = F.col("size").cast("double")
     centre = lambda c: F.transform(c, lambda x: x - scalars.mean(c))
     dot = lambda x, y: scalars.total(F.zip_with(x, y, lambda u, v: u * v))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: i - (n - 1) / 2)
-    diff = lambda c: F.zip_with(F.slice(c, 2, days - 1), F.slice(c, 1, days - 1), lambda x, y: x - y)
+    steps = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: i - (n - 1) / 2)
+    diff = lambda c: F.zip_with(F.slice(c, F.lit(2), F.col("size") - 1), F.slice(c, F.lit(1), F.col("size") - 1), lambda x, y: x - y)
     ranked = lambda c: F.transform(c, lambda x: F.size(F.filter(c, lambda y: y < x)) + (F.size(F.filter(c, lambda y: y == x)) + 1) / 2.0)
     near = lambda x, y: F.least(F.greatest(1 - F.abs(x - y) / (F.abs(x) + F.abs(y) + 1e-10), F.lit(0.0)), F.lit(1.0))
     corr = lambda x, y: F.coalesce((F.try_divide(dot(x, y), F.sqrt(dot(x, x) * dot(y, y))) + 1) / 2, F.lit(0.5))
     both = both.withColumns({"ca": centre(F.col("a")), "cb": centre(F.col("b")), "ra": ranked(F.col("a")), "rb": ranked(F.col("b"))})
     both = both.withColumns({"cra": centre(F.col("ra")), "crb": centre(F.col("rb")), "da": diff(F.col("a")), "db": diff(F.col("b"))})
-    slope = lambda c: dot(steps, F.col(c)) / ((n * n * n - n) / 12)
+    slope = lambda c: F.coalesce(F.try_divide(dot(steps, F.col(c)), (n * n * n - n) / 12), F.lit(0.0))
     sd = lambda c: F.sqrt(dot(F.col(c), F.col(c)) / n)
     reach = F.greatest(F.array_max("a"), F.array_max("b")) - F.least(F.array_min("a"), F.array_min("b"))
     warped = 1 - F.least(F.coalesce(F.try_divide(scalars.dtw(F.col("a"), F.col("b")), F.sqrt(n * reach * reach)), F.lit(0.0)), F.lit(1.0))
     level = lambda c: scalars.mean(F.col(c)) + float(BASE)
-    return both.select("code", F.round(scalars.mean(F.zip_with("da", "db", lambda x, y: (F.signum(x) == F.signum(y)).cast("double"))), 6).alias("direction"), F.round(near(slope("a"), slope("b")), 6).alias("slope"), F.round(1 - F.abs(sd("ca") - sd("cb")) / (sd("ca") + sd("cb") + 1e-10), 6).alias("volatility"), F.round(corr(F.col("ca"), F.col("cb")), 6).alias("pearson"), F.round(corr(F.col("cra"), F.col("crb")), 6).alias("spearman"), F.round(warped, 6).alias("dtw"), F.round(near(level("a"), level("b")), 6).alias("mean_level"))
-
-
-WEIGHTS = {"direction": 0.15, "slope": 0.1, "volatility": 0.15, "pearson": 0.2, "spearman": 0.15, "dtw": 0.15, "mean_level": 0.1}
+    same_way = scalars.mean(F.zip_with("da", "db", lambda x, y: (F.signum(x) == F.signum(y)).cast("double")))
+    metrics = {
+        "direction": F.coalesce(same_way, F.lit(0.0)),
+        "slope": near(slope("a"), slope("b")),
+        "volatility": 1 - F.abs(sd("ca") - sd("cb")) / (sd("ca") + sd("cb") + 1e-10),
+        "pearson": corr(F.col("ca"), F.col("cb")),
+        "spearman": corr(F.col("cra"), F.col("crb")),
+        "dtw": warped,
+        "mean_level": near(level("a"), level("b")),
+    }
+    return both.select(*keys, *[F.round(v, 6).alias(k) for k, v in metrics.items()])
+
+
+def line_similarities(rows: DataFrame, code: str, k: int = 4) -> DataFrame:
+    """Each code's line MA_k against that of `code`. The target is one row: its broadcast has a fixed size."""
+    own = rows.select("code", F.col(f"m{k}").alias("a"))
+    target = own.where(F.col("code") == code).select(F.col("a").alias("b"))
+    return pair_similarities(own.crossJoin(F.broadcast(target)), "code")
 
 
 def crossings(rows: DataFrame) -> DataFrame:
@@ -102,43 +132,58 @@ def crossings(rows: DataFrame) -> DataFrame:
     for p, q in CROSS_PAIRS:
         short, long = F.col(f"m{p}"), F.col(f"m{q}")
         parts += [F.struct(F.lit(f"{p}/{q}").alias("pair"), F.lit(kind).alias("kind"), found.alias("places")) for kind, found in (("golden", places(short, long)), ("death", places(long, short)))]
-    return rows.select("code", F.inline(F.array(*parts)))
+    return rows.select("code", F.size("m4").alias("length"), F.inline(F.array(*parts)))
 
 
-def crossover_similarity(rows: DataFrame, code: str, days: int = 20) -> DataFrame:
-    """Mean over the pairs of lines of count and position similarity of golden and death crosses, a quarter each: code, crossover.
+def crossover_similarity(rows: DataFrame, code: str, weights: dict[str, float] = CROSS_WEIGHTS, golden: bool = True) -> DataFrame:
+    """The weighted mean over the pairs of lines of count and position similarity of golden and death crosses: code, crossover.
 
-    Positions: 1 if neither line has crosses, 0 if one has none, else one less the mean distance of the places, resampled to equal
-    numbers, over the series' length.
+    Positions: 1 if neither line has crosses, 0 if one has none. Else both lists are resampled linearly to the longer one's length; two places or more are
+    compared by dynamic time warping, one less the distance over the target series' length times the number of places, single ones by their difference over that length.
+    With golden=False golden crosses count as alike, as an older version of the score has it.
     """
+    weights = normalised(weights)
     found = crossings(rows)
-    target = found.where(F.col("code") == code).select("pair", "kind", F.col("places").alias("wanted"))
-    both = found.join(F.broadcast(target), ["pair", "kind"])  # 30 rows
+    target = found.where(F.col("code") == code).select("pair", "kind", F.col("places").alias("wanted"), "length")
+    both = found.drop("length").join(F.broadcast(target), ["pair", "kind"])  # 30 rows
     a, b = F.size("places"), F.size("wanted")
     count = 1 - F.abs(a - b) / (F.greatest(a, b, F.lit(1)) + 1e-10)
-    # Resample both to the larger number of places, at most days.
-    most = F.greatest(a, b)
-    at = lambda c, i: F.element_at(c, F.least(F.floor(i * F.size(c) / F.greatest(most, F.lit(1))).cast("int") + 1, F.size(c)))
-    apart = F.aggregate(F.sequence(F.lit(0), most - 1), F.lit(0.0), lambda acc, i: acc + F.abs(at(F.col("places"), i) - at(F.col("wanted"), i))) / most
-    place = F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(1 - apart / float(days))
-    return both.groupBy("code").agg(F.round(F.avg((count + place) / 2), 6).alias("crossover"))
-
-
-def group_similarity(sums: DataFrame, code: str, days: int = 20, top: int = 20) -> DataFrame:
-    """The most similar codes: 0.6 times the mean line similarity and 0.4 times the crossover similarity; ties by code."""
-    rows = series(sums, days)
-    score = None
-    for k in PERIODS:
-        lines = line_similarities(rows, code, k, days)
-        part = lines.select("code", sum((F.col(n) * w for n, w in WEIGHTS.items()), F.lit(0.0)).alias(f"v{k}"))
-        score = part if score is None else score.join(part, "code")
-    lines = score.select("code", (sum((F.col(f"v{k}") for k in PERIODS), F.lit(0.0)) / len(PERIODS)).alias("lines"))
-    return lines.join(crossover_similarity(rows, code, days), "code").select("code", F.round(0.6 * F.col("lines") + 0.4 * F.col("crossover"), 6).alias("similarity")).orderBy(F.desc("similarity"), "code").limit(top)
+    doubles = lambda c: F.col(c).cast("array<double>")
+    both = both.withColumns({"x": scalars.unified(doubles("places"), doubles("wanted")), "y": scalars.unified(doubles("wanted"), doubles("places"))})
+    single = 1 - F.least(F.abs(scalars.mean(F.col("x")) - scalars.mean(F.col("y"))) / F.col("length"), F.lit(1.0))
+    warped = 1 - scalars.dtw(F.col("x"), F.col("y")) / (F.col("length") * F.greatest(a, b) + 1e-10)
+    place = F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).when(F.size("x") < 2, single).otherwise(warped)
+    both = both.select("code", "kind", count.alias("count"), place.alias("position"))
+    alike = lambda kind, c: F.lit(1.0) if kind == "golden" and not golden else F.avg(F.when(F.col("kind") == kind, F.col(c)))
+    return both.groupBy("code").agg(F.round(sum((alike(*name.split("_")) * w for name, w in weights.items()), F.lit(0.0)), 6).alias("crossover"))
+
+
+def group_similarity(rows: DataFrame, code: str, top: int = 20, weights: dict[str, float] = WEIGHTS, groups: dict[str, float] = GROUP_WEIGHTS, crosses: dict[str, float] = CROSS_WEIGHTS, golden: bool = True) -> DataFrame:
+    """The `top` codes most similar to `code`, itself among them: code, similarity, the mean line similarity and the crossover similarity weighted; ties by code.
+
+    rows are series(); all lines of a code are scored in one pass. Weights are divided by their sum.
+    """
+    weights, groups = normalised(weights), normalised(groups)
+    lines = rows.select("code", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("a")) for k in PERIODS])).alias("line")).select("code", "line.*")
+    target = lines.where(F.col("code") == code).select("k", F.col("a").alias("b"))  # six rows
+    scored = pair_similarities(lines.join(F.broadcast(target), "k"), "code", "k")
+    own = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0))
+    mean = scored.groupBy("code").agg((F.sum(own) / len(PERIODS)).alias("lines"))
+    both = mean.join(crossover_similarity(rows, code, crosses, golden), "code")
+    score = groups["lines"] * F.col("lines") + groups["crossover"] * F.col("crossover")
+    return both.select("code", F.round(score, 6).alias("similarity")).orderBy(F.desc("similarity"), "code").limit(top)
+
+
+def older_group_similarity(rows: DataFrame, code: str, top: int = 10) -> DataFrame:
+    """The older score: only series of the target's own length, without the target, ten codes. Count and position of each kind of cross weigh the same, as the default weights have it."""
+    length = rows.where(F.col("code") == code).select(F.size("m4").alias("own"))  # one row
+    alike = rows.crossJoin(F.broadcast(length)).where(F.size("m4") == F.col("own")).drop("own")
+    return group_similarity(alike, code, top + 1).where(F.col("code") != code).orderBy(F.desc("similarity"), "code").limit(top)
 
 
 def same_stage_cosine(segments: DataFrame, code: str, stage: str, least: float = 0.8) -> DataFrame:
-    """Segments of a stage whose 18 features are close to those of the code's first segment: code, lo, similarity."""
+    """Segments of a stage whose 18 features are close to those of the code's first segment: code, lo, hi, similarity."""
     chosen = segments.where(F.col("stage") == stage)
-    target = chosen.where(F.col("code") == code).agg(F.min_by("features18", "lo").alias("wanted"))  # one row
+    target = chosen.where(F.col("code") == code).agg(F.min_by("features18", F.struct("lo", "hi")).alias("wanted"))  # one row
     both = chosen.crossJoin(F.broadcast(target)).withColumn("similarity", F.round(scalars.cosine(F.col("features18"), F.col("wanted")), 6))
-    return both.where(F.col("similarity") >= least).select("code", "lo", "similarity")
+    return both.where(F.col("similarity") >= least).select("code", "lo", "hi", "similarity")

@@ -11,7 +11,8 @@ def forward_returns(segments: DataFrame, sums: DataFrame, days: int = 5) -> Data
 
     The first bar after the segment is the price of entry; returns count from the second. Without them all are 0.
     """
-    future = segments.join(sums.select("code", F.col("n").alias("m"), "close"), "code").where((F.col("m") > F.col("hi")) & (F.col("m") <= F.col("hi") + days))
+    wanted = segments.select("code", "lo", "hi", F.explode(F.sequence(F.col("hi") + 1, F.col("hi") + days)).alias("m"))
+    future = wanted.join(sums.select("code", F.col("n").alias("m"), "close"), ["code", "m"])
     held = future.groupBy("code", "lo", "hi").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "close"))), lambda x: x["close"].cast("double")).alias("p"))
     rows = segments.select("code", "lo", "hi").join(held, ["code", "lo", "hi"], "left").withColumn("p", F.coalesce("p", F.array().cast("array<double>")))
     entry = F.get("p", 0)
@@ -20,7 +21,12 @@ def forward_returns(segments: DataFrame, sums: DataFrame, days: int = 5) -> Data
     some = F.size("r") > 0
     total = F.aggregate("r", F.lit(0.0), lambda a, x: a + x)
     zero = lambda c: F.round(F.coalesce(F.when(some, c), F.lit(0.0)), 6)
-    return rows.select("code", "lo", "hi", F.size("p").alias("n_future"), zero(total / F.nullif(F.size("r"), F.lit(0))).alias("mean_return"), F.round(F.coalesce((F.array_max("p") - lowest) / F.array_max("p") * 100, F.lit(0.0)), 6).alias("max_drawdown"), zero(F.array_max("r")).alias("max_rise"), zero(F.array_min("r")).alias("max_fall"), zero(F.size(F.filter("r", lambda x: x > 0)) * 100.0 / F.nullif(F.size("r"), F.lit(0))).alias("win_rate"))
+    rising = F.size(F.filter("r", lambda x: x > 0)) * 100.0 / F.nullif(F.size("r"), F.lit(0))
+    fall = F.coalesce((F.array_max("p") - lowest) / F.array_max("p") * 100, F.lit(0.0))
+    return rows.select(
+        "code", "lo", "hi", F.size("p").alias("n_future"), zero(total / F.nullif(F.size("r"), F.lit(0))).alias("mean_return"), F.round(fall, 6).alias("max_drawdown"),
+        zero(F.array_max("r")).alias("max_rise"), zero(F.array_min("r")).alias("max_fall"), zero(rising).alias("win_rate"),
+    )
 
 
 def as_of(points: DataFrame, series: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,3 +52,23 @@ def five_points(segments: DataFrame) -> DataFrame:
     d = F.datediff("end", "start")
     steps = [F.when(d < 4, i).otherwise(F.floor(d * q)).cast("int") for i, q in ((0, 0.0), (1, 0.25), (2, 0.5), (3, 0.75))]
     return segments.select("*", F.posexplode(F.array(*[F.date_add("start", x) for x in steps], F.col("end"))).alias("point", "ts"))
+
+
+def index_sums(index: DataFrame, periods: tuple[int, ...] = (4, 47)) -> DataFrame:
+    """ts and s4 .. s47 of an index, one row a day; days of the warm-up leave.
+
+    Days are numbered by year, from the counts of the years before, and every day adds its close to the sums of the days that it
+    reaches, so no task orders the whole series.
+    """
+    longest = max(periods)
+    rows = index.withColumn("block", F.year("ts"))
+    sizes = rows.groupBy("block").agg(F.count("*").alias("days"))
+    before = sizes.select(F.col("block").alias("of"), "days")
+    offsets = sizes.select("block").join(before, F.col("of") < F.col("block"), "left").groupBy("block").agg(F.coalesce(F.sum("days"), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("ts")) + F.col("offset")
+    rows = rows.join(offsets, "block").withColumn("place", place.cast("long"))
+    reach = F.posexplode(F.sequence(F.col("place"), F.col("place") + longest - 1)).alias("back", "at")
+    spread = rows.select("close", "place", "ts", reach)
+    sums = [F.sum(F.when(F.col("back") < k, F.col("close"))).alias(f"s{k}") for k in periods]
+    found = spread.groupBy("at").agg(F.max(F.when(F.col("back") == 0, F.col("ts"))).alias("ts"), F.count("*").alias("held"), *sums)
+    return found.where((F.col("held") == longest) & F.col("ts").isNotNull()).select("ts", *[f"s{k}" for k in periods])

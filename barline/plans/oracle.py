@@ -9,7 +9,7 @@ from barline.sources.bars import BASE
 _W = "PARTITION BY code ORDER BY ts"
 
 
-def _each(text: str, join: str = ", ", periods: tuple[int, ...] = PERIODS) -> str:
+def each(text: str, join: str = ", ", periods: tuple[int, ...] = PERIODS) -> str:
     return join.join(text.replace("{k}", str(k)) for k in periods)
 
 
@@ -19,15 +19,15 @@ _REVERSED = " AND ".join(f"s{q} * {p} > s{p} * {q}" for p, q in _PAIRS)
 _CTES = {
     "trades": "SELECT p_brand AS code, CAST(l_shipdate AS DATE) AS ts, CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qty, (l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS place FROM lineitem JOIN part ON l_partkey = p_partkey",
     "days": "SELECT code, ts, arg_min(cents, place) AS open, arg_max(cents, place) AS close, max(cents) AS high, min(cents) AS low, CAST(sum(cents) // count(*) AS BIGINT) AS mean, CAST(sum(qty) AS BIGINT) AS vol FROM trades GROUP BY code, ts",
-    "bars": f"SELECT code, ts, CAST({BASE} + sum(mean - (SELECT CAST(sum(cents) // count(*) AS BIGINT) FROM trades)) OVER ({_W}) AS BIGINT) AS close, vol FROM days",
-    "sums": f"SELECT code, ts, close, vol, CAST(rn - 47 AS INTEGER) AS n, {_each('s{k}')} FROM (SELECT *, row_number() OVER ({_W}) AS rn, " + ", ".join(f"CAST(sum(close) OVER ({_W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS s{k}" for k in PERIODS) + " FROM bars) WHERE rn >= 47",
+    "bars": f"SELECT code, ts, c + open - mean AS open, c + high - mean AS high, c + low - mean AS low, c AS close, vol FROM (SELECT *, CAST({BASE} + sum(mean - (SELECT CAST(sum(cents) // count(*) AS BIGINT) FROM trades)) OVER ({_W}) AS BIGINT) AS c FROM days)",
+    "sums": f"SELECT code, ts, open, high, low, close, vol, CAST(rn - 47 AS INTEGER) AS n, {each('s{k}')} FROM (SELECT *, row_number() OVER ({_W}) AS rn, " + ", ".join(f"CAST(sum(close) OVER ({_W} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) AS BIGINT) AS s{k}" for k in PERIODS) + " FROM bars) WHERE rn >= 47",
     "rises": f"SELECT *, {_ORDERED} AS ordered, " + ", ".join(f"coalesce(s{k} > lag(s{k}) OVER ({_W}), false) AS r{k}" for k in PERIODS) + f", coalesce(lag(s4 * 20 > s20 * 4) OVER ({_W}) AND s20 * 4 > s4 * 20, false) AS p4, coalesce(lag(s4 * 20 > s20 * 4) OVER ({_W}) AND NOT (s4 * 20 > s20 * 4), false) AS p5 FROM sums",
-    "counted": f"SELECT *, CAST({_each('CAST(r{k} AS INTEGER)', ' + ')} AS INTEGER) AS rc FROM rises",
+    "counted": f"SELECT *, CAST({each('CAST(r{k} AS INTEGER)', ' + ')} AS INTEGER) AS rc FROM rises",
     "flags": "SELECT *, ordered AND rc = 6 AND n >= 1 AS s2, n >= 1 AND NOT r4 AND rc = 5 AS only4, n >= 1 AND NOT r4 AND rc < 5 AS joint FROM counted",
     "marked": f"SELECT *, max(CASE WHEN rc < 4 AND n >= 1 THEN n END) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS weak, min(CASE WHEN joint THEN n END) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next3, min(CASE WHEN p5 THEN n END) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next5, min(CASE WHEN p4 THEN n END) OVER ({_W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next4, coalesce(lead(only4) OVER ({_W}), false) AS qualified, max(n) OVER (PARTITION BY code) AS last FROM flags",
     "runs": f"SELECT code, min(n) AS a, max(n) AS b, arg_min(weak, n) AS weak0, min(CASE WHEN n = lo THEN weak END) AS weak, max(CASE WHEN n = hi THEN next3 END) AS next3, min(CASE WHEN n = lo THEN next5 END) AS next5, bool_or(n = hi AND qualified) AS qualified, max(CASE WHEN n = hi THEN next4 END) AS next4, min(ts) AS start_ts, max(ts) AS end_ts, max(last) AS last FROM (SELECT *, min(n) OVER (PARTITION BY code, island) AS lo, max(n) OVER (PARTITION BY code, island) AS hi FROM (SELECT *, n - row_number() OVER ({_W}) AS island FROM marked WHERE s2)) GROUP BY code, island",
     "stages": "SELECT code, stage, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, hi < last AS closed FROM (SELECT code, last, 'stage1' AS stage, coalesce(weak + 1, 1) AS lo, a - 1 AS hi FROM runs WHERE a - coalesce(weak + 1, 1) > 3 UNION ALL SELECT code, last, 'stage2', a, b FROM runs WHERE b - a + 1 > 3 UNION ALL SELECT code, last, 'stage3', b + 1, next3 FROM runs WHERE b - a + 1 > 3 AND qualified AND next3 IS NOT NULL UNION ALL SELECT code, last, 'all', coalesce(weak + 1, 1), coalesce(next5, CASE WHEN b = last THEN last END) FROM runs WHERE a - coalesce(weak + 1, 1) > 3 AND (next5 IS NOT NULL OR b = last))",
-    "features": "SELECT g.code, stage, lo, min(ts) AS start, max(ts) AS \"end\", CAST(count(*) AS INTEGER) AS duration, CASE WHEN count(*) > (CASE stage WHEN 'stage2' THEN 4 ELSE 10 END) THEN 'long' ELSE 'short' END AS duration_type, " + ", ".join(f"CASE WHEN count(*) > 1 THEN (arg_max(s{k}, n) / {k}.0 - arg_min(s{k}, n) / {k}.0) / count(*) ELSE 0.0 END AS f{i}" for i, k in enumerate(PERIODS)) + ", " + ", ".join(f"coalesce(stddev_samp(s{k} / {k}.0), 0.0) AS f{6 + i}" for i, k in enumerate(PERIODS)) + ", " + ", ".join(f"avg(s{p} / {p}.0 - s{q} / {q}.0) AS f{12 + i}" for i, (p, q) in enumerate(_PAIRS)) + ", CAST(count(*) AS DOUBLE) AS f17 FROM stages g JOIN sums m ON g.code = m.code AND m.n BETWEEN g.lo AND g.hi GROUP BY g.code, stage, lo",
+    "features": "SELECT g.code, stage, lo, hi, min(ts) AS start, max(ts) AS \"end\", CAST(count(*) AS INTEGER) AS duration, CASE WHEN count(*) > (CASE stage WHEN 'stage2' THEN 4 ELSE 10 END) THEN 'long' ELSE 'short' END AS duration_type, " + ", ".join(f"CASE WHEN count(*) > 1 THEN (arg_max(s{k}, n) / {k}.0 - arg_min(s{k}, n) / {k}.0) / count(*) ELSE 0.0 END AS f{i}" for i, k in enumerate(PERIODS)) + ", " + ", ".join(f"coalesce(stddev_samp(s{k} / {k}.0), 0.0) AS f{6 + i}" for i, k in enumerate(PERIODS)) + ", " + ", ".join(f"avg(s{p} / {p}.0 - s{q} / {q}.0) AS f{12 + i}" for i, (p, q) in enumerate(_PAIRS)) + ", CAST(count(*) AS DOUBLE) AS f17 FROM (SELECT DISTINCT code, stage, lo, hi FROM stages ) g JOIN sums m ON g.code = m.code AND m.n BETWEEN g.lo AND g.hi GROUP BY g.code, stage, lo, hi",
     "bullish": f"SELECT code, min(ts) AS start, max(ts) AS \"end\", CAST(count(*) AS INTEGER) AS bars, arg_max(CASE WHEN next4 IS NULL THEN -1 ELSE next4 END, n) = -1 AS valid FROM (SELECT *, n - row_number() OVER ({_W}) AS island FROM marked WHERE s2 OR (ordered AND n = 0)) GROUP BY code, island",
     "future": "SELECT g.code, g.lo, g.hi, list(close ORDER BY n) FILTER (WHERE n IS NOT NULL) AS p FROM stages g LEFT JOIN sums m ON g.code = m.code AND m.n > g.hi AND m.n <= g.hi + 5 WHERE stage = 'stage2' GROUP BY g.code, g.lo, g.hi",
     "prices": "SELECT code, lo, hi, coalesce(p, []) AS p, list_transform(coalesce(p, [])[2:], lambda x: (x - p[1])::DOUBLE / p[1] * 100) AS r FROM future",
@@ -43,22 +43,22 @@ _CTES = {
     "lines": "SELECT code, round(avg(CASE WHEN da IS NOT NULL THEN CAST(sign(da) = sign(db) AS INTEGER) END), 6) AS direction, round(greatest(0, least(1, 1 - abs(regr_slope(x, i) - regr_slope(y, i)) / (abs(regr_slope(x, i)) + abs(regr_slope(y, i)) + 1e-10))), 6) AS slope, round(1 - abs(stddev_pop(x) - stddev_pop(y)) / (stddev_pop(x) + stddev_pop(y) + 1e-10), 6) AS volatility, round(CASE WHEN stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN (corr(x, y) + 1) / 2 ELSE 0.5 END, 6) AS pearson, round(greatest(0, least(1, 1 - abs(avg(x) - avg(y)) / (abs(avg(x) + BASE) + abs(avg(y) + BASE) + 1e-10))), 6) AS mean_level FROM paired GROUP BY code".replace("BASE", str(BASE)),
     "index_sums": "SELECT ts, s4, s47 FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS rn, CAST(sum(close) OVER (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS BIGINT) AS s4, CAST(sum(close) OVER (ORDER BY ts ROWS BETWEEN 46 PRECEDING AND CURRENT ROW) AS BIGINT) AS s47 FROM (SELECT ts, CAST(sum(close) // count(*) AS BIGINT) AS close FROM bars GROUP BY ts)) WHERE rn >= 47",
     "points": "SELECT code, lo, CAST(point AS INTEGER) AS point, CASE WHEN point = 4 THEN \"end\" WHEN d < 4 THEN start + CAST(point AS INTEGER) ELSE start + CAST(floor(d * 0.25 * point) AS INTEGER) END AS ts FROM (SELECT code, lo, start, \"end\", \"end\" - start AS d, unnest([0, 1, 2, 3, 4]) AS point FROM features WHERE stage = 'stage2')",
-    "recent": "SELECT *, " + ", ".join(f"sum(CAST(coalesce(u{k}, false) AS INTEGER)) OVER (PARTITION BY code ORDER BY i) AS c{k}" for k in PERIODS) + ", sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY code ORDER BY i) AS bad, sum(CAST(coalesce(up, false) AS INTEGER)) OVER (PARTITION BY code ORDER BY i) AS ups FROM (SELECT code, ts, " + _each("s{k}") + ", CAST(30 - back AS INTEGER) AS i, " + _ORDERED + " AS ok, " + ", ".join(f"s{k} > lag(s{k}) OVER w AS u{k}" for k in PERIODS) + ", " + " OR ".join(f"(lag(s{q} * {p} > s{p} * {q}) OVER w AND s{p} * {q} > s{q} * {p})" for j, p in enumerate(PERIODS) for q in PERIODS[j + 1 :]) + " AS up, list_stddev_samp([" + _each("s{k} / {k}.0") + "]) AS wide FROM tailed WHERE back <= 30 AND total >= 30 WINDOW w AS (PARTITION BY code ORDER BY ts))",
-    "found2": "SELECT a.code, a.i AS lo, b.i AS hi, a.ts AS start, b.ts AS \"end\" FROM recent a JOIN recent b ON a.code = b.code AND b.i - a.i >= 2 WHERE b.bad - a.bad + CAST(NOT a.ok AS INTEGER) = 0 AND " + _each("b.c{k} - a.c{k} >= 0.6 * (b.i - a.i) AND b.s{k} > a.s{k}", " AND "),
-    "found1": "SELECT a.code, a.i AS lo, b.i AS hi, a.ts AS start, b.ts AS \"end\" FROM recent a JOIN recent b ON a.code = b.code AND b.i - a.i >= 2 WHERE " + _each("CAST(b.c{k} - a.c{k} >= 0.5 * (b.i - a.i) AND b.s{k} > a.s{k} AS INTEGER)", " + ") + " >= 3 AND b.ups - a.ups >= 2 AND b.wide > 1.2 * a.wide",
+    "recent": "SELECT *, lag(fell) OVER (PARTITION BY code ORDER BY i) AS fell0, " + ", ".join(f"sum(CAST(coalesce(u{k}, false) AS INTEGER)) OVER (PARTITION BY code ORDER BY i) AS c{k}" for k in PERIODS) + ", sum(CAST(NOT ok AS INTEGER)) OVER (PARTITION BY code ORDER BY i) AS bad, sum(CAST(coalesce(up, false) AS INTEGER)) OVER (PARTITION BY code ORDER BY i) AS ups FROM (SELECT code, ts, " + each("s{k}") + ", CAST(30 - back AS INTEGER) AS i, " + _ORDERED + " AS ok, " + ", ".join(f"s{k} > lag(s{k}) OVER w AS u{k}" for k in PERIODS) + ", " + " OR ".join(f"(lag(s{q} * {p} > s{p} * {q}) OVER w AND s{p} * {q} > s{q} * {p})" for j, p in enumerate(PERIODS) for q in PERIODS[j + 1 :]) + " AS up, list_stddev_samp([" + each("s{k} / {k}.0") + "]) AS wide, coalesce(lag(s4 * 20 > s20 * 4) OVER w AND s20 * 4 > s4 * 20, false) AS fell, coalesce(s4 < lag(s4) OVER w, false) AS lower FROM tailed WHERE back <= 30 AND total >= 30 WINDOW w AS (PARTITION BY code ORDER BY ts))",
+    "found2": "SELECT a.code, a.i AS lo, b.i AS hi, a.ts AS start, b.ts AS \"end\", b.fell OR coalesce(b.fell0, false) AS fell, b.lower FROM recent a JOIN recent b ON a.code = b.code AND b.i - a.i >= 2 WHERE b.bad - a.bad + CAST(NOT a.ok AS INTEGER) = 0 AND " + each("b.c{k} - a.c{k} >= 0.6 * (b.i - a.i) AND b.s{k} > a.s{k}", " AND "),
+    "found1": "SELECT a.code, a.i AS lo, b.i AS hi, a.ts AS start, b.ts AS \"end\", b.fell OR coalesce(b.fell0, false) AS fell, b.lower FROM recent a JOIN recent b ON a.code = b.code AND b.i - a.i >= 2 WHERE " + each("CAST(b.c{k} - a.c{k} >= 0.5 * (b.i - a.i) AND b.s{k} > a.s{k} AS INTEGER)", " + ") + " >= 3 AND b.ups - a.ups >= 2 AND b.wide > 1.2 * a.wide",
     "kept2": "SELECT * FROM found2 x WHERE NOT EXISTS (SELECT 1 FROM found2 y WHERE y.code = x.code AND y.lo <= x.lo AND y.hi >= x.hi AND (y.lo < x.lo OR y.hi > x.hi))",
     "kept1": "SELECT * FROM found1 x WHERE NOT EXISTS (SELECT 1 FROM found1 y WHERE y.code = x.code AND y.lo <= x.lo AND y.hi >= x.hi AND (y.lo < x.lo OR y.hi > x.hi))",
-    "ends": "SELECT *, 'stage2' AS stage, row_number() OVER (PARTITION BY code ORDER BY hi DESC, lo) AS r FROM kept2 UNION ALL SELECT *, 'stage1', row_number() OVER (PARTITION BY code ORDER BY hi DESC, lo) FROM kept1",
-    "newest": "SELECT *, row_number() OVER (PARTITION BY code ORDER BY n DESC) - 1 AS back FROM flags",
+    "ends": "SELECT *, row_number() OVER (PARTITION BY code ORDER BY stage DESC, hi DESC, lo) AS r FROM (SELECT *, 'stage2' AS stage FROM kept2 WHERE hi = 29 AND NOT lower UNION ALL SELECT *, 'stage1' FROM kept1) WHERE NOT fell",
+    "current": "SELECT code, lo, hi, start, \"end\", stage FROM ends WHERE r = 1",
     "phased": "SELECT *, CAST(floor((n - phase) / 21.0) AS INTEGER) AS k FROM (SELECT *, unnest([0, 10]) AS phase FROM sums) WHERE n >= phase",
     "gaps": f"SELECT *, sum(CAST(coalesce(ts - lag_ts > 1, false) AS INTEGER)) OVER ({_W}) AS run FROM (SELECT *, lag(ts) OVER ({_W}) AS lag_ts FROM flags WHERE ordered)",
     "falls": "SELECT r.code, r.start_ts AS start, r.end_ts AS stop, m.ts AS fall FROM runs r JOIN sums m ON m.code = r.code AND m.n = r.next4 WHERE r.b > r.a",
-    "lagged": "SELECT code, ts, close, vol, n, " + _each("s{k}, lag(s{k}) OVER w AS p{k}, lag(s{k}, 2) OVER w AS q{k}, lag(s{k}, 4) OVER w AS f{k}") + ", lag(close) OVER w AS pc, lag(vol) OVER w AS pv, " + ", ".join(f"stddev_samp(s{k} / {k}.0) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS d{k}" for k in (4, 8, 20)) + f", row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS back FROM sums WINDOW w AS ({_W})",
+    "lagged": "SELECT code, ts, close, vol, n, " + each("s{k}, lag(s{k}) OVER w AS p{k}, lag(s{k}, 2) OVER w AS q{k}, lag(s{k}, 4) OVER w AS f{k}") + ", open, high, low, lag(close) OVER w AS pc, lag(vol) OVER w AS pv, " + f"stddev_samp(close) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dc, stddev_samp(vol) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dv, stddev_samp(s4) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e4, stddev_samp(s20) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e20, " + ", ".join(f"stddev_samp(s{k} / {k}.0) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS d{k}" for k in (4, 8, 20)) + f", row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS back FROM sums WINDOW w AS ({_W})",
 }
 
 
-def sql(body: str) -> str:
-    """The query with the table expressions that it needs, in order."""
+def sql(body: str, *more: str) -> str:
+    """The query with the table expressions that it needs, in order; `more` are its own, behind them."""
     names, used = list(_CTES), set()
 
     def need(text: str) -> None:
@@ -67,12 +67,13 @@ def sql(body: str) -> str:
                 used.add(name)
                 need(_CTES[name])
 
-    need(body)
-    return ("WITH " + ", ".join(f"{n} AS ({_CTES[n]})" for n in names if n in used) + " " if used else "") + body
+    need(" ".join([*more, body]))
+    parts = [f"{n} AS ({_CTES[n]})" for n in names if n in used] + list(more)
+    return ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + body
 
 
 def _mentions(text: str, name: str) -> bool:
-    return any(f"{word} {name}{end}" in text + " " for word in ("FROM", "JOIN") for end in (" ", ")"))
+    return any(f"{word} {name}{end}" in text + " " for word in ("FROM", "JOIN") for end in (" ", ")", "\n"))
 
 
 _LAST = {"close": "close", "vol": "vol", "bullish_alignment": f"CAST({_ORDERED} AS INTEGER)", "bearish_alignment": f"CAST({_REVERSED} AS INTEGER)"}
@@ -85,21 +86,40 @@ for _k in (4, 8, 20, 47):
     _LAST |= {f"price_ma{_k}_ratio": f"round(close * {_k} / s{_k}, 6)", f"price_above_ma{_k}": f"CAST(close * {_k} > s{_k} AS INTEGER)"}
 for _k in (4, 20):
     _LAST |= {f"price_cross_ma{_k}": f"CAST(coalesce(pc * {_k} <= p{_k} AND close * {_k} > s{_k}, false) AS INTEGER)", f"ma{_k}_acceleration": f"round(coalesce((s{_k} - 2 * p{_k} + q{_k}) / {_k}.0, 0.0), 6)"}
-_LAST |= {"price_up_volume_down": "CAST(coalesce(close > pc AND NOT vol > pv, false) AS INTEGER)", "price_down_volume_down": "CAST(coalesce(NOT close > pc AND NOT vol > pv, false) AS INTEGER)", "trend_consistency": "CAST(" + _each("CAST(coalesce(s{k} > p{k}, false) AS INTEGER)", " + ") + " AS INTEGER)", "price_change": "round(CASE WHEN pc IS NULL THEN 0.0 ELSE close / pc - 1 END, 6)", "volume_change": "round(CASE WHEN pv IS NULL THEN 0.0 ELSE vol / pv - 1 END, 6)"}
+_LAST |= {"price_up_volume_down": "CAST(coalesce(close > pc AND NOT vol > pv, false) AS INTEGER)", "price_down_volume_down": "CAST(coalesce(NOT close > pc AND NOT vol > pv, false) AS INTEGER)", "trend_consistency": "CAST(" + each("CAST(coalesce(s{k} > p{k}, false) AS INTEGER)", " + ") + " AS INTEGER)", "price_change": "round(CASE WHEN pc IS NULL THEN 0.0 ELSE close / pc - 1 END, 6)", "volume_change": "round(CASE WHEN pv IS NULL THEN 0.0 ELSE vol / pv - 1 END, 6)"}
+
+for _k in (4, 20):
+    _LAST[f"ma{_k}_direction_change"] = f"CAST(coalesce(s{_k} > p{_k} AND p{_k} < q{_k}, false) AS INTEGER)"
+_STRENGTH = {side: f"({' + '.join(f'CAST({a} AS INTEGER)' for a in text.split(' AND '))}) / 5" for side, text in (("bullish", _ORDERED), ("bearish", _REVERSED))}
+_LAST |= {
+    "ma_up_volume_up": "CAST(coalesce(s20 > p20 AND vol > pv, false) AS INTEGER)",
+    "ma_down_volume_up": "CAST(coalesce(s20 < p20 AND vol > pv, false) AS INTEGER)",
+    "ma4_ma20_spread": "round(abs(s4 * 5 - s20) / 20, 6)",
+    "ma4_ma20_spread_change": "round(CASE WHEN p4 IS NULL THEN 0.0 WHEN p4 * 5 = p20 THEN 0.0 ELSE abs(s4 * 5 - s20) / abs(p4 * 5 - p20) - 1 END, 6)",
+    "ma4_ma20_std_ratio": "round(CASE WHEN e20 > 0 THEN e4 * 5 / e20 ELSE 0.0 END, 4)",
+    "bullish_strength": _STRENGTH["bullish"],
+    "bearish_strength": _STRENGTH["bearish"],
+    "trend_strength": f"greatest({_STRENGTH['bullish']}, {_STRENGTH['bearish']})",
+    "price_std_5": "round(coalesce(dc, 0.0), 4)",
+    "volume_std_5": "round(coalesce(dv, 0.0), 4)",
+    "open": "open",
+    "high": "high",
+    "low": "low",
+}
 
 ORACLE_SQL = {
     name: sql(body)
     for name, body in {
         "bars_daily": "SELECT * FROM days",
         "bars_walk": "SELECT * FROM bars",
-        "ma_sums": f"SELECT code, ts, n, {_each('s{k}')} FROM sums",
+        "ma_sums": f"SELECT code, ts, n, {each('s{k}')} FROM sums",
         "ma_flags": "SELECT code, ts, ordered, rc, s2, only4, joint, p4, p5 FROM flags",
         "crosses": f"SELECT * FROM (SELECT code, ts, coalesce(lag(s4 * 12 <= s12 * 4) OVER ({_W}) AND s4 * 12 > s12 * 4, false) AS golden, coalesce(lag(s4 * 12 >= s12 * 4) OVER ({_W}) AND s12 * 4 > s4 * 12, false) AS death, p4 AS below, p5 AS not_above FROM flags ) WHERE golden OR death OR below OR not_above",
         "bullish_bars": "SELECT code, ts FROM flags WHERE ordered",
         "bullish_runs": "SELECT * FROM bullish",
         "last_bullish_run": "SELECT code, arg_max(start, \"end\") AS start, max(\"end\") AS \"end\" FROM bullish WHERE valid GROUP BY code",
         "stage_positions": "SELECT * FROM stages",
-        "stage_features": "SELECT code, stage, lo, start, \"end\", duration, duration_type, " + ", ".join(f"round(f{i} + 1e-6, 2) AS f{i}" for i in range(18)) + " FROM features",
+        "stage_features": "SELECT code, stage, lo, hi, start, \"end\", duration, duration_type, " + ", ".join(f"round(f{i} + 1e-6, 2) AS f{i}" for i in range(18)) + " FROM features",
         "stage_summary": "SELECT stage, duration_type, count(*) AS segments, CAST(sum(duration) AS BIGINT) AS bars FROM features GROUP BY stage, duration_type",
         "stage_context": "SELECT g.code, g.lo, m.ts, CASE WHEN m.n >= g.lo THEN 2 ELSE 0 END AS label FROM stages g JOIN sums m ON g.code = m.code AND m.n BETWEEN g.lo - 60 AND g.hi WHERE stage = 'stage2'",
         "end_phase": "SELECT f.code, f.start, m.ts, CASE WHEN m.ts BETWEEN f.start AND f.stop THEN 2 WHEN m.ts > f.stop AND m.ts <= f.fall THEN 4 ELSE 0 END AS label FROM falls f JOIN sums m ON m.code = f.code AND m.ts BETWEEN f.start - 10 AND f.fall + 10",
@@ -111,14 +131,14 @@ ORACLE_SQL = {
         "pattern_similarity": "SELECT * FROM scored",
         "pattern_top_per_code": "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY similarity DESC, start) AS INTEGER) AS rank FROM scored WHERE similarity >= 0.7) WHERE rank <= 10",
         "line_similarity": "SELECT * FROM lines",
-        "same_stage_cosine": "SELECT a.code, a.lo, round(round((" + " + ".join(f"a.f{i} * b.f{i}" for i in range(18)) + ") / sqrt((" + " + ".join(f"a.f{i} * a.f{i}" for i in range(18)) + ") * (" + " + ".join(f"b.f{i} * b.f{i}" for i in range(18)) + f")), 6), 4) AS similarity FROM features a, (SELECT * FROM features WHERE code = '{CODE}' AND stage = 'stage1' ORDER BY lo LIMIT 1) b WHERE a.stage = 'stage1'",
-        "screen_stage2": "SELECT * FROM kept2",
-        "screen_stage1": "SELECT * FROM kept1",
-        "screen_latest": "SELECT code, lo, hi, start, \"end\", stage FROM ends x WHERE r = 1 AND (stage = 'stage2' OR code NOT IN (SELECT code FROM kept2))",
-        "window_stage": "SELECT code, CASE WHEN coalesce(bool_or(only4) FILTER (WHERE back >= 1), false) AND coalesce(bool_and(NOT joint) FILTER (WHERE back < 9), false) THEN 'stage3' WHEN coalesce(bool_and(s2) FILTER (WHERE back < 9), false) AND count(*) >= 10 THEN 'stage2' WHEN coalesce(bool_and(rc >= 4) FILTER (WHERE back < 9), false) AND count(*) >= 10 THEN 'stage1' ELSE 'unknown' END AS stage FROM newest WHERE back < 100 GROUP BY code",
-        "tumbling_windows": f"SELECT code, phase, k, min(ts) AS start, max(ts) AS \"end\", bool_and({_ORDERED}) AND " + _each("arg_max(s{k}, n) > arg_min(s{k}, n)", " AND ") + " AS bullish FROM phased GROUP BY code, phase, k HAVING count(*) = 21",
+        "same_stage_cosine": "SELECT a.code, a.lo, a.hi, round(round((" + " + ".join(f"a.f{i} * b.f{i}" for i in range(18)) + ") / sqrt((" + " + ".join(f"a.f{i} * a.f{i}" for i in range(18)) + ") * (" + " + ".join(f"b.f{i} * b.f{i}" for i in range(18)) + f")), 6), 4) AS similarity FROM features a, (SELECT * FROM features WHERE code = '{CODE}' AND stage = 'stage1' ORDER BY lo, hi LIMIT 1) b WHERE a.stage = 'stage1'",
+        "screen_stage2": "SELECT code, lo, hi, start, \"end\" FROM kept2",
+        "screen_stage1": "SELECT code, lo, hi, start, \"end\" FROM kept1",
+        "screen_latest": "SELECT * FROM current",
+        "tumbling_windows": f"SELECT code, phase, k, min(ts) AS start, max(ts) AS \"end\", bool_and({_ORDERED}) AND " + each("arg_max(s{k}, n) > arg_min(s{k}, n)", " AND ") + " AS bullish FROM phased GROUP BY code, phase, k HAVING count(*) = 21",
         "tail_bars": "SELECT code, ts, CAST(least(total, 20) - back AS INTEGER) AS i, close FROM tailed WHERE back <= 20",
         "last_bar_features": "SELECT code, " + ", ".join(f"{v} AS {k}" for k, v in _LAST.items()) + " FROM lagged WHERE back = 1",
         "event_hours": "SELECT event_type AS code, date_trunc('hour', ts) AS ts, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     }.items()
 }
+LAST_BAR = ORACLE_SQL["last_bar_features"]

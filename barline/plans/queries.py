@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions.ma import PERIODS, death_cross, falls_below, golden_cross, ordered
-from barline.operators import patterns, returns, screen, stages
+from barline.operators import golden, history, learning, patterns, returns, screen, search, stages, verdicts
 from barline.sources import bars as sources
 
 CODE, LO = "Brand#11", 60  # the pattern and target series of the search queries
@@ -73,7 +73,7 @@ def stage_positions(spark, sf_dir):
 def stage_features(spark, sf_dir):
     # The small addend keeps exact halves from rounding by the last bit of a sum.
     found = stages.stage_segments(_sums(spark, sf_dir))
-    return found.select("code", "stage", "lo", "start", "end", "duration", "duration_type", *[F.round(F.get("features18", i) + 1e-6, 2).alias(f"f{i}") for i in range(18)])
+    return found.select("code", "stage", "lo", "hi", "start", "end", "duration", "duration_type", *[F.round(F.get("features18", i) + 1e-6, 2).alias(f"f{i}") for i in range(18)])
 
 
 @_query
@@ -94,7 +94,7 @@ def end_phase(spark, sf_dir):
 
 @_query
 def calendar_runs(spark, sf_dir):
-    return stages.calendar_islands(_sums(spark, sf_dir).where(ordered()))
+    return stages.calendar_islands(_sums(spark, sf_dir).where(ordered())).drop("last")
 
 
 @_query
@@ -102,6 +102,33 @@ def golden_cross_bars(spark, sf_dir):
     return stages.golden_cross_bars(_sums(spark, sf_dir), arranged=False).select("code", "ts", "close")
 
 
+@_query
+def golden_cross_arranged(spark, sf_dir):
+    return golden.matching_bars(_sums(spark, sf_dir), lambda: golden_cross(4, 8)).select("code", "ts", "close")
+
+
+def _index(bars: DataFrame) -> DataFrame:
+    return returns.index_sums(sources.index_series(bars))
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = sources.walk(spark, sf_dir)
+    return golden.matching_intervals(stages.rolling_sums(bars), _index(bars), golden_cross(4, 8))
+
+
+@_query
+def golden_cross_intervals(spark, sf_dir):
+    return golden.first_intervals(_intervals(spark, sf_dir)).withColumn("overall_return", F.round("overall_return", 6))
+
+
+@_query
+def golden_cross_older(spark, sf_dir):
+    """Intervals of plain crosses of 4 above 20, by the older measure."""
+    sums = _sums(spark, sf_dir)
+    runs = stages.calendar_islands(golden.matching_bars(sums, golden_cross(4, 20), arranged=False, filtered=False))
+    return golden.close_to_close(runs, sums).withColumn("mean_step", F.round("mean_step", 9))
+
+
 @_query
 def forward_returns(spark, sf_dir):
     sums = _sums(spark, sf_dir)
@@ -117,8 +144,8 @@ def overall_forward_return(spark, sf_dir):
 
 @_query
 def index_asof(spark, sf_dir):
-    sums = _sums(spark, sf_dir)
-    index = stages.rolling_sums(sources.index_series(sources.walk(spark, sf_dir)).withColumn("code", F.lit("index")))
+    bars = sources.walk(spark, sf_dir)
+    sums, index = stages.rolling_sums(bars), _index(bars)
     points = returns.five_points(stages.stage_segments(sums).where("stage = 'stage2'").select("code", "lo", "start", "end"))
     return returns.as_of(points, index, ["s4", "s47"]).select("code", "lo", "point", "ts", "s4", "s47")
 
@@ -150,7 +177,39 @@ def crossover_similarity(spark, sf_dir):
 
 @_query
 def group_similarity(spark, sf_dir):
-    return patterns.group_similarity(_sums(spark, sf_dir), CODE)
+    return patterns.group_similarity(patterns.series(_sums(spark, sf_dir)), CODE)
+
+
+@_query
+def group_similarity_older(spark, sf_dir):
+    return patterns.older_group_similarity(patterns.series(_sums(spark, sf_dir)), CODE)
+
+
+@_query
+def group_similarity_uneven(spark, sf_dir):
+    """Against a target of 20 bars, series of 13: the shorter lines are resampled; weights of the caller, golden crosses as alike."""
+    sums = _sums(spark, sf_dir)
+    short = patterns.series(sums, 13).where(F.col("code") != CODE)
+    rows = short.unionByName(patterns.series(sums).where(F.col("code") == CODE))
+    return patterns.group_similarity(rows, CODE, 25, {"direction": 1, "slope": 2, "volatility": 1, "pearson": 2, "mean_level": 1}, {"lines": 3, "crossover": 1}, {"death_count": 2, "golden_count": 1, "golden_position": 1}, golden=False)
+
+
+@_query
+def pattern_report(spark, sf_dir):
+    found = search.ranked(search.pattern_report(_sums(spark, sf_dir), CODE, LO))
+    return found.select("code", "lo", "start", "end", "similarity", "mean_return", "max_drawdown", "max_rise", "max_fall", "win_rate", "rank")
+
+
+@_query
+def pattern_overall_return(spark, sf_dir):
+    return search.overall_return(search.pattern_report(_sums(spark, sf_dir), CODE, LO))
+
+
+@_query
+def pattern_report_older(spark, sf_dir):
+    """Ten windows a code, with 30 bars ahead."""
+    found = search.ranked(search.pattern_report(_sums(spark, sf_dir), CODE, LO, future=30), per_code=10)
+    return found.select("code", "lo", "similarity", "n_future", "mean_return", "rank")
 
 
 @_query
@@ -158,6 +217,39 @@ def same_stage_cosine(spark, sf_dir):
     return patterns.same_stage_cosine(stages.stage_segments(_sums(spark, sf_dir)), CODE, "stage1", -1.0).withColumn("similarity", F.round("similarity", 4))
 
 
+def _first_segment(segments: DataFrame, stage: str) -> DataFrame:
+    own = segments.where((F.col("code") == CODE) & (F.col("stage") == stage))
+    return own.agg(F.min_by(F.struct("code", "start", "end", "features18"), F.struct("lo", "hi")).alias("w")).select("w.*").where("code is not null")
+
+
+@_query
+def similar_stages(spark, sf_dir):
+    bars = sources.walk(spark, sf_dir)
+    segments = stages.stage_segments(stages.rolling_sums(bars))
+    return verdicts.similar_stages(_first_segment(segments, "stage1"), bars, segments, F.col("features18")).withColumn("similarity", F.round("similarity", 4))
+
+
+@_query
+def same_stage_split(spark, sf_dir):
+    bars = sources.walk(spark, sf_dir)
+    segments = stages.stage_segments(stages.rolling_sums(bars))
+    return verdicts.same_stage(_first_segment(segments, "stage1").drop("features18"), bars, segments, "second")
+
+
+@_query
+def window_verdicts(spark, sf_dir):
+    """All segments as windows, judged by the three rules."""
+    bars = sources.walk(spark, sf_dir)
+    windows = stages.stage_segments(stages.rolling_sums(bars)).select("code", "stage", "lo", "hi", "start", "end")
+    return verdicts.window_verdicts(windows, bars)
+
+
+@_query
+def window_stage(spark, sf_dir):
+    bars = sources.walk(spark, sf_dir)
+    return verdicts.window_verdicts(verdicts.latest_windows(bars), bars)
+
+
 @_query
 def screen_stage2(spark, sf_dir):
     return screen.recent_windows(_sums(spark, sf_dir), 30, 3, 2)
@@ -170,14 +262,87 @@ def screen_stage1(spark, sf_dir):
 
 @_query
 def screen_latest(spark, sf_dir):
+    return screen.current_stage(_sums(spark, sf_dir))
+
+
+@_query
+def screen_export(spark, sf_dir):
+    """The exported bars of every code that the screen finds, and the history before the first labelled one."""
     sums = _sums(spark, sf_dir)
-    two, one = (screen.latest(screen.recent_windows(sums, 30, 3, k)).withColumn("stage", F.lit(f"stage{k}")) for k in (2, 1))
-    return two.unionByName(one.join(two, "code", "left_anti"))
+    found = screen.current_stage(sums).select("code", "start", "end", F.substring("stage", 6, 1).cast("int").alias("k"))
+    return history.export_rows(found, sums, F.col("k"))
 
 
 @_query
-def window_stage(spark, sf_dir):
-    return screen.window_stage(_sums(spark, sf_dir))
+def screen_history(spark, sf_dir):
+    sums = _sums(spark, sf_dir)
+    found = screen.current_stage(sums).select("code", "start", "end", F.substring("stage", 6, 1).cast("int").alias("k"))
+    return history.before_first(history.export_rows(found, sums, F.col("k")))
+
+
+@_query
+def range_history(spark, sf_dir):
+    """Every stage2 segment widened by a day on both sides: the bars inside and the 50 before."""
+    sums = _sums(spark, sf_dir)
+    found = stages.stage_segments(sums).where("stage = 'stage2'").select("code", F.date_sub("start", 1).alias("start"), F.date_add("end", 1).alias("end"))
+    return history.with_history(found, sums)
+
+
+@_query
+def five_bar_windows(spark, sf_dir):
+    return history.five_bar_windows(_sums(spark, sf_dir))
+
+
+@_query
+def warm_up_sums(spark, sf_dir):
+    return stages.rolling_sums(sources.walk(spark, sf_dir), warm_up=True).select("code", "ts", F.col("n").cast("int").alias("n"), *[f"s{k}" for k in PERIODS])
+
+
+@_query
+def calendar_tail(spark, sf_dir):
+    """The last 90 calendar days before the newest day of all codes."""
+    bars = sources.walk(spark, sf_dir)
+    today = bars.agg(F.max("ts").alias("today"))  # one row
+    return history.calendar_tail(bars.crossJoin(F.broadcast(today)), 90, F.col("today")).select("code", "ts", "close")
+
+
+@_query
+def head_bars(spark, sf_dir):
+    return history.head(sources.walk(spark, sf_dir)).select("code", "ts", "close")
+
+
+@_query
+def label_summary(spark, sf_dir):
+    """Of each stage and duration type: segments, bars, calendar days, and the day of the first."""
+    found = stages.stage_segments(_sums(spark, sf_dir)).withColumn("days", F.datediff("end", "start") + 1)
+    return found.groupBy("stage").agg(F.count_if(F.col("duration_type") == "long").alias("long"), F.count_if(F.col("duration_type") == "short").alias("short"), F.sum("days").alias("days"), F.min("start").alias("first"))
+
+
+@_query
+def segments_with_probabilities(spark, sf_dir):
+    """Segments with probabilities of one in three of them; the others have an empty map."""
+    found = stages.stage_segments(_sums(spark, sf_dir)).select("code", "stage", "lo", "hi", "duration_type")
+    told = found.where("lo % 3 = 0").withColumn("probabilities", F.create_map(F.lit("class1"), F.lit(0.25), F.lit("class2"), F.lit(0.75)))
+    return verdicts.with_probabilities(found, told).select("code", "stage", "lo", "hi", "duration_type", F.size("probabilities").alias("classes"), F.coalesce(F.try_element_at("probabilities", F.lit("class2")), F.lit(0.0)).alias("class2"))
+
+
+@_query
+def segment_votes(spark, sf_dir):
+    """Every bar of a segment votes long if its close rose; the mean of two made-up classes beside."""
+    sums = _sums(spark, sf_dir)
+    bars = stages.bars_of(stages.stage_positions(sums), stages.flags(sums))
+    rows = bars.select("code", "stage", "lo", "hi", F.col("r4").cast("int").alias("prediction"), F.create_map(F.lit("up"), (F.col("rc") / 6.0), F.lit("down"), 1 - F.col("rc") / 6.0).alias("probabilities"))
+    return learning.vote(rows, "code", "stage", "lo", "hi").select("code", "stage", "lo", "hi", "kind", F.round(F.element_at("probabilities", "up"), 6).alias("up"), F.round(F.element_at("probabilities", "down"), 6).alias("down"))
+
+
+TREE = ("div", ("sub", "ma4", "ma47"), ("max", "ma4_std", ("add", ("abs", "ma20_slope"), 1.0)))
+
+
+@_query
+def tree_features(spark, sf_dir):
+    """A given expression tree over the last-bar features, and the part of the split that each code is in."""
+    rows = learning.split(screen.last_bar_features(_sums(spark, sf_dir)), "code")
+    return rows.select("code", F.round(learning.expression(TREE), 4).alias("value"), "part")
 
 
 @_query

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from barline.functions.ma import by_time
 from barline.functions.scalars import parse_date, stock_code
+from barline.sources.store import cut
 
 BASE = 10_000_000  # cents; a walk starts here, high enough to stay positive
 BARS = T.StructType([T.StructField(c, t) for c, t in (("code", T.StringType()), ("timestamps", T.StringType()), *((c, T.DoubleType()) for c in ("open", "close", "high", "low", "vol")), *((c, T.StringType()) for c in ("name", "industry", "block")))])
@@ -31,11 +32,23 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars whose close is a random walk: BASE plus the running sum of each day's mean less the overall mean. code, ts, close, vol."""
-    days = daily(spark, sf_dir)
-    overall = trades(spark, sf_dir).agg(F.expr("sum(cents) div count(*)").alias("overall"))
+    """Bars whose close is a random walk: BASE plus the running sum of each day's mean less the overall mean. code, ts, open, high, low, close, vol.
+
+    A day's open, high and low lie as far from its close as they lie from its mean price. The line items are read once: days are written
+    to the shared folder, and the overall mean comes from the days' sums.
+    """
+    place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents")
+    days = trades(spark, sf_dir).groupBy("code", "ts").agg(
+        F.min_by("cents", place).alias("first"), F.max("cents").alias("most"), F.min("cents").alias("least"),
+        F.sum("cents").alias("total"), F.count("*").alias("lines"), F.sum("qty").alias("vol"),
+    )
+    days = cut(days.withColumn("mean", F.expr("total div lines")))
     # One row: the broadcast has a fixed size.
-    return days.crossJoin(F.broadcast(overall)).select("code", "ts", (F.lit(BASE) + F.sum(F.col("mean") - F.col("overall")).over(by_time())).cast("long").alias("close"), "vol")
+    overall = days.agg(F.expr("sum(total) div sum(lines)").alias("overall"))
+    close = (F.lit(BASE) + F.sum(F.col("mean") - F.col("overall")).over(by_time())).cast("long")
+    rows = days.crossJoin(F.broadcast(overall)).withColumn("close", close)
+    beside = lambda c: (F.col("close") + F.col(c) - F.col("mean")).alias({"first": "open", "most": "high", "least": "low"}[c])
+    return rows.select("code", "ts", beside("first"), beside("most"), beside("least"), "close", "vol")
 
 
 def index_series(bars: DataFrame) -> DataFrame:
@@ -43,12 +56,25 @@ def index_series(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ts").agg(F.expr("sum(close) div count(*)").alias("close"), F.sum("vol").alias("vol"))
 
 
-def read_csv_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, pool: DataFrame | None = None) -> DataFrame:
-    """Bars of CSV files (code, timestamps, open, close, high, low, vol, name, industry, block), in range and pool.
+def read_csv_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, pool: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Bars of CSV files: code, ts, open, close, high, low, vol, name, industry, block, and the numeric columns in `extra`, such as stored averages.
 
-    Files without a code column would take it from their name; missing columns are null; rows without a date or close leave.
+    Columns are found by their names in each file's own header, in any order; those that a file lacks are null, others are not read.
+    Without a code column, the code is the six digits in the file's name. Rows without a date or close leave; so do rows outside the range
+    (both ends included) and outside the pool. Files need a header with `timestamps`; a byte order mark is ignored.
     """
-    rows = spark.read.csv(path, schema=BARS, header=True, enforceSchema=False, encoding="UTF-8")
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("header"), F.col("_metadata.file_path").alias("file"))
+    headers = lines.where("header rlike '(^|,)\"?timestamps\"?(,|$)'").groupBy("header").agg(F.collect_set("file").alias("files"))
+    wanted = {f.name: f.dataType for f in BARS} | dict.fromkeys(extra, T.DoubleType())
+    rows = spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in wanted.items()]))
+    for header in headers.collect():  # one for each layout; the files' names are metadata
+        names = [c.strip().strip('"') for c in header["header"].split(",")]
+        schema = T.StructType([T.StructField(c if c in wanted and c not in names[:i] else f"_{i}", T.StringType()) for i, c in enumerate(names)])
+        found = spark.read.csv(header["files"], schema=schema, header=True, encoding="UTF-8")
+        by_name = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(\d{6})", 1)
+        code = F.col("code") if "code" in schema.names else F.when(by_name != "", by_name)
+        cells = {c: F.col(c).try_cast(t) if c in schema.names else F.lit(None).cast(t) for c, t in wanted.items()} | {"code": code}
+        rows = rows.unionByName(found.select(*[v.alias(c) for c, v in cells.items()]))
     rows = rows.withColumns({"code": stock_code(F.col("code")), "ts": parse_date(F.col("timestamps"))}).where("ts is not null and close is not null")
     if start is not None:
         rows = rows.where(F.col("ts") >= F.lit(start).cast("date"))
@@ -59,6 +85,18 @@ def read_csv_bars(spark: SparkSession, path: str, start: str | None = None, end:
     return rows.drop("timestamps")
 
 
+def read_feature_names(spark: SparkSession, path: str) -> list[str]:
+    """The names of a model's feature list, in the file's order; a list is one small file."""
+    return [r["feature"] for r in spark.read.csv(path, header=True, schema="feature string").where("feature is not null").collect()]
+
+
+def covering_files(bars: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(code, start, end) and the source whose bars of the same code cover the range, the first by name: bars have code, ts and file."""
+    spans = bars.groupBy("code", "file").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    hit = ranges.join(spans, "code").where("first <= start and last >= end")
+    return hit.groupBy("code", "start", "end").agg(F.min("file").alias("file"))
+
+
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
     """Codes of a text file, one on a line; lines that begin with # are comments."""
     return spark.read.text(path).select(F.trim("value").alias("code")).where("code <> '' and not startswith(code, '#')").select(stock_code(F.col("code")).alias("code")).distinct()
@@ -91,3 +129,25 @@ def write_summary(segments: DataFrame, path: str) -> None:
     """Segments as CSV, their feature vectors as comma-separated text."""
     flat = segments.withColumn("feature_vector", F.array_join(F.transform("feature_vector", lambda x: x.cast("string")), ","))
     flat.write.mode("overwrite").csv(path, header=True)
+
+
+def write_registry(modes: DataFrame, path: str) -> None:
+    """Replaces the registry: one JSON object for each mode, its saved ranges in a list."""
+    saved = F.filter(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "startDate", "endDate", "saveTime"))), lambda r: r.isNotNull())
+    rows = modes.groupBy("index").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("name", "lines", "recentNDaysValue")], saved.alias("savedBrushTimeRanges"))
+    rows.write.mode("overwrite").json(path)
+
+
+def as_json(rows: DataFrame, column: str = "json") -> DataFrame:
+    """Each row, with all that is nested in it, as one JSON text; columns without a value are left out."""
+    return rows.select(F.to_json(F.struct("*")).alias(column))
+
+
+def flattened(results: DataFrame, column: str = "items") -> DataFrame:
+    """A row for each element of an array of structs, beside the other columns; rows with an empty list leave."""
+    return results.select(*[c for c in results.columns if c != column], F.inline(column))
+
+
+def renamed(bars: DataFrame, names: dict[str, str], **literals: object) -> DataFrame:
+    """The named columns in the mapping's order under their new names, with literal columns behind them."""
+    return bars.select(*[F.col(a).alias(b) for a, b in names.items()], *[F.lit(v).alias(c) for c, v in literals.items()])

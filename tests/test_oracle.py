@@ -5,9 +5,11 @@ import datetime
 import duckdb
 import pytest
 
-from barline.plans.oracle import ORACLE_SQL
+from barline.plans import oracle, oracle_search
 from barline.plans.queries import QUERIES
 
+ORACLE_SQL = oracle.ORACLE_SQL | oracle_search.ORACLE_SQL
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -47,3 +47,13 @@ def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], Any]) -> An
 
     got = sample.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(got[0]["model"]) if got else fit([], np.zeros(0, np.int64))
+
+
+def kept(documents: DataFrame, text_column: str, id_column: str, scores: Callable[[pa.Array], np.ndarray], keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows, with all their columns, whose text's score is one to keep: every row by its own text, in the task that reads it, so nothing is exchanged. Rows without an id leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(scores(batch[text_column])), pa.bool_()))
+
+    return documents.where(F.col(id_column).isNotNull()).mapInArrow(run, documents.schema)

@@ -4,25 +4,13 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession) -> None:
-    """Leaves spark.checkpoint.dir as the cluster names it; sets a folder of this machine only where it is unset, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that lost executors cost no recomputation."""
-    shared(df.sparkSession)
-    return df.checkpoint(eager=True)
+from barline.sources.store import cut, share  # noqa: F401
 
 
 def ids(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

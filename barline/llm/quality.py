@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm._sample import fitted, labelled
+from barline.llm._sample import fitted, kept, labelled
 from barline.llm._spark import ids
 from barline.llm._text import hashes, lower, mix, pieces
 
@@ -149,6 +150,13 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 1) -
     return model
 
 
+def learned(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 4000, chars: int = 20_000, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> Broadcast:
+    """The model of the labelled rows that `learn` allows: at most `rows` texts of at most `chars` characters."""
+    texts = ids(documents, id_column, text_column)
+    sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
+    return documents.sparkSession.sparkContext.broadcast(fitted(sample, fit))
+
+
 def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 4000, chars: int = 20_000, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and score, the calibrated probability of label 1, for every whole text.
 
@@ -156,12 +164,16 @@ def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 40
     Repeated rows are scored each; an id with several labels counts with the larger. Rows with a null id leave. Without
     usable labels every score is 0.5. An empty table gives no rows; further columns are not read.
     """
-    texts = ids(documents, id_column, text_column)
-    sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
-    model = documents.sparkSession.sparkContext.broadcast(fitted(sample, fit))
+    model = learned(documents, labels, learn, rows, chars, label, id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.value.scores(batch["text"]))], names=["doc_id", "score"])
 
-    return texts.mapInArrow(run, "doc_id long, score double")
+    return ids(documents, id_column, text_column).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(documents: DataFrame, labels: DataFrame, learn: Column, least: float = 0.3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of documents, with all their columns, that a score of at least `least` keeps, each judged by its own text; rows without an id leave. Null texts score as empty ones."""
+    model = learned(documents, labels, learn, id_column=id_column, text_column=text_column)
+    return kept(documents, text_column, id_column, lambda texts: model.value.scores(texts), lambda s: s >= least)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.llm import dropout_bpe, lsh_forest, maxscore, packing, quality, rlz, sharding, suffix_array, toxicity, webp
 from barline.llm._sample import fold
 from barline.llm._spark import table
+from barline.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +64,3 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op5_lsh_forest, op6_jump_sharding, op7_merge_dropout, op8_quality, op9_maxscore, op10_suffix_dedup)}
-
-ORACLE_SQL: dict[str, str] = {}

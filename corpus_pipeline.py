@@ -13,26 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import lsh_forest, packing, quality, suffix_array, toxicity
-from barline.llm._spark import shared, table
+from barline.llm._spark import share, table
 
 #: Documents leave below this probability of good quality, and from this probability of being toxic.
 QUALITY, TOXIC = 0.3, 0.3
 
 
-def _keep(docs: DataFrame, scores: DataFrame, condition: str) -> DataFrame:
-    """The rows of docs whose score meets the condition; rows without an id can't be scored and leave."""
-    return docs.join(scores.where(condition).select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is QUALITY at least; of rows that share an id all stay if one does. Null texts score as empty ones."""
-    return _keep(docs, quality.score(docs, table(spark, sf_dir, "labels"), F.lit(True)), f"score >= {QUALITY}")
+    """Keeps documents whose score is QUALITY at least, each row by its own text. Null texts score as empty ones; rows without an id leave."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"), F.lit(True), QUALITY)
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is below TOXIC; of rows that share an id all leave if one does. Null texts score as empty ones."""
-    scores = toxicity.score(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return _keep(docs, scores.groupBy("doc_id").agg(F.max("score").alias("score")), f"score < {TOXIC}")
+    """Keeps documents whose score is below TOXIC, each row by its own text. Null texts score as empty ones; rows without an id leave."""
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"), F.lit(True), TOXIC)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +44,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as token pieces in sequences of 1024: null texts count as empty, rows without an id leave, an empty table gives no rows."""
     return packing.pack(docs)
 
 
@@ -60,7 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shared(spark)
+    """The pieces that all stages together leave of the table of documents; each stage's rows lie as Parquet in a new folder of the shared one."""
+    share(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):

@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from barline.llm._repeats import HOT, remove_repeats
+from barline.llm._repeats import HOT, ragged, remove_repeats
 from barline.llm._text import runs
 
 
@@ -70,6 +70,26 @@ def earlier_equal(symbols: np.ndarray, places: np.ndarray, doc: np.ndarray, star
     return out
 
 
+def factors(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, other_begin: np.ndarray, other_end: np.ndarray, edges: np.ndarray, length: int) -> np.ndarray:
+    """Which words of stretches lie in factors of `length` words or more, each stretch parsed against the block place that the index names for it.
+
+    From its first word on, a stretch is followed for as long as its words equal the block's; the factor ends at the first
+    that differs, which is passed as a literal, and parsing goes on behind it. Words are compared by their bytes.
+    """
+    size = end - begin
+    same = size == other_end - other_begin
+    at = np.flatnonzero(same & (size > 0))
+    cell = size[at]
+    apart = data[ragged(begin[at], cell)] != other[ragged(other_begin[at], cell)]
+    if len(at):
+        same[at] = ~np.logical_or.reduceat(apart, np.cumsum(cell) - cell)
+    cut = np.zeros(len(same), bool)
+    cut[edges] = True
+    head = np.flatnonzero(cut | ~same | np.concatenate(([True], ~same[:-1])) if len(same) else cut)  # a factor or a literal begins
+    run = np.diff(np.append(head, len(same)))
+    return same & np.repeat(run >= length, run)
+
+
 def dedup_words(documents: DataFrame, length: int = 20, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, tie, n (words), n_removed, spans (start and end in words) and kept (words joined by a space, UTF-8).
 
@@ -80,4 +100,4 @@ def dedup_words(documents: DataFrame, length: int = 20, id_column: str = "doc_id
     alike. Rows with a null id leave. An empty table gives no rows; further columns are not read.
     """
     gram = max(1, min(6, length // 2))
-    return remove_repeats(documents, "words", length, gram, earlier_equal, id_column, text_column, hot)
+    return remove_repeats(documents, "words", length, gram, earlier_equal, factors, id_column, text_column, hot)

@@ -1,11 +1,14 @@
 """Removal of repeated byte strings through suffix arrays, sorted deep-shallow.
 
-The suffixes of a bucket (see _repeats) are sorted in two regimes. Multikey quicksort takes eight bytes at a time as one
-symbol, down to a shallow depth: every group of suffixes that still tie is split three ways until it is single. Groups
-that tie beyond that depth share long prefixes; comparing them symbol by symbol would read the same bytes again and
-again. They go into blind tries, which store only where suffixes branch: the group's first suffix is a path, each other
-suffix leaves it at its first different byte, and the suffixes that leave at the same place by the same byte form a smaller
-trie. All groups of a task are partitioned at once, by array operations.
+The suffixes of a bucket (see _repeats) are sorted in two regimes. Multikey quicksort, down to a shallow depth, takes eight bytes
+at a time as one symbol: every group of suffixes is split three ways by the median of three of its symbols; the middle part, which
+agrees in the symbol, goes on one symbol deeper. Groups that still tie at the shallow depth share long prefixes; comparing them symbol by symbol
+would read the same bytes again and again. Their order comes from blind tries, which branch only where suffixes differ: a group's first
+suffix is a path from the root to a leaf, each other suffix leaves it at its first different byte, and the suffixes that leave at the
+same place by the same byte form the subtrie there. In-order, what leaves by smaller bytes comes before the path, from the top down, and what
+leaves by larger ones behind it, from the bottom up.
+
+All groups of a task are split at once, and all tries grow by one path at a time, by array operations.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm._repeats import HOT, numbered, remove_repeats
+from barline.llm._repeats import HOT, numbered, ragged, remove_repeats
 
 SHALLOW = 32  # bytes that multikey quicksort looks at
 _WORD = 8
@@ -48,18 +51,48 @@ def _groups(sorted_keys: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(change)
 
 
+def multikey_quicksort(word: np.ndarray, places: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the strings at these places by their first `depth` bytes, and for each position of the order where its group of ties begins."""
+    n = len(places)
+    order, slot, at_depth = np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    tied = np.arange(n)  # positions of groups of two or more that are not through
+    while len(tied):
+        group, deep = slot[tied], at_depth[tied]
+        key = word[places[order[tied]] + deep]
+        past = deep + _WORD - depth
+        if (past > 0).any():
+            key = key >> (8 * np.maximum(past, 0)).astype(np.uint64)
+        first = np.flatnonzero(group == tied)
+        size = np.diff(np.append(first, len(tied)))
+        three = np.sort(np.stack((key[first], key[first + size // 2], key[first + size - 1])), 0)
+        pivot = np.repeat(three[1], size)
+        less, same = key < pivot, key == pivot
+        counts = [np.add.reduceat(x.astype(np.int64), first) for x in (less, same)]
+        n_less, n_same = (np.repeat(c, size) for c in counts)
+        rank = lambda x: (lambda c: c - 1 - np.repeat((c - x)[first], size))(np.cumsum(x))  # noqa: B023, E731
+        begin = np.where(less, 0, np.where(same, n_less, n_less + n_same))
+        to = group + begin + np.where(less, rank(less), np.where(same, rank(same), rank(~(less | same))))
+        order[to] = order[tied]
+        slot[to] = group + begin
+        at_depth[to] = deep + _WORD * same
+        ends = np.append(np.flatnonzero(np.diff(slot[tied])), len(tied) - 1)
+        many = np.repeat(np.diff(np.append(-1, ends)) > 1, np.diff(np.append(-1, ends)))
+        tied = tied[many & (at_depth[tied] < depth)]
+    return order, slot
+
+
 def sort_suffixes(data: np.ndarray, places: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """The order of the strings data[place : place + length], and for each string in that order the number of its class of equals."""
     n = len(places)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = _words_at(data)
-    order, slot = np.arange(n), np.zeros(n, np.int64)  # slot: where a string's group begins in the order
-    tied = np.arange(n)
+    order, slot = multikey_quicksort(word, places, min(shallow, length))
+    size = np.bincount(slot, minlength=n)
+    tied = np.flatnonzero(size[slot] > 1) if shallow < length else np.zeros(0, np.int64)
 
     def arrange(at: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
         """Sorts the tied strings at these positions of the order by their slot, then by the keys; returns which positions still tie."""
-        nonlocal order, slot
         rank = np.lexsort((*reversed(keys), slot[at]))
         order[at] = order[at][rank]
         group = _groups([slot[at][rank], *(k[rank] for k in keys)])
@@ -68,13 +101,6 @@ def sort_suffixes(data: np.ndarray, places: np.ndarray, length: int, shallow: in
         size = np.diff(np.append(begin, len(at)))
         return at[(size > 1)[group]]
 
-    for depth in range(0, min(shallow, length), _WORD):
-        key = word[places[order[tied]] + depth]
-        if depth + _WORD > length:
-            key = key >> np.uint64(8 * (depth + _WORD - length))
-        tied = arrange(tied, [key])
-        if not len(tied):
-            break
     depth_of = np.full(n, min(shallow, length))  # by slot: bytes in which a group agrees
     while len(tied):
         group = slot[tied]
@@ -116,6 +142,25 @@ def earlier_equal(data: np.ndarray, places: np.ndarray, doc: np.ndarray, start:
     return out
 
 
+def same_bytes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: np.ndarray, other_begin: np.ndarray, other_end: np.ndarray, edges: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of stretches lie in strings of `length` bytes that fall into one class with the string at the same place of their source.
+
+    The strings follow one another from each stretch's first byte, the last one ending with the stretch; those of stretches and sources are
+    sorted together.
+    """
+    size = np.diff(np.append(edges, len(begin)))
+    count = -(-size // length)
+    starts = np.minimum(np.repeat(edges, count) + length * ragged(np.zeros(len(edges), np.int64), count), np.repeat(edges + size - length, count))
+    both = np.concatenate((data[begin], other[other_begin]))
+    order, group = sort_suffixes(both, np.concatenate((starts, starts + len(begin))), length)
+    of = np.empty(len(order), np.int64)
+    of[order] = group
+    equal = of[: len(starts)] == of[len(starts) :]
+    out = np.zeros(len(begin), bool)
+    out[ragged(starts[equal], np.full(equal.sum(), length))] = True
+    return out
+
+
 def dedup_bytes(documents: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, tie, n (bytes), n_removed, spans (start and end of the maximal removed runs) and kept (the other bytes).
 
@@ -126,7 +171,7 @@ def dedup_bytes(documents: DataFrame, length: int = 100, id_column: str = "doc_i
     rows; further columns are not read.
     """
     gram = max(1, min(32, length // 2))
-    return remove_repeats(documents, "bytes", length, gram, earlier_equal, id_column, text_column, hot)
+    return remove_repeats(documents, "bytes", length, gram, earlier_equal, same_bytes, id_column, text_column, hot)
 
 
 def dedup_texts(documents: DataFrame, length: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

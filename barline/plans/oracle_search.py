@@ -158,6 +158,16 @@ _UNEVEN = f"(SELECT * FROM {_lines(13, f'''AND code <> '{CODE}' ''')} UNION ALL
 _RUNS48, _FUTURE5 = f"runs48 AS {_runs(_ARRANGED)}", f"future5 AS {_future('(SELECT code, last AS lo, last AS hi FROM runs48 )', 5)}"
 _PART = "CASE WHEN CAST('0x' || substr(md5(concat_ws('|', code, '42')), 1, 7) AS BIGINT) < CAST(floor(0.7 * 268435456) AS BIGINT) THEN 'train' ELSE 'test' END"
 
+#: Boxes one by one, the best first; those that are kept are at hand as a list. Areas count the last pixel.
+_BOXES = """WITH RECURSIVE boxes AS (SELECT o_orderpriority AS key, o_orderkey % 97 AS x1, o_custkey % 89 AS y1, o_orderkey % 97 + 10 + o_orderkey % 13 AS x2, o_custkey % 89 + 12 AS y2, max(o_totalprice) AS score FROM orders GROUP BY 1, 2, 3, 4, 5),
+    ranked AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY score DESC, x1, y1, x2, y2) AS place, {'a': x1, 'b': y1, 'c': x2, 'd': y2, 's': score} AS box FROM boxes),
+    walk AS (SELECT key, place, [box] AS kept FROM ranked WHERE place = 1
+        UNION ALL SELECT key, place, CASE WHEN list_bool_or(list_transform(kept, lambda k: 10 * greatest(least(k.c, box.c) - greatest(k.a, box.a) + 1, 0) * greatest(least(k.d, box.d) - greatest(k.b, box.b) + 1, 0)
+                > 4 * ((k.c - k.a + 1) * (k.d - k.b + 1) + (box.c - box.a + 1) * (box.d - box.b + 1) - greatest(least(k.c, box.c) - greatest(k.a, box.a) + 1, 0) * greatest(least(k.d, box.d) - greatest(k.b, box.b) + 1, 0))))
+            THEN kept ELSE list_append(kept, box) END
+        FROM (SELECT w.key, b.place, w.kept, b.box FROM walk w JOIN ranked b ON b.key = w.key AND b.place = w.place + 1))
+    SELECT key, CAST(k.a AS DOUBLE) AS x1, CAST(k.b AS DOUBLE) AS y1, CAST(k.c AS DOUBLE) AS x2, CAST(k.d AS DOUBLE) AS y2, k.s AS score FROM (SELECT key, unnest(max_by(kept, place)) AS k FROM walk GROUP BY key)"""
+
 ORACLE_SQL = {
     "golden_cross_arranged": sql(f"SELECT code, ts, close FROM {_ARRANGED}"),
     "golden_cross_intervals": sql(_INTERVALS, _RUNS48, _FUTURE5),
@@ -211,5 +221,6 @@ ORACLE_SQL = {
         """SELECT g.code, g.stage, g.lo, g.hi, CASE WHEN avg(CAST(r4 AS INTEGER)) > 0.5 THEN 'long' ELSE 'short' END AS kind, round(avg(rc / 6.0), 6) AS up, round(avg(1 - rc / 6.0), 6) AS down
         FROM stages g JOIN flags f ON f.code = g.code AND f.n BETWEEN g.lo AND g.hi GROUP BY g.code, g.stage, g.lo, g.hi"""
     ),
+    "box_suppression": _BOXES,
     "tree_features": f"SELECT code, round((ma4 - ma47) / greatest(ma4_std, abs(ma20_slope) + 1.0), 4) AS value, {_PART} AS part FROM ({LAST_BAR})",
 }

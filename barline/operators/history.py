@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.ma import by_time
-from barline.operators.stages import bars_of
+from barline.operators.stages import THRESHOLDS, bars_of
 
 
 def last_bars(points: DataFrame, bars: DataFrame, day: str = "ts") -> DataFrame:
@@ -40,6 +40,32 @@ def before_first(labelled: DataFrame, history: int = 60) -> DataFrame:
     return named.join(labelled.select("code", F.col("n").cast("long").alias("n")).distinct(), ["code", "n"]).select("code", "label", "first", "n")
 
 
+def classifier_rows(labelled: DataFrame, history: int = 60) -> DataFrame:
+    """Of labelled bars (code, ts, n, label) what a classifier of each label is given: the bars before its first one, up to `history`, and all from its first to its last.
+
+    code, label, n, part ('history' or 'target'), duration (bars of the target) and duration_type, by which a model is chosen. Labels without a bar before leave.
+    """
+    ends = labelled.where("label <> 0").groupBy("code", "label").agg(F.min("n").cast("long").alias("lo"), F.max("n").cast("long").alias("hi"))
+    rows = bars_of(ends, labelled.select("code", F.col("n").cast("long").alias("n")).distinct(), history)
+    target = F.col("n") >= F.col("lo")
+    by = Window.partitionBy("code", "label")
+    rows = rows.withColumns({"duration": F.count_if(target).over(by), "before": F.count_if(~target).over(by)}).where("before > 0")
+    kind = F.when(F.col("duration") > F.when(F.col("label") == 2, THRESHOLDS["stage2"]).otherwise(THRESHOLDS["stage1"]), "long").otherwise("short")
+    return rows.select("code", "label", "n", F.when(target, "target").otherwise("history").alias("part"), "duration", kind.alias("duration_type"))
+
+
+def on_days(bars: DataFrame, days: DataFrame) -> DataFrame:
+    """The bars on the days of a table (ts), whatever their code."""
+    return bars.join(days.select("ts").distinct(), "ts", "left_semi")
+
+
+def with_labels(bars: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The bars that a labelled table (code, ts, label) has, with its label; codes are equal if their first six characters are."""
+    key = lambda c: F.substring(c, 1, 6)
+    marks = labelled.select(key("code").alias("_key"), "ts", "label").distinct()
+    return bars.withColumn("_key", key("code")).join(marks, ["_key", "ts"]).drop("_key")
+
+
 def export_rows(fragments: DataFrame, bars: DataFrame, label: int | Column, history: int = 60) -> DataFrame:
     """What is exported of each code's one fragment (code, start, end): its bars from `history` before the bar at or before its start to the end of the series; those of the fragment have the label, others 0."""
     found = last_bars(fragments, bars, "start").withColumnRenamed("n", "at")

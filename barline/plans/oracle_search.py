@@ -201,6 +201,20 @@ ORACLE_SQL = {
         JOIN exported m ON m.code = f.code AND m.n BETWEEN f.first - 60 AND f.first - 1""",
         f"exported AS {_EXPORTED}",
     ),
+    "classifier_rows": sql(
+        """SELECT e.code, e.label, m.n, CASE WHEN m.n >= e.lo THEN 'target' ELSE 'history' END AS part, d.duration, CASE WHEN d.duration > (CASE WHEN e.label = 2 THEN 4 ELSE 10 END) THEN 'long' ELSE 'short' END AS duration_type
+        FROM (SELECT code, label, min(n) AS lo, max(n) AS hi FROM exported WHERE label <> 0 GROUP BY code, label) e
+        JOIN exported m ON m.code = e.code AND m.n BETWEEN e.lo - 60 AND e.hi
+        JOIN (SELECT a.code, a.label, count(*) FILTER (WHERE b.n >= a.lo) AS duration, count(*) FILTER (WHERE b.n < a.lo) AS before
+            FROM (SELECT code, label, min(n) AS lo, max(n) AS hi FROM exported WHERE label <> 0 GROUP BY code, label) a JOIN exported b ON b.code = a.code AND b.n BETWEEN a.lo - 60 AND a.hi GROUP BY a.code, a.label) d
+        ON d.code = e.code AND d.label = e.label WHERE d.before > 0""",
+        f"exported AS {_EXPORTED}",
+    ),
+    "bars_on_cross_days": sql(f"SELECT code, ts, close FROM sums WHERE ts IN (SELECT ts FROM (SELECT code, ts, {_HIT.format(p=4, q=12)} AS hit FROM sums ) WHERE hit AND code = '{CODE}')"),
+    "labelled_days": sql(
+        """SELECT substr(m.code, 1, 6) AS code, m.ts, m.close, 2 AS label FROM sums m
+        JOIN (SELECT DISTINCT substr(g.code, 1, 6) AS key, x.ts FROM stages g JOIN sums x ON x.code = g.code AND x.n BETWEEN g.lo AND g.hi WHERE g.stage = 'stage2') d ON d.key = substr(m.code, 1, 6) AND d.ts = m.ts"""
+    ),
     "range_history": sql(
         f"""SELECT code, start, "end", ts, n, part, count(*) FILTER (WHERE part = 'history') OVER w AS n_history, count(*) FILTER (WHERE part = 'target') OVER w AS n_target
         FROM (SELECT g.code, g.start, g."end", m.ts, CAST(m.n AS BIGINT) AS n, CASE WHEN m.n >= g.lo THEN 'target' ELSE 'history' END AS part FROM {_INSIDE} g JOIN sums m ON m.code = g.code AND m.n BETWEEN g.lo - 50 AND g.hi)

@@ -280,6 +280,29 @@ def screen_history(spark, sf_dir):
     return history.before_first(history.export_rows(found, sums, F.col("k")))
 
 
+@_query
+def classifier_rows(spark, sf_dir):
+    sums = _sums(spark, sf_dir)
+    found = screen.current_stage(sums).select("code", "start", "end", F.substring("stage", 6, 1).cast("int").alias("k"))
+    return history.classifier_rows(history.export_rows(found, sums, F.col("k")))
+
+
+@_query
+def bars_on_cross_days(spark, sf_dir):
+    """The bars of all codes on the days on which the chosen one has a golden cross."""
+    sums = _sums(spark, sf_dir)
+    days = golden.matching_bars(sums, golden_cross(4, 12), arranged=False, filtered=False).where(F.col("code") == CODE)
+    return history.on_days(sums, days).select("code", "ts", "close")
+
+
+@_query
+def labelled_days(spark, sf_dir):
+    """Bars with the labels of segments whose codes have a suffix."""
+    sums = _sums(spark, sf_dir)
+    marks = stages.context_labels(stages.stage_positions(sums), sums, "stage2", 2, 0).withColumn("code", F.concat(F.substring("code", 1, 6), F.lit(".X")))
+    return history.with_labels(sums.withColumn("code", F.substring("code", 1, 6)), marks).select("code", "ts", "close", "label")
+
+
 @_query
 def range_history(spark, sf_dir):
     """Every stage2 segment widened by a day on both sides: the bars inside and the 50 before."""

@@ -236,7 +236,7 @@ def _clusters(table: pa.Table, share: float) -> pa.Table:
         here = np.arange(ends[r] - sizes[r], ends[r])
         names, count = np.unique(label[here], return_counts=True)
         rest = here[label[here] != names[np.argmax(count)]]
-        step = max(1, (1 << 20) // len(here))
+        step = max(1, (1 << 17) // len(here))
         for block in (rest[i : i + step] for i in range(0, len(rest), step)):
             a, b = np.repeat(block, len(here)), np.tile(here, len(block))
             apart = label[a] != label[b]
@@ -252,7 +252,7 @@ def _clusters(table: pa.Table, share: float) -> pa.Table:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every two sets. Shingles that few sets have add up one pair at a time, the others by matrix products."""
+    """Sizes of the intersections of every two sets, above the diagonal. Shingles that few sets have add up one pair at a time, the others by matrix products."""
     m = len(sets)
     both = np.concatenate(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
@@ -268,8 +268,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
         if not len(at):
             break
         np.add.at(out, who[at] * m + who[at + step], np.float32(1))
-    out = out.reshape(m, m)
-    out += out.T
+    out = out.reshape(m, m)  # so far above the diagonal alone, which is all that is asked for
     many = count > DENSE
     who, what = owner[many], column[many]
     what = np.cumsum(np.concatenate(([False], what[1:] != what[:-1]))) if len(what) else what
@@ -298,13 +297,18 @@ def _linked(table: pa.Table, size: np.ndarray, h: np.ndarray, similarity: tuple[
         sets = [h[ends[r] - size[r] : ends[r]] for r in rows]
         own = size[rows].astype(np.float64)
         if len(rows) == 2:
-            both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]], float)
+            both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))], [0, 0]], np.float32)
         else:
-            both = overlaps(sets).astype(np.float64)
-        hit = np.triu(of * both >= least * (own[:, None] + own[None] - both), 1)
-        if straggler[rows].any():
-            hit &= (straggler[rows][:, None] != straggler[rows][None]) & (label[rows][:, None] != label[rows][None])
-        root = union(len(rows), *np.nonzero(hit))
+            both = overlaps(sets)
+        mixed, links = straggler[rows].any(), []
+        for i in range(0, len(rows), 128):  # a band of the matrix at a time
+            band = both[i : i + 128].astype(np.float64)
+            hit = np.triu(of * band >= least * (own[i : i + 128, None] + own[None] - band), i + 1)
+            if mixed:
+                hit &= (straggler[rows][i : i + 128, None] != straggler[rows][None]) & (label[rows][i : i + 128, None] != label[rows][None])
+            x, y = np.nonzero(hit)
+            links.append((x + i, y))
+        root = union(len(rows), *map(np.concatenate, zip(*links, strict=True)))
         first = np.full(len(rows), np.iinfo(np.int64).max)
         np.minimum.at(first, root, doc[rows])
         away = doc[rows] != first[root]

@@ -85,4 +85,4 @@ def test_overlaps():
     rng = np.random.default_rng(4)
     sets = [np.unique(rng.integers(0, 90, rng.integers(1, 80)).astype(np.uint64)) for _ in range(60)]
     got = lsh_forest.overlaps(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(i))
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for j in range(60) for i in range(j))

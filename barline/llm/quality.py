@@ -1,14 +1,14 @@
 """Quality scores from random-indexing word vectors and a two-layer network.
 
 Words and runs of symbols are hashed into a fixed number of rows. Every row has a sparse random index vector of +1 and -1;
-a row's word vector is its own index vector plus the mean of the index vectors of its neighbours in the fitting sample.
+a row's word vector is its own index vector plus the mean of the index vectors of its neighbours in all documents, summed by Spark.
 A token also has a shape (letters or symbols, capitals, length, same as the token before), and shapes have vectors in the
 same way. A document is the mean of its words' vectors and the mean of its shapes' vectors, with its length and its share of
 distinct words beside them. A network with one hidden layer, written in numpy, gives the log-odds; a temperature fitted on
 rows that the network has not seen turns them into probabilities.
 
-The vectors and the network are fitted on a sample of at most `rows` labelled texts of at most `chars` characters;
-the model's size is fixed, whatever the corpus is.
+The network is fitted on a sample of at most `rows` labelled texts of at most `chars` characters; the table of vectors and
+the network have fixed sizes, whatever the corpus is.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm._sample import fitted, kept, labelled
-from barline.llm._spark import ids
+from barline.llm._spark import ids, tidy
 from barline.llm._text import hashes, lower, mix, pieces
 
 ROWS, SHAPES, WIDTH, HIDDEN = 1 << 15, 128, 32, 24
@@ -118,20 +118,48 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int, seed: int) -> list[np.ndarr
     return layers
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 1) -> Model:
+def word_vectors(documents: DataFrame) -> np.ndarray:
+    """Vectors of all table rows from every text of (doc_id, text). A task sends a row of sums for each table row that it met, so the exchange is bounded by tasks times table rows."""
+    names = [f"c{i}" for i in range(WIDTH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = index_vectors().astype(np.int32)
+        around, seen = np.zeros_like(vectors, np.int64), np.zeros(len(vectors), np.int64)
+        for batch in batches:
+            for _, _, data, offsets in pieces(batch["text"]):
+                owner, word, shape = tokens(data, offsets)
+                for table in (word, shape):
+                    # The sum of a token's neighbours' vectors, then of all tokens with one table row.
+                    own = vectors[table]
+                    beside, count = np.zeros_like(own), np.zeros(len(own), np.int64)
+                    for step in (1, 2):
+                        near = np.flatnonzero(owner[step:] == owner[:-step])
+                        beside[near] += own[near + step]
+                        beside[near + step] += own[near]
+                        count[near] += 1
+                        count[near + step] += 1
+                    order = np.argsort(table, kind="stable")
+                    first = np.flatnonzero(np.concatenate(([True], np.diff(table[order]) != 0))) if len(order) else order
+                    if len(order):
+                        rows = table[order][first]
+                        around[rows] += np.add.reduceat(beside[order], first, dtype=np.int64)
+                        seen[rows] += np.add.reduceat(count[order], first)
+        met = np.flatnonzero(seen)
+        columns = [pa.array(met), pa.array(seen[met]), *(pa.array(around[met, i]) for i in range(WIDTH))]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "seen", *names])
+        tidy()
+
+    sums = documents.select("text").mapInArrow(run, "row long, seen long, " + ", ".join(f"{n} long" for n in names))
+    got = sums.groupBy("row").agg(*[F.sum(n).alias(n) for n in ("seen", *names)]).toArrow()
+    vectors, at = index_vectors(), got["row"].to_numpy()
+    vectors[at] += np.stack([got[n].to_numpy() for n in names], 1) / got["seen"].to_numpy()[:, None]
+    return vectors
+
+
+def fit(vectors: np.ndarray, texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 1) -> Model:
     """A model of the labelled texts. With one class only, or none, every score is the smoothed share of label 1."""
-    vectors, column = index_vectors(), pa.array(texts, pa.string())
-    around, seen = np.zeros_like(vectors), np.zeros(len(vectors), np.float32)
-    for _, _, data, offsets in pieces(column):
-        owner, word, shape = tokens(data, offsets)
-        for step in (1, 2):
-            near = owner[step:] == owner[:-step]
-            for table in (word, shape):
-                a, b = table[:-step][near], table[step:][near]
-                np.add.at(around, a, vectors[b])
-                np.add.at(around, b, vectors[a])
-                seen += np.bincount(a, minlength=len(seen)) + np.bincount(b, minlength=len(seen))
-    model = Model(vectors + around / np.maximum(seen, 1)[:, None], np.zeros(1), np.ones(1), [], 1.0)
+    column = pa.array(texts, pa.string())
+    model = Model(vectors, np.zeros(1), np.ones(1), [], 1.0)
     x = model.features(column)
     model.mean, model.scale = (x.mean(0), x.std(0) + 1e-3) if len(x) else (np.zeros(2 * WIDTH + 2), np.ones(2 * WIDTH + 2))
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -151,10 +179,11 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 1) -
 
 
 def learned(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 4000, chars: int = 20_000, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> Broadcast:
-    """The model of the labelled rows that `learn` allows: at most `rows` texts of at most `chars` characters."""
+    """The model of the labelled rows that `learn` allows: at most `rows` texts of at most `chars` characters. Word vectors come from all texts."""
     texts = ids(documents, id_column, text_column)
+    vectors = documents.sparkSession.sparkContext.broadcast(word_vectors(texts))
     sample = labelled(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), labels, label, learn, rows, chars)
-    return documents.sparkSession.sparkContext.broadcast(fitted(sample, fit))
+    return documents.sparkSession.sparkContext.broadcast(fitted(sample, lambda got, marks: fit(vectors.value, got, marks)))
 
 
 def score(documents: DataFrame, labels: DataFrame, learn: Column, rows: int = 4000, chars: int = 20_000, label: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

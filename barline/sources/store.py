@@ -21,3 +21,9 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written once, so that what is built on it is not computed again, whatever branches it has and whichever executors are lost."""
     share(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is no longer read, by whatever file system its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from barline.llm import lsh_forest, packing, quality, suffix_array, toxicity
 from barline.llm._spark import share, table
+from barline.sources.store import remove
 
 #: Documents leave below this probability of good quality, and from this probability of being toxic.
 QUALITY, TOXIC = 0.3, 0.3
@@ -55,11 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces that all stages together leave of the table of documents; each stage's rows lie as Parquet in a new folder of the shared one."""
+    """The pieces that all stages together leave of the table of documents; each stage's rows lie as Parquet in a new folder of the shared one, until the next stage's are written."""
     share(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs

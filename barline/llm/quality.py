@@ -123,30 +123,37 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     names = [f"c{i}" for i in range(WIDTH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors = index_vectors().astype(np.int32)
-        around, seen = np.zeros_like(vectors, np.int64), np.zeros(len(vectors), np.int64)
+        vectors = index_vectors().astype(np.int16)  # a sum of four neighbours stays small
+        around, seen = np.zeros(vectors.shape, np.int64), np.zeros(len(vectors), np.int64)
         for batch in batches:
-            for _, _, data, offsets in pieces(batch["text"]):
+            for _, _, data, offsets in pieces(batch["text"], 1 << 17):
                 owner, word, shape = tokens(data, offsets)
                 for table in (word, shape):
                     # The sum of a token's neighbours' vectors, then of all tokens with one table row.
                     own = vectors[table]
-                    beside, count = np.zeros_like(own), np.zeros(len(own), np.int64)
+                    beside, count = np.zeros_like(own), np.zeros(len(own), np.int16)
                     for step in (1, 2):
-                        near = np.flatnonzero(owner[step:] == owner[:-step])
-                        beside[near] += own[near + step]
-                        beside[near + step] += own[near]
-                        count[near] += 1
-                        count[near + step] += 1
-                    order = np.argsort(table, kind="stable")
-                    first = np.flatnonzero(np.concatenate(([True], np.diff(table[order]) != 0))) if len(order) else order
+                        left, right = beside[:-step], beside[step:]
+                        left += own[step:]
+                        right += own[:-step]
+                        count[:-step] += 1
+                        count[step:] += 1
+                        apart = np.flatnonzero(owner[step:] != owner[:-step])  # of two texts
+                        left[apart] -= own[apart + step]
+                        count[apart] -= 1
+                        right[apart] -= own[apart]
+                        count[apart + step] -= 1
+                    order = np.argsort(table.astype(np.uint16), kind="stable")
                     if len(order):
-                        rows = table[order][first]
-                        around[rows] += np.add.reduceat(beside[order], first, dtype=np.int64)
-                        seen[rows] += np.add.reduceat(count[order], first)
+                        rows = table[order]
+                        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+                        around[rows[first]] += np.add.reduceat(beside[order], first, dtype=np.int32)
+                        seen[rows[first]] += np.add.reduceat(count[order], first, dtype=np.int64)
         met = np.flatnonzero(seen)
-        columns = [pa.array(met), pa.array(seen[met]), *(pa.array(around[met, i]) for i in range(WIDTH))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "seen", *names])
+        for low in range(0, len(met), 4096):
+            own = met[low : low + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(seen[own]), *(pa.array(around[own, i]) for i in range(WIDTH))], names=["row", "seen", *names])
+        del around, vectors
         tidy()
 
     sums = documents.select("text").mapInArrow(run, "row long, seen long, " + ", ".join(f"{n} long" for n in names))

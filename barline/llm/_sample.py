@@ -55,5 +55,6 @@ def kept(documents: DataFrame, text_column: str, id_column: str, scores: Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(keep(scores(batch[text_column])), pa.bool_()))
+        tidy()
 
     return documents.where(F.col(id_column).isNotNull()).mapInArrow(run, documents.schema)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm._repeats import bucket_of
-from barline.llm._spark import cut, ids, tidied
+from barline.llm._spark import cut, ids, tidied, tidy
 from barline.llm._text import hashes, lower, mix, pieces, runs, words
 
 TREES, WIDE = 16, 8
@@ -94,6 +94,7 @@ def _profile(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Rec
             keys = [total(mix(h + np.uint64(c))).view(np.int64) for c in (0x632BE59BD9B4E019, 0xE703_7ED1_A0B4_28DB)]
             sig = signatures(sizes, h)
             yield pa.RecordBatch.from_arrays([batch["doc_id"][row : row + len(sizes)], pa.array(sizes), *map(pa.array, keys), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
+    tidy()
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -191,6 +192,7 @@ def _plant(batches: Iterator[pa.RecordBatch], counts: np.ndarray, depth: int, bu
         groups = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
         held = [pa.array([v[g].tobytes() for g in groups], pa.binary()) for v in (key, rep, size.astype(np.int32), marks, slots)]
         yield pa.RecordBatch.from_arrays([pa.array([bucket[g[0]] for g in groups], pa.int64()), *held], names=["bucket", "key", "rep", "size", "marks", "slots"])
+    tidy()
 
 
 _LINK = "a long, b long"

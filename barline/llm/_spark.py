@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a small file, by whatever file system its path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def tidy() -> None:
     """Gives memory that this worker has freed back to the machine; workers live on between stages. Where the C library has no call for it, Arrow's share alone goes back."""
     pa.default_memory_pool().release_unused()

@@ -59,4 +59,19 @@ OP9 = """WITH sound AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(
     scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
 
-ORACLE_SQL = {"op1_rlz_dedup": OP1, "op5_lsh_forest": OP5, "op6_jump_sharding": OP6, "op9_maxscore": OP9, "op10_suffix_dedup": OP10}
+#: The weakest cut is the first of those with the lowest score; phrases are joined by blanks, so lists of words and texts order alike.
+OP12 = rf"""WITH split AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
+    totals AS (SELECT lang, sum(len(w)) AS n FROM lists GROUP BY lang),
+    phrases AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM lists, (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size),
+    f AS (SELECT lang, size, phrase, count(*) AS a FROM phrases GROUP BY lang, size, phrase HAVING count(*) >= 10),
+    cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 :], ' ') AS rest FROM (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1)),
+    scores AS (SELECT c.lang, c.size, c.phrase, c.a, k, x.a AS l, y.a AS r, CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.a AS HUGEINT) * y.a) AS score
+        FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+    weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inner_ AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, array_to_string(string_split(phrase, ' ')[i : i + 1], ' ') AS phrase FROM weakest, (SELECT unnest([1, 2]) AS i) WHERE size = 3) GROUP BY lang, phrase),
+    kept AS (SELECT w.* FROM weakest w LEFT JOIN inner_ i USING (lang, phrase) WHERE size = 3 OR most IS NULL OR 100 * most < 50 * a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op1_rlz_dedup": OP1, "op5_lsh_forest": OP5, "op6_jump_sharding": OP6, "op9_maxscore": OP9, "op10_suffix_dedup": OP10, "op12_collocations": OP12}

@@ -59,6 +59,20 @@ OP9 = """WITH sound AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(
     scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
     SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5"""
 
+#: Every feature of every text, and all rules at once.
+OP11 = rf"""WITH split AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS.format(text="text")} AS w FROM documents),
+    windows AS (SELECT doc_id, unnest(range(1, len(h) + 1)) AS spot, unnest(h) AS h FROM (SELECT doc_id, list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i : i + 7], ' '))) AS h FROM split WHERE len(w) >= 8)),
+    again AS (SELECT doc_id, spot FROM (SELECT doc_id, spot, count(*) OVER (PARTITION BY doc_id, h) AS n FROM windows) WHERE n > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(spot, spot + 8)) AS i FROM again) GROUP BY doc_id),
+    lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+    lines_ AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines FROM lines GROUP BY doc_id),
+    told AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(regexp_extract_all(text, '[A-Z]')) AS n_capitals, len(regexp_extract_all(text, '[A-Za-z]')) AS n_letters, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes FROM split),
+    whole AS (SELECT t.*, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM told t LEFT JOIN lines_ USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+    base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM whole)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+        NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 4 * n_symbols > n_words OR 2 * n_dup_lines > n_lines OR 2 * n_capitals > n_letters OR 2 * n_echoes > n_words) AS kept FROM base"""
+
 #: The weakest cut is the first of those with the lowest score; phrases are joined by blanks, so lists of words and texts order alike.
 OP12 = rf"""WITH split AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
     lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM split),
@@ -74,4 +88,4 @@ OP12 = rf"""WITH split AS (SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
     SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
-ORACLE_SQL = {"op1_rlz_dedup": OP1, "op5_lsh_forest": OP5, "op6_jump_sharding": OP6, "op9_maxscore": OP9, "op10_suffix_dedup": OP10, "op12_collocations": OP12}
+ORACLE_SQL = {"op1_rlz_dedup": OP1, "op5_lsh_forest": OP5, "op6_jump_sharding": OP6, "op9_maxscore": OP9, "op10_suffix_dedup": OP10, "op11_rule_cascade": OP11, "op12_collocations": OP12}

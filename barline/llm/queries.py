@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import alignment, collocations, dropout_bpe, lsh_forest, maxscore, packing, quality, rlz, sharding, suffix_array, toxicity, webp
+from barline.llm import alignment, collocations, dropout_bpe, lsh_forest, maxscore, packing, quality, rlz, rules, sharding, suffix_array, toxicity, webp
 from barline.llm._sample import fold
 from barline.llm._spark import table
 from barline.llm.oracle import ORACLE_SQL  # noqa: F401
@@ -63,6 +63,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    found = rules.cascade(table(spark, sf_dir, "documents"), report=("n_words", *base))
+    return found.select("doc_id", "n_words", *base, F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words").alias("base_failed"), "kept")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -72,4 +78,4 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op5_lsh_forest, op6_jump_sharding, op7_merge_dropout, op8_quality, op9_maxscore, op10_suffix_dedup, op12_collocations, op13_alignment)}
+QUERIES = {f.__name__: f for f in (op1_rlz_dedup, op2_packing, op3_toxicity, op4_webp, op5_lsh_forest, op6_jump_sharding, op7_merge_dropout, op8_quality, op9_maxscore, op10_suffix_dedup, op11_rule_cascade, op12_collocations, op13_alignment)}

@@ -178,7 +178,7 @@ class Aligned:
     """Distinct stretches of a part of the text: tokens, groups and links of each."""
 
     def __init__(self, p: Pair, found: list[bytes]):
-        data, ends = np.frombuffer(b"".join(found), np.uint8), np.cumsum([len(x) for x in found])
+        data, ends = np.frombuffer(b"".join(found), np.uint8), np.cumsum(np.array([len(x) for x in found], np.int64))
         a, n_a, sound_a = encode(p.side_a, p.ids_a, data, ends)
         b, n_b, sound_b = encode(p.side_b, p.ids_b, data, ends)
         self.sound = sound_a & sound_b

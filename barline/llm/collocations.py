@@ -28,7 +28,8 @@ ROWS, LEAST_BITS, MOST_BITS = 2, 16, 26  # rows of the sketch; binary logarithms
 BYTES = 16  # of text for each counter of a row
 BLOCK = 1 << 17  # counters that travel as one value
 PIECE = 1 << 22  # bytes of text that are worked on at once
-SALTS = 8  # parts of the phrases that share a part or a language
+HOT = 1000  # a part is hot if more than one in HOT cuts have it
+SALTS = 8  # parts of the phrases of a language
 UNKNOWN = "und"
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -110,20 +111,21 @@ def _sketch(batches: Iterator[pa.RecordBatch], bits: int, least: int, longest: i
         h = np.concatenate(words.phrase_hashes(hashed[number] if len(hashed) else np.zeros(len(number), np.uint64)))
         for k in range(ROWS):
             count(held[k], cells(h, k, bits), least)
-    blocks = held.reshape(-1, min(BLOCK, 1 << bits))
+    blocks, codec = held.reshape(-1, min(BLOCK, 1 << bits)), pa.Codec("zstd", 1)
     for first in range(0, len(blocks), 16):
         some = [i for i in range(first, min(first + 16, len(blocks))) if blocks[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], names=["block", "counters"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([codec.compress(blocks[i], asbytes=True) for i in some], pa.binary())], names=["block", "counters"])
     del held, blocks
     tidy()
 
 
-def _merge(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], size: int, least: int) -> Iterator[pa.RecordBatch]:
     """Sums of the blocks of a partition, of which only the bits stay: whether a counter reached `least`."""
     total: dict[int, np.ndarray] = {}
+    codec = pa.Codec("zstd")
     for batch in batches:
         for block, raw in zip(batch["block"].to_pylist(), batch["counters"], strict=True):
-            own = np.frombuffer(raw.as_buffer(), np.uint8)
+            own = np.frombuffer(codec.decompress(raw.as_buffer(), size), np.uint8)
             have = total.get(block)
             total[block] = own.copy() if have is None else np.minimum(have + own, least, out=have)
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(x >= least).tobytes() for x in total.values()], pa.binary())], names=["block", "bits"])
@@ -136,12 +138,12 @@ def survivors(rows: DataFrame, least: int, longest: int, most_bits: int = MOST_B
     spark = rows.sparkSession
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(most_bits, max(LEAST_BITS, (size // BYTES).bit_length()))
-    # A sketch for each of a few tasks a core: what they send doesn't grow with the number of files.
-    own = rows.coalesce(max(64, 4 * spark.sparkContext.defaultParallelism)).mapInArrow(lambda x: _sketch(x, bits, least, longest), "block int, counters binary")
+    # A sketch for each of two tasks a core: what they send doesn't grow with the number of files.
+    own = rows.coalesce(max(8, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(lambda x: _sketch(x, bits, least, longest), "block int, counters binary")
     out = bytearray(ROWS << bits >> 3)
-    block = min(BLOCK, 1 << bits) >> 3
-    for r in own.repartition("block").mapInArrow(lambda x: _merge(x, least), "block int, bits binary").collect():
-        out[r["block"] * block : (r["block"] + 1) * block] = r["bits"]
+    block = min(BLOCK, 1 << bits)
+    for r in own.repartition("block").mapInArrow(lambda x: _merge(x, block, least), "block int, bits binary").collect():
+        out[r["block"] * block >> 3 : (r["block"] + 1) * block >> 3] = r["bits"]
     return bits, bytes(out)
 
 
@@ -196,8 +198,18 @@ def counts(documents: DataFrame, least: int = 10, longest: int = 3, most_bits: i
     return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("size") == 0) & (F.col("n") > 0))
 
 
-def _salt(by: str) -> Column:
-    return F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int").alias("salt")
+def _counted(cuts: DataFrame, parts: DataFrame, part: str, name: str) -> DataFrame:
+    """cuts with the count of a part as `name`.
+
+    Parts that more than one in HOT cuts have are fewer than HOT; their counts are broadcast, and in the join by part those cuts go by their own phrase.
+    """
+    uses = cuts.groupBy("lang", part).agg(F.count("*").alias("uses"))
+    whole = uses.agg(F.sum("uses").alias("whole"))  # one row
+    own = parts.select("lang", F.col("phrase").alias(part), F.col("n").alias(name))
+    hot = uses.crossJoin(F.broadcast(whole)).where(F.col("uses") * HOT > F.col("whole")).join(own, ["lang", part]).select("lang", part, F.col(name).alias("_hot"))
+    keyed = cuts.join(F.broadcast(hot), ["lang", part], "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(part)).otherwise(F.col("phrase")))
+    found = keyed.join(own.withColumnRenamed(part, "_key"), ["lang", "_key"], "left")
+    return found.withColumn(name, F.coalesce("_hot", name)).drop("_key", "_hot", part)
 
 
 def _words(first: Column | int, n: Column | int) -> Column:
@@ -205,16 +217,12 @@ def _words(first: Column | int, n: Column | int) -> Column:
 
 
 def scored(found: DataFrame) -> DataFrame:
-    """lang, phrase, size, a, l, r, score of each counted phrase of two words or more: floor(1000000 a a / (l r)) of its lowest-scoring cut, of equals the first.
-
-    Phrases that share a part are dealt out by salts, for which each part's count is repeated SALTS times.
-    """
-    parts = found.where("size > 0").select("lang", F.col("phrase").alias("part"), F.col("n").alias("count"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    phrases = found.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), _salt("phrase"), F.split("phrase", " ").alias("w"))
+    """lang, phrase, size, a, l, r, score of each counted phrase of two words or more: floor(1000000 a a / (l r)) of its lowest-scoring cut, of equals the first."""
+    phrases = found.where("size > 1").select("lang", "phrase", "size", F.col("n").alias("a"), F.split("phrase", " ").alias("w"))
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
-    cuts = cuts.select("lang", "phrase", "size", "a", "salt", "k", _words(1, F.col("k")).alias("first"), _words(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
+    cuts = cuts.select("lang", "phrase", "size", "a", "k", _words(1, F.col("k")).alias("first"), _words(F.col("k") + 1, F.col("size") - F.col("k")).alias("rest"))
     for part, name in (("first", "l"), ("rest", "r")):
-        cuts = cuts.join(parts.select("lang", "salt", F.col("part").alias(part), F.col("count").alias(name)), ["lang", "salt", part]).drop(part)
+        cuts = _counted(cuts, found.where("size > 0"), part, name)
     score = F.expr("(cast(1000000 as decimal(38, 0)) * cast(a as decimal(19, 0)) * cast(a as decimal(19, 0))) div (cast(l as decimal(19, 0)) * cast(r as decimal(19, 0)))")
     weakest = F.min_by(F.struct("l", "r", "score"), F.struct("score", "k"))
     return cuts.withColumn("score", score).groupBy("lang", "phrase", "size", "a").agg(weakest.alias("c")).select("lang", "phrase", "size", "a", "c.*")
@@ -236,7 +244,7 @@ def collocations(documents: DataFrame, least: int = 10, longest: int = 3, top: i
     found = cut(counts(documents, least, longest, **options))
     kept = subsumed(scored(found), share)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
-    for by in (["lang", _salt("phrase")], ["lang"]):  # a language's phrases are ranked in parts, then the parts' first
+    for by in (["lang", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))], ["lang"]):  # a language's phrases are ranked in parts, then the parts' first
         kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= top)
     words = found.where("size = 0").select("lang", "n")
     return kept.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -71,8 +71,9 @@ def test_counters_never_fall_short():
         collocations.count(row, at, 100)
         truth += np.bincount(at, minlength=64)
     assert (row == np.minimum(truth, 100)).all()
-    batches = [pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([bytes([k, 9, 100])], pa.binary())], names=["block", "counters"]) for k in (1, 4, 5)]
-    (merged,) = list(collocations._merge(iter(batches), 10))
+    pack = pa.Codec("zstd", 1).compress
+    batches = [pa.RecordBatch.from_arrays([pa.array([3], pa.int32()), pa.array([pack(bytes([k, 9, 100]), asbytes=True)], pa.binary())], names=["block", "counters"]) for k in (1, 4, 5)]
+    (merged,) = list(collocations._merge(iter(batches), 3, 10))
     assert merged["bits"].to_pylist() == [np.packbits([True, True, True]).tobytes()]
 
 
@@ -90,6 +91,16 @@ def test_scores_beyond_64_bits(spark):
     assert (r.l, r.r, r.score) == (n, n + 7, 1_000_000 * (n - 5) ** 2 // (n * (n + 7)))
 
 
+def test_hot_parts(spark, monkeypatch):
+    """Counts of parts that many phrases share are broadcast, with the same result."""
+    rows = [("en", f"the w{i}. w{i} the. " * 10) for i in range(60)] + [("en", "the the the. " * 10)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    expected = plain(rows)
+    for hot in (1, 5, 1_000_000):
+        monkeypatch.setattr(collocations, "HOT", hot)
+        assert sorted(tuple(r) for r in collocations.collocations(docs).collect()) == expected
+
+
 def test_odd_tables(spark):
     none = spark.createDataFrame([], "text string, lang string, phrase int, n int")
     assert collocations.collocations(none).collect() == []

@@ -26,8 +26,9 @@ def above(p: int, q: int) -> Column:
     return s(p) * q > s(q) * p
 
 
-def before(column: Column, n: int = 1) -> Column:
-    return F.lag(column, n).over(by_time())
+def before(column: Column, n: int = 1, by: WindowSpec | None = None) -> Column:
+    """The column n bars before. `by` is the window of a series' bars in order; series of days have by_time()."""
+    return F.lag(column, n).over(by_time() if by is None else by)
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -39,13 +40,13 @@ def ordered(periods: tuple[int, ...] = PERIODS) -> Column:
     return all_of([above(p, q) for p, q in zip(periods, periods[1:], strict=False)])
 
 
-def rises(k: int) -> Column:
+def rises(k: int, by: WindowSpec | None = None) -> Column:
     """Strictly above its value one bar before; false on the first bar."""
-    return F.coalesce(s(k) > before(s(k)), F.lit(False))
+    return F.coalesce(s(k) > before(s(k), by=by), F.lit(False))
 
 
-def rising_count(periods: tuple[int, ...] = PERIODS) -> Column:
-    return reduce(lambda a, b: a + b, [rises(k).cast("int") for k in periods])
+def rising_count(periods: tuple[int, ...] = PERIODS, by: WindowSpec | None = None) -> Column:
+    return reduce(lambda a, b: a + b, [rises(k, by).cast("int") for k in periods])
 
 
 def golden_cross(short: int, long: int) -> Column:
@@ -57,10 +58,10 @@ def death_cross(short: int, long: int) -> Column:
     return F.coalesce((before(s(short) * long) >= before(s(long) * short)) & above(long, short), F.lit(False))
 
 
-def falls_below(short: int, long: int, strict: bool = True) -> Column:
+def falls_below(short: int, long: int, strict: bool = True, by: WindowSpec | None = None) -> Column:
     """Strictly above one bar before; now below, or with strict=False not above."""
     now = above(long, short) if strict else ~above(short, long)
-    return F.coalesce(before(above(short, long)) & now, F.lit(False))
+    return F.coalesce(before(above(short, long), by=by) & now, F.lit(False))
 
 
 def average(k: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barline.functions.ma import by_time, PERIODS, average, falls_below, golden_cross, ordered, rises, rising_count
@@ -25,10 +25,10 @@ def rolling_sums(bars: DataFrame, periods: tuple[int, ...] = PERIODS, warm_up: b
     return numbered.where(F.col("_rn") >= longest).withColumn("n", F.col("_rn") - longest).drop("_rn")
 
 
-def flags(sums: DataFrame, periods: tuple[int, ...] = PERIODS) -> DataFrame:
+def flags(sums: DataFrame, periods: tuple[int, ...] = PERIODS, by: WindowSpec | None = None) -> DataFrame:
     """ordered, rc (averages that rise), r4 .. r47, s2, only4 (MA4 alone drops), joint (MA4 and another drop), p4 and p5 (MA4 falls below MA20)."""
     first, later = periods[0], F.col("n") >= 1
-    out = sums.withColumns({"ordered": ordered(periods), "rc": rising_count(periods), **{f"r{k}": rises(k) for k in periods}, "p4": falls_below(4, 20), "p5": falls_below(4, 20, strict=False)})
+    out = sums.withColumns({"ordered": ordered(periods), "rc": rising_count(periods, by), **{f"r{k}": rises(k, by) for k in periods}, "p4": falls_below(4, 20, by=by), "p5": falls_below(4, 20, strict=False, by=by)})
     down = later & ~F.col(f"r{first}")
     return out.withColumns({"s2": F.col("ordered") & (F.col("rc") == len(periods)) & later, "only4": down & (F.col("rc") == len(periods) - 1), "joint": down & (F.col("rc") < len(periods) - 1)})
 
@@ -62,6 +62,11 @@ def stage_positions(sums: DataFrame, periods: tuple[int, ...] = PERIODS) -> Data
         F.min("n").alias("a"), F.max("n").alias("b"), F.min_by("weak", "n").alias("weak"), F.max_by("next3", "n").alias("next3"),
         F.min_by("next5", "n").alias("next5"), F.max_by("qualified", "n").alias("qualified"), F.first("last").alias("last"),
     )
+    return positions_of(found)
+
+
+def positions_of(found: DataFrame) -> DataFrame:
+    """The stages around runs a .. b, with weak, next3, next5, qualified and last as `stage_positions` has them."""
     found = found.withColumns({"j": F.coalesce(F.col("weak") + 1, F.lit(1)), "long2": F.col("b") - F.col("a") + 1 > 3}).withColumn("long1", F.col("a") - F.col("j") > 3)
     row = lambda stage, lo, hi, valid: F.struct(F.lit(stage).alias("stage"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), valid.alias("valid"))
     a, b, j, open_end = F.col("a"), F.col("b"), F.col("j"), F.col("b") == F.col("last")

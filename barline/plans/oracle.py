@@ -16,7 +16,7 @@ def each(text: str, join: str = ", ", periods: tuple[int, ...] = PERIODS) -> str
 _PAIRS = list(zip(PERIODS, PERIODS[1:], strict=False))
 _ORDERED = " AND ".join(f"s{p} * {q} > s{q} * {p}" for p, q in _PAIRS)
 _REVERSED = " AND ".join(f"s{q} * {p} > s{p} * {q}" for p, q in _PAIRS)
-_CTES = {
+TABLES = {
     "trades": "SELECT p_brand AS code, CAST(l_shipdate AS DATE) AS ts, CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT) AS cents, CAST(l_quantity AS BIGINT) AS qty, (l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_extendedprice / l_quantity * 100 + 0.5) AS BIGINT)) AS place FROM lineitem JOIN part ON l_partkey = p_partkey",
     "days": "SELECT code, ts, arg_min(cents, place) AS open, arg_max(cents, place) AS close, max(cents) AS high, min(cents) AS low, CAST(sum(cents) // count(*) AS BIGINT) AS mean, CAST(sum(qty) AS BIGINT) AS vol FROM trades GROUP BY code, ts",
     "bars": f"SELECT code, ts, c + open - mean AS open, c + high - mean AS high, c + low - mean AS low, c AS close, vol FROM (SELECT *, CAST({BASE} + sum(mean - (SELECT CAST(sum(cents) // count(*) AS BIGINT) FROM trades)) OVER ({_W}) AS BIGINT) AS c FROM days)",
@@ -57,18 +57,19 @@ _CTES = {
 }
 
 
-def sql(body: str, *more: str) -> str:
-    """The query with the table expressions that it needs, in order; `more` are its own, behind them."""
-    names, used = list(_CTES), set()
+def sql(body: str, *more: str, tables: dict[str, str] | None = None) -> str:
+    """The query with the table expressions that it needs, in order; `more` are its own, behind them. `tables` may stand in for TABLES."""
+    tables = TABLES if tables is None else tables
+    names, used = list(tables), set()
 
     def need(text: str) -> None:
         for name in names:
             if name not in used and _mentions(text, name):
                 used.add(name)
-                need(_CTES[name])
+                need(tables[name])
 
     need(" ".join([*more, body]))
-    parts = [f"{n} AS ({_CTES[n]})" for n in names if n in used] + list(more)
+    parts = [f"{n} AS ({tables[n]})" for n in names if n in used] + list(more)
     return ("WITH RECURSIVE " + ", ".join(parts) + " " if parts else "") + body
 
 

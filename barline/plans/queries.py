@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions.ma import PERIODS, death_cross, falls_below, golden_cross, ordered
-from barline.operators import golden, history, learning, patterns, returns, screen, search, stages, verdicts
+from barline.operators import blocks, golden, history, learning, patterns, returns, screen, search, stages, verdicts
 from barline.sources import bars as sources
 
 CODE, LO = "Brand#11", 60  # the pattern and target series of the search queries
@@ -390,6 +390,22 @@ def event_hours(spark, sf_dir):
     return hourly(sources.table(spark, sf_dir, "events")).select("code", F.col("ts").cast("timestamp_ntz").alias("ts"), "events", F.round("total", 4).alias("total"))
 
 
+@_query
+def tick_sums(spark, sf_dir):
+    """Averages over ticks, in blocks."""
+    return blocks.rolling_sums(sources.ticks(spark, sf_dir)).select("code", "event_id", "n", *[f"s{k}" for k in PERIODS])
+
+
+@_query
+def tick_stages(spark, sf_dir):
+    return blocks.stage_positions(sources.ticks(spark, sf_dir), order=("ts", "event_id"))
+
+
+@_query
+def tick_bullish_runs(spark, sf_dir):
+    return blocks.bullish_runs(sources.ticks(spark, sf_dir), order=("ts", "event_id"))
+
+
 @_query
 def box_suppression(spark, sf_dir):
     """Boxes of unlike sizes, made from orders: keys are priorities."""

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from barline.functions.ma import by_time
 from barline.functions.scalars import parse_date, stock_code
-from barline.sources.store import cut
+from barline.operators import blocks
 
 BASE = 10_000_000  # cents; a walk starts here, high enough to stay positive
 BARS = T.StructType([T.StructField(c, t) for c, t in (("code", T.StringType()), ("timestamps", T.StringType()), *((c, T.DoubleType()) for c in ("open", "close", "high", "low", "vol")), *((c, T.StringType()) for c in ("name", "industry", "block")))])
@@ -34,23 +34,32 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars whose close is a random walk: BASE plus the running sum of each day's mean less the overall mean. code, ts, open, high, low, close, vol.
 
-    A day's open, high and low lie as far from its close as they lie from its mean price. The line items are read once: days are written
-    to the shared folder, and the overall mean comes from the days' sums.
+    A day's open, high and low lie as far from its close as they lie from its mean price. Nothing runs before the query does; the overall
+    mean is a second scan, of the columns that make a price.
     """
     place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents")
-    days = trades(spark, sf_dir).groupBy("code", "ts").agg(
+    lines = trades(spark, sf_dir)
+    days = lines.groupBy("code", "ts").agg(
         F.min_by("cents", place).alias("first"), F.max("cents").alias("most"), F.min("cents").alias("least"),
-        F.sum("cents").alias("total"), F.count("*").alias("lines"), F.sum("qty").alias("vol"),
+        F.expr("sum(cents) div count(*)").alias("mean"), F.sum("qty").alias("vol"),
     )
-    days = cut(days.withColumn("mean", F.expr("total div lines")))
     # One row: the broadcast has a fixed size.
-    overall = days.agg(F.expr("sum(total) div sum(lines)").alias("overall"))
+    overall = lines.agg(F.expr("sum(cents) div count(*)").alias("overall"))
     close = (F.lit(BASE) + F.sum(F.col("mean") - F.col("overall")).over(by_time())).cast("long")
     rows = days.crossJoin(F.broadcast(overall)).withColumn("close", close)
     beside = lambda c: (F.col("close") + F.col(c) - F.col("mean")).alias({"first": "open", "most": "high", "least": "low"}[c])
     return rows.select("code", "ts", beside("first"), beside("most"), beside("least"), "close", "vol")
 
 
+def ticks(spark: SparkSession, sf_dir: str, block: int = blocks.BLOCK) -> DataFrame:
+    """A bar for every event, numbered and in blocks: code (its type), ts, event_id, close, n, block. Closes walk from BASE by each value in cents less the overall mean."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("code"), "ts", "event_id", F.floor(F.col("value") * 100 + 0.5).cast("long").alias("cents"))
+    overall = rows.agg(F.expr("sum(cents) div count(*)").alias("overall"))  # one row
+    steps = rows.crossJoin(F.broadcast(overall)).where("code is not null and cents is not null")
+    found = blocks.numbered(steps, {"total": F.col("cents") - F.col("overall")}, ("ts", "event_id"), block)
+    return found.select("code", "ts", "event_id", (F.lit(BASE) + F.col("total")).cast("long").alias("close"), "n", "block")
+
+
 def index_series(bars: DataFrame) -> DataFrame:
     """One series over all codes: ts and the mean close of the day, rounded down."""
     return bars.groupBy("ts").agg(F.expr("sum(close) div count(*)").alias("close"), F.sum("vol").alias("vol"))

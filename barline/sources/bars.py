@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 from barline.functions.ma import by_time
 from barline.functions.scalars import parse_date, stock_code
 from barline.operators import blocks
+from barline.sources import csv_files, registry
 
+_OWN = tuple(f for f in registry.FIELDS if f != "savedBrushTimeRanges")  # a mode's fields beside its ranges
 BASE = 10_000_000  # cents; a walk starts here, high enough to stay positive
 BARS = T.StructType([T.StructField(c, t) for c, t in (("code", T.StringType()), ("timestamps", T.StringType()), *((c, T.DoubleType()) for c in ("open", "close", "high", "low", "vol")), *((c, T.StringType()) for c in ("name", "industry", "block")))])
 
@@ -65,25 +67,18 @@ def index_series(bars: DataFrame) -> DataFrame:
     return bars.groupBy("ts").agg(F.expr("sum(close) div count(*)").alias("close"), F.sum("vol").alias("vol"))
 
 
-def read_csv_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, pool: DataFrame | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
+def read_csv_bars(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, pool: DataFrame | None = None, extra: tuple[str, ...] = (), with_file: bool = False) -> DataFrame:
     """Bars of CSV files: code, ts, open, close, high, low, vol, name, industry, block, and the numeric columns in `extra`, such as stored averages.
 
     Columns are found by their names in each file's own header, in any order; those that a file lacks are null, others are not read.
-    Without a code column, the code is the six digits in the file's name. Rows without a date or close leave; so do rows outside the range
+    Each file is read once, and no list of names is gathered; with_file keeps its name as `file`. Without a code, it is the six digits in the file's name. Rows without a date or close leave; so do rows outside the range
     (both ends included) and outside the pool. Files need a header with `timestamps`; a byte order mark is ignored.
     """
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("header"), F.col("_metadata.file_path").alias("file"))
-    headers = lines.where("header rlike '(^|,)\"?timestamps\"?(,|$)'").groupBy("header").agg(F.collect_set("file").alias("files"))
     wanted = {f.name: f.dataType for f in BARS} | dict.fromkeys(extra, T.DoubleType())
-    rows = spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in wanted.items()]))
-    for header in headers.collect():  # one for each layout; the files' names are metadata
-        names = [c.strip().strip('"') for c in header["header"].split(",")]
-        schema = T.StructType([T.StructField(c if c in wanted and c not in names[:i] else f"_{i}", T.StringType()) for i, c in enumerate(names)])
-        found = spark.read.csv(header["files"], schema=schema, header=True, encoding="UTF-8")
-        by_name = F.regexp_extract(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"(\d{6})", 1)
-        code = F.col("code") if "code" in schema.names else F.when(by_name != "", by_name)
-        cells = {c: F.col(c).try_cast(t) if c in schema.names else F.lit(None).cast(t) for c, t in wanted.items()} | {"code": code}
-        rows = rows.unionByName(found.select(*[v.alias(c) for c, v in cells.items()]))
+    found = csv_files.read(spark, path, list(wanted), "timestamps")
+    by_name = F.regexp_extract("file", r"(\d{6})", 1)
+    code = F.coalesce("code", F.when(by_name != "", by_name))
+    rows = found.select(*(["file"] if with_file else []), *[(code if c == "code" else F.col(c).try_cast(t)).alias(c) for c, t in wanted.items()])
     rows = rows.withColumns({"code": stock_code(F.col("code")), "ts": parse_date(F.col("timestamps"))}).where("ts is not null and close is not null")
     if start is not None:
         rows = rows.where(F.col("ts") >= F.lit(start).cast("date"))
@@ -99,11 +94,14 @@ def read_feature_names(spark: SparkSession, path: str) -> list[str]:
     return [r["feature"] for r in spark.read.csv(path, header=True, schema="feature string").where("feature is not null").collect()]
 
 
-def covering_files(bars: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(code, start, end) and the source whose bars of the same code cover the range, the first by name: bars have code, ts and file."""
+def covering_files(bars: DataFrame, ranges: DataFrame, prefer: tuple[str, ...] = (), only: bool = False) -> DataFrame:
+    """(code, start, end) and the source whose bars of the same code cover the range: the first in `prefer` that does, else the first by name; with `only`, none but those in `prefer`. bars have code, ts and file."""
     spans = bars.groupBy("code", "file").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     hit = ranges.join(spans, "code").where("first <= start and last >= end")
-    return hit.groupBy("code", "start", "end").agg(F.min("file").alias("file"))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, prefer)), F.col("file")), F.lit(0)), F.lit(len(prefer) + 1)) if prefer else F.lit(1)
+    hit = hit.withColumn("_place", place)
+    hit = hit.where(F.col("_place") <= len(prefer)) if only else hit
+    return hit.groupBy("code", "start", "end").agg(F.min(F.struct("_place", "file")).alias("m")).select("code", "start", "end", "m.file")
 
 
 def read_pool(spark: SparkSession, path: str) -> DataFrame:
@@ -118,16 +116,29 @@ def read_index_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(parse_date(F.get("r", 0)).alias("ts"), *[F.get("r", i + 1).try_cast("double").alias(c) for i, c in enumerate(fields)])
 
 
+INDEXES = ("000001", "399001")
+
+
+def read_index(spark: SparkSession, folder: str, index: str) -> DataFrame:
+    """The series of one of the two known indexes, from the file of its name in a folder; any other index has no rows."""
+    if index not in INDEXES:
+        return spark.createDataFrame([], "ts date, low double, high double, close double, open double, vol double")
+    return read_index_json(spark, f"{folder}/{index}.json")
+
+
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """Saved modes: one row for each saved range, and one with nulls for a mode without any. A corrupt file gives no rows."""
-    schema = "index string, name string, lines array<string>, modeFolder string, selectedFactor string, selectedFactor2 string, photoOption array<string>, savedBrushTimeRanges array<struct<code:string,startDate:string,endDate:string,saveTime:bigint>>, recentNDaysValue string"
-    rows = spark.read.json(path, schema=schema, multiLine=True, mode="PERMISSIVE").where("index is not null")
-    return rows.select("index", "name", "lines", "recentNDaysValue", F.explode_outer("savedBrushTimeRanges").alias("range")).select("index", "name", "lines", "recentNDaysValue", "range.*")
+    """Saved modes with all their fields: one row for each saved range, and one with nulls for a mode without any. A corrupt file gives no rows."""
+    rows = registry.read_modes(spark, path).withColumn("range", F.explode_outer("savedBrushTimeRanges"))
+    return rows.select(*_OWN, "range.*")
 
 
-def add_modes(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """The registry with the new modes whose index it doesn't have."""
-    return registry.unionByName(new.join(registry, "index", "left_anti"), allowMissingColumns=True)
+def add_modes(known: DataFrame, new: DataFrame) -> DataFrame:
+    """The registry's rows with the new modes whose index it doesn't have; of new modes with one index, one. Versions of a registry: see registry.py."""
+    ranges = ("code", "startDate", "endDate", "saveTime")
+    both = new.select(*new.columns, *[F.lit(None).cast(known.schema[c].dataType).alias(c) for c in known.columns if c not in new.columns])
+    one = both.join(known, "index", "left_anti").withColumn("_key", F.to_json(F.struct(*[c for c in known.columns if c not in ranges])))
+    first = one.groupBy("index").agg(F.min("_key").alias("_key"))
+    return known.unionByName(one.join(first, ["index", "_key"], "left_semi").select(*known.columns))
 
 
 def write_fragments(rows: DataFrame, path: str) -> None:
@@ -141,9 +152,9 @@ def write_summary(segments: DataFrame, path: str) -> None:
 
 
 def write_registry(modes: DataFrame, path: str) -> None:
-    """Replaces the registry: one JSON object for each mode, its saved ranges in a list."""
+    """Replaces the registry: one JSON object for each mode with all its fields, its saved ranges in a list."""
     saved = F.filter(F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "startDate", "endDate", "saveTime"))), lambda r: r.isNotNull())
-    rows = modes.groupBy("index").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("name", "lines", "recentNDaysValue")], saved.alias("savedBrushTimeRanges"))
+    rows = modes.groupBy("index").agg(*[F.first(c, ignorenulls=True).alias(c) for c in _OWN[1:] if c in modes.columns], saved.alias("savedBrushTimeRanges"))
     rows.write.mode("overwrite").json(path)
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.ma import PERIODS, death_cross, falls_below, golden_cross, ordered
-from barline.operators import blocks, golden, history, learning, patterns, returns, screen, search, stages, verdicts
+from barline.operators import blocks, golden, history, indicators, learning, patterns, returns, screen, search, stages, verdicts
 from barline.sources import bars as sources
 
 CODE, LO = "Brand#11", 60  # the pattern and target series of the search queries
@@ -390,6 +390,22 @@ def event_hours(spark, sf_dir):
     return hourly(sources.table(spark, sf_dir, "events")).select("code", F.col("ts").cast("timestamp_ntz").alias("ts"), "events", F.round("total", 4).alias("total"))
 
 
+@_query
+def indicator_bars(spark, sf_dir):
+    """Recursive averages, running volume and streaks of every bar."""
+    found = indicators.indicators(sources.walk(spark, sf_dir))
+    return found.select("code", "ts", *[F.round(c, 4).alias(c) for c in ("rsi_7", "rsi_14", "kdj_k", "kdj_d", "kdj_j", "atr_ratio")], "obv", "up_streak", "down_streak", "current_trend_duration")
+
+
+@_query
+def model_features(spark, sf_dir):
+    """Each code's last bar with every feature that a model's list names; what its history is too short for is 0."""
+    found = indicators.indicators(sources.walk(spark, sf_dir))
+    last = found.withColumn("_r", F.row_number().over(Window.partitionBy("code").orderBy(F.desc("n")))).where("_r = 1")
+    rows = screen.conform(last, list(indicators.NAMES))
+    return rows.select("code", *[F.round(c, 3).alias(c) for c in indicators.NAMES])
+
+
 @_query
 def tick_sums(spark, sf_dir):
     """Averages over ticks, in blocks."""

@@ -23,16 +23,24 @@ def matching_bars(sums: DataFrame, predicate: Column | Callable[[], Column], arr
     return sums.withColumn("_hit", hit).where("_hit").drop("_hit")
 
 
-def matching_intervals(sums: DataFrame, index: DataFrame, predicate: Column | Callable[[], Column] | None = None, arranged: bool = True, extend: int = 3, min_days: int = 1, after: int = 30) -> DataFrame:
+def matching_intervals(sums: DataFrame, index: DataFrame, predicate: Column | Callable[[], Column] | None = None, arranged: bool = True, extend: int = 3, min_days: int = 1, after: int = 30, older: bool = False) -> DataFrame:
     """Runs of matching bars at most a day apart, one row each: code, k (place in the code's time order), start, end, the days from `extend` before to `extend` after with
     their number of bars, the number of bars in the `after` days that follow, the mean return of the next 5 bars (0 without any), and the index's
     averages (sums s4 and s47 as of five days) over both stretches. The default predicate is the cross of 4 above 12.
+
+    The older search takes every bar of the cross of 4 above 20, and its return is that of `close_to_close`, null without a later bar.
     """
-    hits = matching_bars(sums, golden_cross(4, 12) if predicate is None else predicate, arranged)
+    if older:
+        hits = matching_bars(sums, golden_cross(4, 20) if predicate is None else predicate, arranged=False, filtered=False)
+    else:
+        hits = matching_bars(sums, golden_cross(4, 12) if predicate is None else predicate, arranged)
     runs = calendar_islands(hits).where((F.col("bars") >= min_days) & (F.datediff("end", "start") + 1 >= min_days))
     runs = runs.withColumns({"lo": F.col("last").cast("long"), "hi": F.col("last").cast("long"), "ext_start": F.date_sub("start", extend), "ext_end": F.date_add("end", extend)})
-    returns = forward_returns(runs, sums).select("code", "lo", F.col("mean_return").alias("five_day_return"))
     keys = ["code", "lo"]
+    if older:
+        returns = runs.select(*keys, "start", "end").join(close_to_close(runs, sums), ["code", "start", "end"]).select(*keys, F.col("mean_step").alias("five_day_return"))
+    else:
+        returns = forward_returns(runs, sums).select(*keys, F.col("mean_return").alias("five_day_return"))
     day = F.explode(F.sequence("ext_start", F.date_add("end", after)))
     bars = runs.select(*keys, "ext_start", "ext_end", "end", day.alias("ts")).join(sums.select("code", "ts"), ["code", "ts"])
     counted = bars.groupBy(*keys).agg(F.count_if(F.col("ts") <= F.col("ext_end")).alias("bars_around"), F.count_if(F.col("ts") > F.col("end")).alias("bars_after"))
@@ -46,10 +54,11 @@ def matching_intervals(sums: DataFrame, index: DataFrame, predicate: Column | Ca
     return found.drop("lo", "hi", "last", "bars").fillna(0, ["bars_around", "bars_after"])
 
 
-def first_intervals(found: DataFrame, per_code: int = 5) -> DataFrame:
-    """The first intervals of each code, and beside each the plain mean of all intervals' returns, those without later bars as 0."""
-    overall = found.agg(F.avg(F.coalesce("five_day_return", F.lit(0.0))).alias("overall_return"))  # one row
-    return found.where(F.col("k") <= per_code).crossJoin(F.broadcast(overall))
+def first_intervals(found: DataFrame, per_code: int = 5, older: bool = False) -> DataFrame:
+    """The first intervals of each code, and beside each the plain mean of all intervals' returns, those without later bars as 0; in the older search these are left out of the mean."""
+    value = F.col("five_day_return") if older else F.coalesce("five_day_return", F.lit(0.0))
+    overall = found.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("overall_return"))  # one row
+    return found.where(F.col("k") <= per_code).fillna(0.0, ["five_day_return"]).crossJoin(F.broadcast(overall))
 
 
 def close_to_close(runs: DataFrame, sums: DataFrame, days: int = 5) -> DataFrame:

@@ -135,12 +135,13 @@ def crossings(rows: DataFrame) -> DataFrame:
     return rows.select("code", F.size("m4").alias("length"), F.inline(F.array(*parts)))
 
 
-def crossover_similarity(rows: DataFrame, code: str, weights: dict[str, float] = CROSS_WEIGHTS, golden: bool = True) -> DataFrame:
+def crossover_similarity(rows: DataFrame, code: str, weights: dict[str, float] = CROSS_WEIGHTS, golden: bool = True, resampled: bool = True) -> DataFrame:
     """The weighted mean over the pairs of lines of count and position similarity of golden and death crosses: code, crossover.
 
     Positions: 1 if neither line has crosses, 0 if one has none. Else both lists are resampled linearly to the longer one's length; two places or more are
     compared by dynamic time warping, one less the distance over the target series' length times the number of places, single ones by their difference over that length.
-    With golden=False golden crosses count as alike, as an older version of the score has it.
+    With golden=False golden crosses count as alike, as an older version of the score has it. With resampled=False lists of places are warped as they are, of whatever
+    lengths and single ones, too, as the oldest version has it.
     """
     weights = normalised(weights)
     found = crossings(rows)
@@ -149,16 +150,17 @@ def crossover_similarity(rows: DataFrame, code: str, weights: dict[str, float] =
     a, b = F.size("places"), F.size("wanted")
     count = 1 - F.abs(a - b) / (F.greatest(a, b, F.lit(1)) + 1e-10)
     doubles = lambda c: F.col(c).cast("array<double>")
-    both = both.withColumns({"x": scalars.unified(doubles("places"), doubles("wanted")), "y": scalars.unified(doubles("wanted"), doubles("places"))})
+    facing = (lambda c, d: scalars.unified(doubles(c), doubles(d))) if resampled else (lambda c, d: doubles(c))
+    both = both.withColumns({"x": facing("places", "wanted"), "y": facing("wanted", "places")})
     single = 1 - F.least(F.abs(scalars.mean(F.col("x")) - scalars.mean(F.col("y"))) / F.col("length"), F.lit(1.0))
-    warped = 1 - scalars.dtw(F.col("x"), F.col("y")) / (F.col("length") * F.greatest(a, b) + 1e-10)
-    place = F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).when(F.size("x") < 2, single).otherwise(warped)
+    warped = 1 - scalars.dtw(F.col("x"), F.col("y")) / (F.col("length") * F.greatest(a, b) + (1e-10 if resampled else 0))
+    place = F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).when((F.size("x") < 2) & F.lit(resampled), single).otherwise(warped)
     both = both.select("code", "kind", count.alias("count"), place.alias("position"))
     alike = lambda kind, c: F.lit(1.0) if kind == "golden" and not golden else F.avg(F.when(F.col("kind") == kind, F.col(c)))
     return both.groupBy("code").agg(F.round(sum((alike(*name.split("_")) * w for name, w in weights.items()), F.lit(0.0)), 6).alias("crossover"))
 
 
-def group_similarity(rows: DataFrame, code: str, top: int = 20, weights: dict[str, float] = WEIGHTS, groups: dict[str, float] = GROUP_WEIGHTS, crosses: dict[str, float] = CROSS_WEIGHTS, golden: bool = True) -> DataFrame:
+def group_similarity(rows: DataFrame, code: str, top: int = 20, weights: dict[str, float] = WEIGHTS, groups: dict[str, float] = GROUP_WEIGHTS, crosses: dict[str, float] = CROSS_WEIGHTS, golden: bool = True, resampled: bool = True) -> DataFrame:
     """The `top` codes most similar to `code`, itself among them: code, similarity, the mean line similarity and the crossover similarity weighted; ties by code.
 
     rows are series(); all lines of a code are scored in one pass. Weights are divided by their sum.
@@ -169,16 +171,16 @@ def group_similarity(rows: DataFrame, code: str, top: int = 20, weights: dict[st
     scored = pair_similarities(lines.join(F.broadcast(target), "k"), "code", "k")
     own = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0))
     mean = scored.groupBy("code").agg((F.sum(own) / len(PERIODS)).alias("lines"))
-    both = mean.join(crossover_similarity(rows, code, crosses, golden), "code")
+    both = mean.join(crossover_similarity(rows, code, crosses, golden, resampled), "code")
     score = groups["lines"] * F.col("lines") + groups["crossover"] * F.col("crossover")
     return both.select("code", F.round(score, 6).alias("similarity")).orderBy(F.desc("similarity"), "code").limit(top)
 
 
 def older_group_similarity(rows: DataFrame, code: str, top: int = 10) -> DataFrame:
-    """The older score: only series of the target's own length, without the target, ten codes. Count and position of each kind of cross weigh the same, as the default weights have it."""
+    """The older score: only series of the target's own length, without the target, ten codes. Count and position of each kind of cross weigh the same, as the default weights have it; places are warped as they are."""
     length = rows.where(F.col("code") == code).select(F.size("m4").alias("own"))  # one row
     alike = rows.crossJoin(F.broadcast(length)).where(F.size("m4") == F.col("own")).drop("own")
-    return group_similarity(alike, code, top + 1).where(F.col("code") != code).orderBy(F.desc("similarity"), "code").limit(top)
+    return group_similarity(alike, code, top + 1, resampled=False).where(F.col("code") != code).orderBy(F.desc("similarity"), "code").limit(top)
 
 
 def same_stage_cosine(segments: DataFrame, code: str, stage: str, least: float = 0.8) -> DataFrame:

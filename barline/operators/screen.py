@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -66,13 +67,17 @@ def latest(windows: DataFrame) -> DataFrame:
     return windows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def current_stage(sums: DataFrame, days: int = 30, least: int = 3) -> DataFrame:
-    """The stage that each code is in: code, lo, hi, start, end, stage; codes in none leave.
+def current_stage(sums: DataFrame, days: int = 30, least: int = 3, lookback: int | None = None) -> DataFrame:
+    """The stage that each code is in: code, lo, hi, start, end, stage; codes in none leave. Stage 2 is looked for in the last `days` bars, stage 1 in the last `lookback`, by default as many.
 
     Of the maximal windows, stage 2 counts if MA4 doesn't fall below MA20 in its last two bars, and it holds the series' last bar, where MA4 is not below its value before.
     Without one, stage 1 counts under the first of these conditions. Of several the latest counts.
     """
+    lookback = days if lookback is None else lookback
     tested = tested_windows(sums, days, least)
+    if lookback != days:
+        one = tested_windows(sums, lookback, least).withColumn("stage2", F.lit(False))
+        tested = tested.withColumn("stage1", F.lit(False)).unionByName(one)
     both = tested.withColumn("stage", F.explode(F.array(*[F.when(F.col(f"stage{k}"), F.lit(f"stage{k}")) for k in (2, 1)]))).where("stage is not null").drop("stage1", "stage2")
     kept = maximal(both, "code", "stage").where(~F.col("fell") & ((F.col("stage") == "stage1") | ((F.col("hi") == days - 1) & ~F.col("lower"))))
     order = Window.partitionBy("code").orderBy(F.desc("stage"), F.desc("hi"), "lo")
@@ -87,10 +92,16 @@ def tumbling(sums: DataFrame, size: int = 21, offsets: tuple[int, ...] = (0, 10)
     return phased.groupBy("code", "phase", "k").agg(F.count("*").alias("bars"), F.min("ts").alias("start"), F.max("ts").alias("end"), (F.bool_and(ordered()) & higher).alias("bullish")).where(F.col("bars") == size).drop("bars")
 
 
+#: Names of the features that take more than 10 bars, and of those that take more than 5.
+_LONG = re.compile(r"_alignment$|^ma\d+_ma47_(ratio|diff)$|_slope$|_direction_change$|_acceleration$")
+_SHORT = re.compile(r"^price_(ma|above|cross)|_volume_(up|down)$|_std|_spread|_strength$|^trend_consistency$")
+
+
 def last_bar_features(sums: DataFrame) -> DataFrame:
     """One row for each code with features of its last bar; where the history is too short they are 0.
 
-    trend_consistency is the number of averages that rise; trend_strength the larger of bullish and bearish strength.
+    Levels, slopes, turns and arrangements take more than 10 bars; what compares the close or the volume with others, deviations and strengths more than 5.
+    trend_consistency is the larger of bullish and bearish strength. Equal closes or volumes are neither up nor down.
     """
     back = lambda c, n: F.lag(c, n).over(by_time())
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
@@ -108,9 +119,9 @@ def last_bar_features(sums: DataFrame) -> DataFrame:
     for k in (4, 20):
         out[f"price_cross_ma{k}"] = F.coalesce((back(F.col("close") * k <= s(k), 1)) & (F.col("close") * k > s(k)), F.lit(False)).cast("int")
         out[f"ma{k}_acceleration"] = F.round(F.coalesce((s(k) - 2 * back(s(k), 1) + back(s(k), 2)) / k, F.lit(0.0)), 6)
-    up, more = F.col("close") > back("close", 1), F.col("vol") > back("vol", 1)
+    up, down, more, less = F.col("close") > back("close", 1), F.col("close") < back("close", 1), F.col("vol") > back("vol", 1), F.col("vol") < back("vol", 1)
     false = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    out |= {"price_up_volume_down": false(up & ~more), "price_down_volume_down": false(~up & ~more), "trend_consistency": sum((F.coalesce(s(k) > back(s(k), 1), F.lit(False)).cast("int") for k in PERIODS), F.lit(0)), "price_change": F.round(ratio(F.col("close"), back("close", 1)) - F.when(back("close", 1).isNull(), 0).otherwise(1), 6), "volume_change": F.round(ratio(F.col("vol"), back("vol", 1)) - F.when(back("vol", 1).isNull(), 0).otherwise(1), 6)}
+    out |= {"price_up_volume_down": false(up & less), "price_down_volume_down": false(down & less), "price_change": F.round(ratio(F.col("close"), back("close", 1)) - F.when(back("close", 1).isNull(), 0).otherwise(1), 6), "volume_change": F.round(ratio(F.col("vol"), back("vol", 1)) - F.when(back("vol", 1).isNull(), 0).otherwise(1), 6)}
     for k in (4, 20):
         turn = (s(k) > back(s(k), 1)) & (back(s(k), 1) < back(s(k), 2))
         out[f"ma{k}_direction_change"] = false(turn)
@@ -123,11 +134,13 @@ def last_bar_features(sums: DataFrame) -> DataFrame:
     pairs = list(zip(PERIODS, PERIODS[1:], strict=False))
     out |= {"bullish_strength": sum((side(p, q) for p, q in pairs), F.lit(0)) / 5, "bearish_strength": sum((side(q, p) for p, q in pairs), F.lit(0)) / 5}
     out |= {f"{name}_std_5": F.round(F.coalesce(F.stddev_samp(c).over(by_time().rowsBetween(-4, 0)), F.lit(0.0)), 4) for name, c in (("price", "close"), ("volume", "vol"))}
-    out["trend_strength"] = F.greatest(out["bullish_strength"], out["bearish_strength"])
+    out["trend_consistency"] = F.greatest(out["bullish_strength"], out["bearish_strength"])
     if "open" in sums.columns:
         out |= {c: F.col(c) for c in ("open", "high", "low")}
     last = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("ts")))
-    return sums.select("code", *[c.alias(k) for k, c in out.items()], last.alias("_r")).where("_r = 1").drop("_r")
+    rows = sums.select("code", *[c.alias(k) for k, c in out.items()], last.alias("_r"), F.count("*").over(Window.partitionBy("code")).alias("_bars")).where("_r = 1")
+    least = {k: 10 if _LONG.search(k) else 5 if _SHORT.search(k) else 0 for k in out}
+    return rows.select("code", *[(F.when(F.col("_bars") > least[k], F.col(k)).otherwise(0) if least[k] else F.col(k)).alias(k) for k in out])
 
 
 def conform(features: DataFrame, names: list[str], key: str = "code") -> DataFrame:

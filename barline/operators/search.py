@@ -9,6 +9,9 @@ from barline.operators.patterns import similar_windows
 from barline.operators.returns import forward_returns
 
 
+RANKED = 1 << 16  # bars of a code whose windows are ranked in one group
+
+
 def pattern_report(sums: DataFrame, code: str, lo: int, length: int = 10, least: float = 0.7, future: int = 5, stride: int = 2) -> DataFrame:
     """Windows at least `least` similar to the pattern, which has 5 bars or more: code, lo, hi, start, end, similarity, and the returns of the next `future` bars."""
     if length < 5:
@@ -25,11 +28,17 @@ def ranked(report: DataFrame, per_code: int | None = None, digits: int = 2) -> D
     shown = report.withColumn("similarity", F.round(F.col("similarity") + 1e-9, digits))
     order = [F.desc("similarity"), "code", "lo"]
     if per_code is None:
-        # Ranks of all rows without one task for all: a place within each shown similarity, after the counts of the higher ones. There are 10 ** digits values at most.
-        counts = shown.groupBy("similarity").count()
-        higher = counts.alias("a").join(counts.alias("b"), F.col("b.similarity") > F.col("a.similarity"), "left").groupBy(F.col("a.similarity").alias("similarity")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("above"))
-        place = F.row_number().over(Window.partitionBy("similarity").orderBy("code", "lo"))
-        return shown.join(F.broadcast(higher), "similarity").withColumn("rank", (F.col("above") + place).cast("long")).drop("above")
+        # Ranks of all rows without one task for all: a place in each shown similarity's rows of a code, RANKED bars at a time, after the counts of what comes before.
+        shown = shown.withColumn("_part", F.expr(f"lo div {RANKED}"))
+        keys = ["similarity", "code", "_part"]
+        counts = shown.groupBy(*keys).count()
+        along = Window.partitionBy("similarity").orderBy("code", "_part").rowsBetween(Window.unboundedPreceding, -1)
+        # There are 10 ** digits shown values at most.
+        sizes = counts.groupBy("similarity").agg(F.sum("count").alias("rows"))
+        higher = sizes.alias("a").join(sizes.alias("b"), F.col("b.similarity") > F.col("a.similarity"), "left").groupBy(F.col("a.similarity").alias("similarity")).agg(F.coalesce(F.sum("b.rows"), F.lit(0)).alias("above"))
+        before = counts.withColumn("_before", F.coalesce(F.sum("count").over(along), F.lit(0))).join(F.broadcast(higher), "similarity").select(*keys, (F.col("above") + F.col("_before")).alias("above"))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("lo"))
+        return shown.withColumn("rank", place).join(before, keys).withColumn("rank", (F.col("above") + F.col("rank")).cast("long")).drop("above", "_part").select(*report.columns, "rank")
     place = F.row_number().over(Window.partitionBy("code").orderBy(*order))
     return shown.withColumn("rank", place.cast("long")).where(F.col("rank") <= per_code)
 

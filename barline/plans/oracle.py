@@ -53,7 +53,7 @@ TABLES = {
     "phased": "SELECT *, CAST(floor((n - phase) / 21.0) AS INTEGER) AS k FROM (SELECT *, unnest([0, 10]) AS phase FROM sums) WHERE n >= phase",
     "gaps": f"SELECT *, sum(CAST(coalesce(ts - lag_ts > 1, false) AS INTEGER)) OVER ({_W}) AS run FROM (SELECT *, lag(ts) OVER ({_W}) AS lag_ts FROM flags WHERE ordered)",
     "falls": "SELECT r.code, r.start_ts AS start, r.end_ts AS stop, m.ts AS fall FROM runs r JOIN sums m ON m.code = r.code AND m.n = r.next4 WHERE r.b > r.a",
-    "lagged": "SELECT code, ts, close, vol, n, " + each("s{k}, lag(s{k}) OVER w AS p{k}, lag(s{k}, 2) OVER w AS q{k}, lag(s{k}, 4) OVER w AS f{k}") + ", open, high, low, lag(close) OVER w AS pc, lag(vol) OVER w AS pv, " + f"stddev_samp(close) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dc, stddev_samp(vol) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dv, stddev_samp(s4) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e4, stddev_samp(s20) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e20, " + ", ".join(f"stddev_samp(s{k} / {k}.0) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS d{k}" for k in (4, 8, 20)) + f", row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS back FROM sums WINDOW w AS ({_W})",
+    "lagged": "SELECT code, ts, close, vol, n, " + each("s{k}, lag(s{k}) OVER w AS p{k}, lag(s{k}, 2) OVER w AS q{k}, lag(s{k}, 4) OVER w AS f{k}") + ", open, high, low, lag(close) OVER w AS pc, lag(vol) OVER w AS pv, " + f"stddev_samp(close) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dc, stddev_samp(vol) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dv, stddev_samp(s4) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e4, stddev_samp(s20) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e20, " + ", ".join(f"stddev_samp(s{k} / {k}.0) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS d{k}" for k in (4, 8, 20)) + f", row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY code) AS total FROM sums WINDOW w AS ({_W})",
 }
 
 
@@ -87,7 +87,7 @@ for _k in (4, 8, 20, 47):
     _LAST |= {f"price_ma{_k}_ratio": f"round(close * {_k} / s{_k}, 6)", f"price_above_ma{_k}": f"CAST(close * {_k} > s{_k} AS INTEGER)"}
 for _k in (4, 20):
     _LAST |= {f"price_cross_ma{_k}": f"CAST(coalesce(pc * {_k} <= p{_k} AND close * {_k} > s{_k}, false) AS INTEGER)", f"ma{_k}_acceleration": f"round(coalesce((s{_k} - 2 * p{_k} + q{_k}) / {_k}.0, 0.0), 6)"}
-_LAST |= {"price_up_volume_down": "CAST(coalesce(close > pc AND NOT vol > pv, false) AS INTEGER)", "price_down_volume_down": "CAST(coalesce(NOT close > pc AND NOT vol > pv, false) AS INTEGER)", "trend_consistency": "CAST(" + each("CAST(coalesce(s{k} > p{k}, false) AS INTEGER)", " + ") + " AS INTEGER)", "price_change": "round(CASE WHEN pc IS NULL THEN 0.0 ELSE close / pc - 1 END, 6)", "volume_change": "round(CASE WHEN pv IS NULL THEN 0.0 ELSE vol / pv - 1 END, 6)"}
+_LAST |= {"price_up_volume_down": "CAST(coalesce(close > pc AND vol < pv, false) AS INTEGER)", "price_down_volume_down": "CAST(coalesce(close < pc AND vol < pv, false) AS INTEGER)", "price_change": "round(CASE WHEN pc IS NULL THEN 0.0 ELSE close / pc - 1 END, 6)", "volume_change": "round(CASE WHEN pv IS NULL THEN 0.0 ELSE vol / pv - 1 END, 6)"}
 
 for _k in (4, 20):
     _LAST[f"ma{_k}_direction_change"] = f"CAST(coalesce(s{_k} > p{_k} AND p{_k} < q{_k}, false) AS INTEGER)"
@@ -100,7 +100,7 @@ _LAST |= {
     "ma4_ma20_std_ratio": "round(CASE WHEN e20 > 0 THEN e4 * 5 / e20 ELSE 0.0 END, 4)",
     "bullish_strength": _STRENGTH["bullish"],
     "bearish_strength": _STRENGTH["bearish"],
-    "trend_strength": f"greatest({_STRENGTH['bullish']}, {_STRENGTH['bearish']})",
+    "trend_consistency": f"greatest({_STRENGTH['bullish']}, {_STRENGTH['bearish']})",
     "price_std_5": "round(coalesce(dc, 0.0), 4)",
     "volume_std_5": "round(coalesce(dv, 0.0), 4)",
     "open": "open",
@@ -108,6 +108,12 @@ _LAST |= {
     "low": "low",
 }
 
+#: Features that take more than 10 bars, and those that take more than 5.
+_TEN = ("bullish_alignment", "bearish_alignment", *[k for k in _LAST if k.endswith(("_slope", "_ma47_ratio", "_ma47_diff", "_direction_change", "_acceleration")) and k.startswith("ma")])
+_FIVE = ("price_std_5", "volume_std_5", "ma4_ma20_std_ratio", "ma4_ma20_spread", "ma4_ma20_spread_change", "bullish_strength", "bearish_strength", "trend_consistency", "price_up_volume_down", "price_down_volume_down", "ma_up_volume_up", "ma_down_volume_up")
+_FIVE += ("ma4_std", "ma8_std", "ma20_std", *[k for k in _LAST if k.startswith(("price_ma", "price_above_", "price_cross_"))])
+_LAST |= {k: f"CASE WHEN total > {least} THEN {_LAST[k]} ELSE 0 END" for least, names in ((10, _TEN), (5, _FIVE)) for k in names}
+
 ORACLE_SQL = {
     name: sql(body)
     for name, body in {
@@ -143,3 +149,19 @@ ORACLE_SQL = {
     }.items()
 }
 LAST_BAR = ORACLE_SQL["last_bar_features"]
+
+
+def _changed(at: str, new: dict[str, str], **changed: str) -> dict[str, str]:
+    """TABLES with new expressions before the one named `at`, and others in place of theirs."""
+    out = {}
+    for name, text in TABLES.items():
+        out |= (new if name == at else {}) | {name: changed.get(name, text)}
+    return out
+
+
+_STAGED = "SELECT * FROM sums WHERE (code, n) IN (SELECT m.code, m.n FROM stages g JOIN sums m ON m.code = g.code AND m.n BETWEEN g.lo AND g.hi WHERE g.stage = 'stage2')"
+_TWENTY = TABLES["recent"].replace("30 - back", "20 - back").replace("back <= 30 AND total >= 30", "back <= 20 AND total >= 20")
+ORACLE_SQL["stage_last_bars"] = sql("SELECT code, " + ", ".join(f"{v} AS {k}" for k, v in _LAST.items()) + " FROM lagged WHERE back = 1", tables=_changed("lagged", {"staged": _STAGED}, lagged=TABLES["lagged"].replace(" FROM sums ", " FROM staged ")))
+ORACLE_SQL["screen_two_spans"] = sql("SELECT * FROM current", tables=_changed("found2", {"recent20": _TWENTY}, found2=TABLES["found2"].replace("recent ", "recent20 "), ends=TABLES["ends"].replace("hi = 29", "hi = 19")))
+ORACLE_SQL["stage_features11"] = "SELECT code, stage, lo, hi, " + ", ".join(f"f{i if i < 6 else i + 6} AS f{i}" for i in range(11)) + f" FROM ({ORACLE_SQL['stage_features']})"
+ORACLE_SQL["same_stage_close"] = f"SELECT * FROM ({ORACLE_SQL['same_stage_cosine']}) WHERE similarity >= 0.8"

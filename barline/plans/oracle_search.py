@@ -130,7 +130,7 @@ def _places(upper: str, lower: str) -> str:
     return f"list_transform(list_filter(range(1, len({upper})), lambda i: {upper}[i] <= {lower}[i] AND {upper}[i + 1] > {lower}[i + 1]), lambda x: CAST(x AS DOUBLE))"
 
 
-def _crossed(weights: dict[str, float] = CROSS_WEIGHTS, golden: bool = True) -> str:
+def _crossed(weights: dict[str, float] = CROSS_WEIGHTS, golden: bool = True, resampled: bool = True) -> str:
     """Table expressions over `strands`: crossover of every code."""
     pairs = " OR ".join(f"(a.k = {p} AND b.k = {q})" for p, q in CROSS_PAIRS)
     alike = lambda kind, c: "1.0" if kind == "golden" and not golden else f"avg(CASE WHEN kind = '{kind}' THEN {c} END)"
@@ -138,20 +138,20 @@ def _crossed(weights: dict[str, float] = CROSS_WEIGHTS, golden: bool = True) ->
     found = f"(SELECT a.code, a.k || '/' || b.k AS pair, unnest(['golden', 'death']) AS kind, unnest([{_places('a.v', 'b.v')}, {_places('b.v', 'a.v')}]) AS places, len(a.v) AS size FROM strands a JOIN strands b ON a.code = b.code AND ({pairs}))"
     return f"""crossing AS {found},
         facing AS (SELECT a.code, a.kind, a.code || a.pair || a.kind AS key, a.places AS a, b.places AS b, len(a.places) AS n1, len(b.places) AS n2, b.size FROM crossing a JOIN crossing b ON a.pair = b.pair AND a.kind = b.kind AND b.code = '{CODE}'),
-        placed AS {_unified("facing")}, {_warps("moved", "placed")},
+        placed AS {_unified("facing") if resampled else "(SELECT * FROM facing)"}, {_warps("moved", "placed")},
         crossover AS (SELECT code, round({whole}, 6) AS crossover FROM (
             SELECT code, kind, 1 - abs(n1 - n2) / (greatest(n1, n2, 1) + 1e-10) AS count,
-                CASE WHEN n1 = 0 AND n2 = 0 THEN 1.0 WHEN n1 = 0 OR n2 = 0 THEN 0.0 WHEN len(a) < 2 THEN 1 - least(abs(list_avg(a) - list_avg(b)) / size, 1.0) ELSE 1 - d / (size * greatest(n1, n2) + 1e-10) END AS position
+                CASE WHEN n1 = 0 AND n2 = 0 THEN 1.0 WHEN n1 = 0 OR n2 = 0 THEN 0.0 WHEN len(a) < 2 AND {resampled} THEN 1 - least(abs(list_avg(a) - list_avg(b)) / size, 1.0) ELSE 1 - d / (size * greatest(n1, n2) + {1e-10 if resampled else 0}) END AS position
             FROM placed LEFT JOIN moved USING (key)) GROUP BY code)"""
 
 
-def _grouped(lines: str, top: int, weights=WEIGHTS, groups=GROUP_WEIGHTS, crosses=CROSS_WEIGHTS, golden: bool = True, without: str = "") -> str:
+def _grouped(lines: str, top: int, weights=WEIGHTS, groups=GROUP_WEIGHTS, crosses=CROSS_WEIGHTS, golden: bool = True, without: str = "", resampled: bool = True) -> str:
     own = " + ".join(f"{n} * {w!r}" for n, w in normalised(weights).items())
     g = normalised(groups)
     body = f"""SELECT code, round({g["lines"]!r} * mean + {g["crossover"]!r} * crossover, 6) AS similarity
         FROM (SELECT split_part(key, '|', 1) AS code, sum({own}) / {len(PERIODS)} AS mean FROM metrics GROUP BY 1) JOIN crossover USING (code) {without}
         ORDER BY similarity DESC, code LIMIT {top}"""
-    return sql(body, _compared(lines), _crossed(crosses, golden))
+    return sql(body, _compared(lines), _crossed(crosses, golden, resampled))
 
 
 _UNEVEN = f"(SELECT * FROM {_lines(13, f'''AND code <> '{CODE}' ''')} UNION ALL SELECT * FROM {_lines(20, f'''AND code = '{CODE}' ''')})"
@@ -175,6 +175,13 @@ ORACLE_SQL = {
         f"""SELECT g.code, g.start, g."end", round(avg(CASE WHEN m.n > g.last THEN m.step END), 9) AS mean_step
         FROM {_runs(_PLAIN)} g JOIN (SELECT code, n, close / lag(close) OVER ({_W}) - 1 AS step FROM sums ) m ON m.code = g.code AND m.n BETWEEN g.last AND g.last + 4 GROUP BY g.code, g.start, g."end" """
     ),
+    "golden_cross_default": sql(f"SELECT code, ts, close FROM (SELECT *, {_HIT.format(p=4, q=12)} AND {_FILTERS} AND {_ORDERED} AS hit FROM sums ) WHERE hit"),
+    "golden_cross_older_intervals": sql(
+        _INTERVALS.replace("f.mean_return AS", "round(coalesce(f.mean_return, 0.0), 9) AS").replace("FROM future5 ), 6)", "FROM future5 ), 9)"),
+        f"runs48 AS {_runs(_PLAIN)}",
+        f"""future5 AS (SELECT g.code, g.last AS hi, avg(CASE WHEN m.n > g.last THEN m.step END) AS mean_return
+            FROM runs48 g JOIN (SELECT code, n, close / lag(close) OVER ({_W}) - 1 AS step FROM sums ) m ON m.code = g.code AND m.n BETWEEN g.last AND g.last + 4 GROUP BY g.code, g.last)""",
+    ),
     "pattern_report": sql(f"SELECT * EXCLUDE (n_future), row_number() OVER (ORDER BY similarity DESC, code, lo) AS rank FROM ({_DATED} JOIN {_future(_ALIKE, 5)} f ON f.code = w.code AND f.lo = w.lo)"),
     "pattern_overall_return": sql(f"SELECT count(*) AS windows, round(coalesce(avg(mean_return) FILTER (WHERE n_future > 0), 0.0), 4) AS mean_return FROM {_future(_ALIKE, 5)}"),
     "pattern_report_older": sql(
@@ -183,7 +190,7 @@ ORACLE_SQL = {
     "line_similarity_warped": sql(f"SELECT split_part(key, '|', 1) AS code, dtw, spearman FROM metrics", _compared(_lines(20), "WHERE a.k = 4")),
     "crossover_similarity": sql("SELECT * FROM crossover", f"strands AS {_lines(20)}", _crossed()),
     "group_similarity": _grouped(_lines(20), 20),
-    "group_similarity_older": _grouped(_lines(20), 10, without=f"WHERE code <> '{CODE}'"),
+    "group_similarity_older": _grouped(_lines(20), 10, without=f"WHERE code <> '{CODE}'", resampled=False),
     "group_similarity_uneven": _grouped(_UNEVEN, 25, {"direction": 1, "slope": 2, "volatility": 1, "pearson": 2, "mean_level": 1}, {"lines": 3, "crossover": 1}, {"death_count": 2, "golden_count": 1, "golden_position": 1}, False),
     "window_verdicts": sql(f"SELECT * FROM {_verdicts(_SEGMENTS)}"),
     "window_stage": sql(f"SELECT * EXCLUDE (stage, lo, hi) FROM {_verdicts(_LATEST)}"),

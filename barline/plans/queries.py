@@ -76,6 +76,12 @@ def stage_features(spark, sf_dir):
     return found.select("code", "stage", "lo", "hi", "start", "end", "duration", "duration_type", *[F.round(F.get("features18", i) + 1e-6, 2).alias(f"f{i}") for i in range(18)])
 
 
+@_query
+def stage_features11(spark, sf_dir):
+    found = stages.stage_segments(_sums(spark, sf_dir))
+    return found.select("code", "stage", "lo", "hi", *[F.round(F.get("features11", i) + 1e-6, 2).alias(f"f{i}") for i in range(11)])
+
+
 @_query
 def stage_summary(spark, sf_dir):
     return stages.stage_segments(_sums(spark, sf_dir)).groupBy("stage", "duration_type").agg(F.count("*").alias("segments"), F.sum("duration").alias("bars"))
@@ -129,6 +135,20 @@ def golden_cross_older(spark, sf_dir):
     return golden.close_to_close(runs, sums).withColumn("mean_step", F.round("mean_step", 9))
 
 
+@_query
+def golden_cross_default(spark, sf_dir):
+    """Bars of the cross of 4 above 12 with more volume, a higher close and the arrangement."""
+    return golden.matching_bars(_sums(spark, sf_dir), golden_cross(4, 12)).select("code", "ts", "close")
+
+
+@_query
+def golden_cross_older_intervals(spark, sf_dir):
+    """The older search whole: plain crosses of 4 above 20 with the index around and after, later bars, and the mean of all returns that have any."""
+    bars = sources.walk(spark, sf_dir)
+    found = golden.first_intervals(golden.matching_intervals(stages.rolling_sums(bars), _index(bars), older=True), older=True)
+    return found.withColumns({"five_day_return": F.round("five_day_return", 9), "overall_return": F.round("overall_return", 9)})
+
+
 @_query
 def forward_returns(spark, sf_dir):
     sums = _sums(spark, sf_dir)
@@ -217,6 +237,12 @@ def same_stage_cosine(spark, sf_dir):
     return patterns.same_stage_cosine(stages.stage_segments(_sums(spark, sf_dir)), CODE, "stage1", -1.0).withColumn("similarity", F.round("similarity", 4))
 
 
+@_query
+def same_stage_close(spark, sf_dir):
+    """Segments of the stage at least 0.8 alike."""
+    return patterns.same_stage_cosine(stages.stage_segments(_sums(spark, sf_dir)), CODE, "stage1").withColumn("similarity", F.round("similarity", 4))
+
+
 def _first_segment(segments: DataFrame, stage: str) -> DataFrame:
     own = segments.where((F.col("code") == CODE) & (F.col("stage") == stage))
     return own.agg(F.min_by(F.struct("code", "start", "end", "features18"), F.struct("lo", "hi")).alias("w")).select("w.*").where("code is not null")
@@ -265,6 +291,12 @@ def screen_latest(spark, sf_dir):
     return screen.current_stage(_sums(spark, sf_dir))
 
 
+@_query
+def screen_two_spans(spark, sf_dir):
+    """Stage 2 in the last 20 bars, stage 1 in the last 30."""
+    return screen.current_stage(_sums(spark, sf_dir), 20, 3, 30)
+
+
 @_query
 def screen_export(spark, sf_dir):
     """The exported bars of every code that the screen finds, and the history before the first labelled one."""
@@ -383,6 +415,14 @@ def last_bar_features(spark, sf_dir):
     return screen.last_bar_features(_sums(spark, sf_dir))
 
 
+@_query
+def stage_last_bars(spark, sf_dir):
+    """Last-bar features of each code's bars in stage 2 alone."""
+    sums = _sums(spark, sf_dir)
+    held = stages.bars_of(stages.stage_positions(sums).where("stage = 'stage2'").select("code", "lo", "hi").distinct(), sums.select("code", "n")).select("code", "n", F.lit(2).alias("stage")).distinct()
+    return screen.last_bar_features(sums.join(held, ["code", "n"]).where("stage = 2").drop("stage"))
+
+
 @_query
 def event_hours(spark, sf_dir):
     from barline.streaming.bars import hourly

@@ -1,0 +1,158 @@
+"""Last-bar features, the older score, both look-backs and whole ranks against loops written from the rules."""
+
+import datetime
+import itertools
+import math
+import random
+import statistics
+
+import pytest
+from pyspark.sql import functions as F
+
+from barline.functions import scalars
+from barline.functions.ma import PERIODS
+from barline.operators import golden, patterns, returns, screen, search, stages
+
+DAY = datetime.date(2021, 1, 1)
+
+
+def bars_of(spark, sizes, seed=1, vols=(0, 1, 2, 3)):
+    rng, rows = random.Random(seed), []
+    for code, n in sizes.items():
+        close = 20_000
+        for i in range(n):
+            close += rng.choice((-100, 0, 0, 100, 130))
+            rows.append((code, DAY + datetime.timedelta(days=i), close - 5, close + 20, close - 30, close, rng.choice(vols)))
+    return spark.createDataFrame(rows, "code string, ts date, open long, high long, low long, close long, vol long"), rows
+
+
+def last_bar(c, v):
+    """Features of the last bar of closes and volumes that have averages, whose first 46 are the warm-up."""
+    ma = {k: [sum(c[i - k + 1 : i + 1]) / k for i in range(46, len(c))] for k in PERIODS}
+    c, v = c[46:], v[46:]
+    n, f = len(c), {}
+    pairs = list(itertools.pairwise(PERIODS))
+    if n > 10:
+        for k in (4, 8, 20):
+            f |= {f"ma{k}_ma47_ratio": ma[k][-1] / ma[47][-1], f"ma{k}_ma47_diff": ma[k][-1] - ma[47][-1]}
+        f |= {f"ma{k}_slope": ma[k][-1] / ma[k][-5] - 1 for k in PERIODS}
+        f["bullish_alignment"] = int(all(ma[p][-1] > ma[q][-1] for p, q in pairs))
+        f["bearish_alignment"] = int(all(ma[p][-1] < ma[q][-1] for p, q in pairs))
+        for k in (4, 20):
+            f[f"ma{k}_direction_change"] = int(ma[k][-1] > ma[k][-2] < ma[k][-3])
+            f[f"ma{k}_acceleration"] = (ma[k][-1] - ma[k][-2]) - (ma[k][-2] - ma[k][-3])
+    if n > 5:
+        for k in (4, 8, 20, 47):
+            f |= {f"price_ma{k}_ratio": c[-1] / ma[k][-1], f"price_above_ma{k}": int(c[-1] > ma[k][-1])}
+        f |= {f"price_cross_ma{k}": int(c[-2] <= ma[k][-2] and c[-1] > ma[k][-1]) for k in (4, 20)}
+        f["price_up_volume_down"] = int(c[-1] > c[-2] and v[-1] < v[-2])
+        f["price_down_volume_down"] = int(c[-1] < c[-2] and v[-1] < v[-2])
+        f["ma_up_volume_up"] = int(ma[20][-1] > ma[20][-2] and v[-1] > v[-2])
+        f["ma_down_volume_up"] = int(ma[20][-1] < ma[20][-2] and v[-1] > v[-2])
+        f |= {f"ma{k}_std": statistics.stdev(ma[k][-5:]) for k in (4, 8, 20)}
+        f["ma4_ma20_std_ratio"] = f["ma4_std"] / f["ma20_std"] if f["ma20_std"] > 0 else 0
+        f["ma4_ma20_spread"] = abs(ma[4][-1] - ma[20][-1])
+        f["bullish_strength"] = sum(ma[p][-1] > ma[q][-1] for p, q in pairs) / 5
+        f["bearish_strength"] = sum(ma[p][-1] < ma[q][-1] for p, q in pairs) / 5
+        f["trend_consistency"] = max(f["bullish_strength"], f["bearish_strength"])
+        f |= {"price_std_5": statistics.stdev(c[-5:]), "volume_std_5": statistics.stdev(v[-5:])}
+    if n > 1:
+        f["price_change"] = c[-1] / c[-2] - 1
+    return f | {f"ma{k}": ma[k][-1] for k in PERIODS}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_last_bar_features(spark, seed):
+    df, rows = bars_of(spark, {str(n): n for n in (47, 48, 51, 52, 56, 57, 58, 80, 90, 100, 110, 120)}, seed)
+    got = {r.code: r.asDict() for r in screen.last_bar_features(stages.rolling_sums(df)).collect()}
+    seen = set()
+    for code in got:
+        own = [r for r in rows if r[0] == code]
+        f = last_bar([r[5] for r in own], [r[6] for r in own])
+        seen |= {k for k, x in f.items() if x}
+        for name, value in got[code].items():
+            if name not in ("code", "close", "open", "high", "low", "vol", "volume_change", "ma4_ma20_spread_change"):
+                assert math.isclose(value, f.get(name, 0), rel_tol=1e-4, abs_tol=1.1e-4), (code, name, value, f.get(name, 0))
+        assert "trend_strength" not in got[code]
+    assert {"trend_consistency", "bullish_strength"} <= seen
+
+
+def warp(a, b):
+    far = math.inf
+    d = [[far] * len(b) for _ in a]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            cost = abs(x - y)
+            d[i][j] = cost if not i and not j else min(d[i - 1][j] + cost if i else far, d[i][j - 1] + cost if j else far, d[i - 1][j - 1] + 2 * cost if i and j else far)
+    return d[-1][-1]
+
+
+def test_older_crossover_warps_places_as_they_are(spark):
+    df, _ = bars_of(spark, {str(k): 47 + 40 for k in range(8)}, 9)
+    lines = {r.code: r.asDict() for r in patterns.series(stages.rolling_sums(df), 40).collect()}
+    got = {r.code: r.crossover for r in patterns.crossover_similarity(patterns.series(stages.rolling_sums(df), 40), "0", resampled=False).collect()}
+
+    def places(up, low):
+        return [i for i in range(1, len(up)) if up[i - 1] <= low[i - 1] and up[i] > low[i]]
+
+    uneven = 0
+    for code, own in lines.items():
+        parts = []
+        for p, q in patterns.CROSS_PAIRS:
+            for a, b in (((own[f"m{p}"], own[f"m{q}"]), (lines["0"][f"m{p}"], lines["0"][f"m{q}"])), ((own[f"m{q}"], own[f"m{p}"]), (lines["0"][f"m{q}"], lines["0"][f"m{p}"]))):
+                x, y = places(*a), places(*b)
+                uneven += bool(x and y and len(x) != len(y))
+                count = 1 - abs(len(x) - len(y)) / (max(len(x), len(y), 1) + 1e-10)
+                place = 1 - warp(x, y) / (40 * max(len(x), len(y))) if x and y else float(len(x) == len(y))
+                parts.append((count + place) / 2)
+        assert math.isclose(got[code], sum(parts) / len(parts), abs_tol=2e-6)
+    assert uneven
+    newer = {r.code: r.crossover for r in patterns.crossover_similarity(patterns.series(stages.rolling_sums(df), 40), "0").collect()}
+    assert any(abs(newer[c] - got[c]) > 1e-4 for c in got)
+
+
+def test_each_stage_in_its_own_span(spark):
+    df, _ = bars_of(spark, {str(k): 47 + 60 for k in range(60)}, 4)
+    sums = stages.rolling_sums(df)
+    found = {r.code: r for r in screen.current_stage(sums, 20, 3, 30).collect()}
+    two = {r.code: r for r in screen.current_stage(sums, 20, 3).where("stage = 'stage2'").collect()}
+    one = {r.code: r for r in screen.current_stage(sums, 30, 3).collect()}
+    assert {c for c, r in found.items() if r.stage == "stage2"} == set(two) and all(found[c] == two[c] for c in two)
+    for code, r in found.items():
+        if r.stage == "stage1" and one[code].stage == "stage1":
+            assert r == one[code]
+    assert any(r.stage == "stage1" for r in found.values())
+
+
+def test_older_search(spark):
+    """The mean leaves out intervals without a later bar; the return starts at the interval's last bar."""
+    df, rows = bars_of(spark, {str(k): 47 + 40 + k for k in range(12)}, 6)
+    sums = stages.rolling_sums(df)
+    index = returns.index_sums(df.groupBy("ts").agg(F.expr("sum(close) div count(*)").alias("close")))
+    found = golden.matching_intervals(sums, index, older=True).collect()
+    total = []
+    for r in found:
+        closes = [x[5] for x in rows if x[0] == r.code]
+        days = [x[1] for x in rows if x[0] == r.code]
+        own = closes[days.index(r.end) : days.index(r.end) + 5]
+        steps = [(b - a) / a for a, b in itertools.pairwise(own)]
+        assert (r.five_day_return is None) == (not steps) and (not steps or math.isclose(r.five_day_return, sum(steps) / len(steps), abs_tol=1e-12))
+        total += [sum(steps) / len(steps)] if steps else []
+    first = golden.first_intervals(golden.matching_intervals(sums, index, older=True), 2, older=True).collect()
+    assert total and len(first) < len(found) and all(math.isclose(r.overall_return, sum(total) / len(total), abs_tol=1e-12) and r.five_day_return is not None for r in first)
+
+
+def test_ranks_of_groups(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), i, rng.choice((0.7, 0.71, 0.714, 0.9))) for i in range(300)]
+    report = spark.createDataFrame(rows, "code string, lo long, similarity double")
+    monkeypatch.setattr(search, "RANKED", 16)
+    got = sorted((r["rank"], r.code, r.lo, r.similarity) for r in search.ranked(report).collect())
+    order = sorted(((-round(s, 2), c, i) for c, i, s in rows))
+    assert got == [(k + 1, c, i, -s) for k, (s, c, i) in enumerate(order)]
+
+
+def test_names_of_exchanges(spark):
+    rows = spark.createDataFrame([("600000", "近20天"), ("000021", ""), ("300.SH", "last 5 of 9"), ("1", None)], "code string, text string")
+    got = rows.select(scalars.exchange_index(F.col("code")), scalars.suffixed(F.col("code")), scalars.recent_days(F.col("text"))).collect()
+    assert [tuple(r) for r in got] == [("000001", "600000.SH", 20), ("399001", "000021.SZ", 20), ("000001", "300.SH.SZ", 5), ("399001", "1.SZ", 20)]

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.operators.screen import conform, last_bar_features
+from barline.operators.screen import bar_features, conform, last_bar_features
 
 
 def labelled_last_bars(sums: DataFrame, labels: DataFrame, stage: int | None = None) -> DataFrame:
@@ -51,6 +53,64 @@ def classified(rows: DataFrame, names: list[str], predict: Callable[[pd.DataFram
     return wanted.mapInPandas(run, schema).select("_keys.*", "probabilities")
 
 
+#: Added to every variance of a fitted model, so that features that never vary don't decide.
+SMOOTH = 1e-6
+
+
+def fitted(rows: DataFrame, names: list[str], label: str, *keys: str) -> dict[tuple, dict[int, tuple[float, np.ndarray, np.ndarray]]]:
+    """A naive Bayes model with normal features for each value of the keys: of each class (0, 1) its share, means and variances.
+
+    One aggregation fits all models; the driver gets a row for each model and class. Rows without a label or key don't count, missing features
+    are 0, and where a class has no rows there is no model.
+    """
+    filled = rows.where(F.col(label).isin(0, 1)).select(*keys, label, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
+    told = filled.groupBy(*keys, label).agg(F.count("*").alias("_rows"), *[f(c).alias(f"_{k}_{c}") for c in names for k, f in (("m", F.avg), ("v", F.var_pop))])
+    models: dict[tuple, dict] = {}
+    for r in told.collect():
+        values = [np.array([r[f"_{k}_{c}"] for c in names]) for k in "mv"]
+        models.setdefault(tuple(r[k] for k in keys), {})[int(r[label])] = (r["_rows"], values[0], values[1] + SMOOTH)
+    whole = {k: sum(c[0] for c in m.values()) for k, m in models.items()}
+    return {k: {y: (n / whole[k], mean, var) for y, (n, mean, var) in m.items()} for k, m in models.items() if len(m) == 2 and None not in k}
+
+
+def predicted(rows: DataFrame, names: list[str], models: dict[tuple, dict[int, tuple[float, np.ndarray, np.ndarray]]], *keys: str) -> DataFrame:
+    """rows that have a model, with the probability of class 1 (`up`) and `prediction` (1 if it is above a half). Each worker sets the models up once."""
+    names, order = list(names), sorted(models)
+    if not order:
+        return rows.where("false").withColumns({"up": F.lit(0.0), "prediction": F.lit(0)})
+
+    def make():  # noqa: ANN202
+        share, mean, var = (np.array([[models[k][y][i] for y in (0, 1)] for k in order]) for i in range(3))
+        base = np.log(share) - 0.5 * np.log(2 * np.pi * var).sum(-1)
+
+        def run(features: np.ndarray, which: np.ndarray) -> np.ndarray:
+            own = which.astype(np.int64).ravel()
+            score = base[own] - (np.square(features[:, None, :] - mean[own]) / (2 * var[own])).sum(-1)
+            return 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -700, 700)))
+
+        return run
+
+    score = predict_batch_udf(make, return_type=T.DoubleType(), batch_size=4096, input_tensor_shapes=[[len(names)], [1]])
+    place = F.create_map(*[x for i, k in enumerate(order) for x in (F.to_json(F.array(*[F.lit(str(v)) for v in k])), F.lit(float(i)))])
+    model = F.try_element_at(place, F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))
+    found = rows.withColumn("_model", model).where("_model is not null")
+    cells = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+    return found.withColumn("up", score(cells, F.array("_model"))).drop("_model").withColumn("prediction", (F.col("up") > 0.5).cast("int"))
+
+
+def segment_rows(segments: DataFrame, sums: DataFrame, history: int = 50) -> DataFrame:
+    """Every segment (code, stage, lo, hi, start, end, ..) beside the features of each of its bars, made of the bars of `history` calendar days before its start up to its end: ts, n and the features."""
+    keys = ("code", "stage", "lo", "hi")
+    wanted = segments.withColumns({"_code": F.col("code"), "code": F.concat_ws("|", *keys)})
+    days = wanted.select("code", "_code", "start", F.explode(F.sequence(F.date_sub("start", history), F.col("end"))).alias("ts"))
+    bars = sums.withColumnRenamed("code", "_code")
+    group = days.join(bars, ["_code", "ts"])
+    # As `code` a segment's key takes the windows of the features to its own bars.
+    told = bar_features(group.drop("_code", "start")).join(group.select("code", "ts", "n", "start"), ["code", "ts"]).where(F.col("ts") >= F.col("start")).drop("start")
+    clash = [c for c in told.columns if c in segments.columns and c != "code"]
+    return wanted.join(told.drop(*clash), "code").drop("code").withColumnRenamed("_code", "code")
+
+
 def by_duration(segments: DataFrame, predict: dict[tuple[str, str], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Segments with the probabilities of the model for their stage and duration type; each model maps rows to (code, stage, lo, hi, probabilities). Segments without a model have an empty map."""
     empty = F.create_map().cast("map<string,double>")

@@ -98,7 +98,14 @@ _SHORT = re.compile(r"^price_(ma|above|cross)|_volume_(up|down)$|_std|_spread|_s
 
 
 def last_bar_features(sums: DataFrame) -> DataFrame:
-    """One row for each code with features of its last bar; where the history is too short they are 0.
+    """bar_features of each code's last bar."""
+    found = bar_features(sums)
+    last = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("ts")))
+    return found.withColumn("_r", last).where("_r = 1").drop("_r", "ts")
+
+
+def bar_features(sums: DataFrame) -> DataFrame:
+    """code, ts and features of every bar, of it and the code's bars before it; where these are too few they are 0.
 
     Levels, slopes, turns and arrangements take more than 10 bars; what compares the close or the volume with others, deviations and strengths more than 5.
     trend_consistency is the larger of bullish and bearish strength. Equal closes or volumes are neither up nor down.
@@ -137,10 +144,9 @@ def last_bar_features(sums: DataFrame) -> DataFrame:
     out["trend_consistency"] = F.greatest(out["bullish_strength"], out["bearish_strength"])
     if "open" in sums.columns:
         out |= {c: F.col(c) for c in ("open", "high", "low")}
-    last = F.row_number().over(Window.partitionBy("code").orderBy(F.desc("ts")))
-    rows = sums.select("code", *[c.alias(k) for k, c in out.items()], last.alias("_r"), F.count("*").over(Window.partitionBy("code")).alias("_bars")).where("_r = 1")
+    rows = sums.select("code", "ts", *[c.alias(k) for k, c in out.items()], F.row_number().over(by_time()).alias("_bars"))
     least = {k: 10 if _LONG.search(k) else 5 if _SHORT.search(k) else 0 for k in out}
-    return rows.select("code", *[(F.when(F.col("_bars") > least[k], F.col(k)).otherwise(0) if least[k] else F.col(k)).alias(k) for k in out])
+    return rows.select("code", "ts", *[(F.when(F.col("_bars") > least[k], F.col(k)).otherwise(0) if least[k] else F.col(k)).alias(k) for k in out])
 
 
 def conform(features: DataFrame, names: list[str], key: str = "code") -> DataFrame:

@@ -53,7 +53,7 @@ TABLES = {
     "phased": "SELECT *, CAST(floor((n - phase) / 21.0) AS INTEGER) AS k FROM (SELECT *, unnest([0, 10]) AS phase FROM sums) WHERE n >= phase",
     "gaps": f"SELECT *, sum(CAST(coalesce(ts - lag_ts > 1, false) AS INTEGER)) OVER ({_W}) AS run FROM (SELECT *, lag(ts) OVER ({_W}) AS lag_ts FROM flags WHERE ordered)",
     "falls": "SELECT r.code, r.start_ts AS start, r.end_ts AS stop, m.ts AS fall FROM runs r JOIN sums m ON m.code = r.code AND m.n = r.next4 WHERE r.b > r.a",
-    "lagged": "SELECT code, ts, close, vol, n, " + each("s{k}, lag(s{k}) OVER w AS p{k}, lag(s{k}, 2) OVER w AS q{k}, lag(s{k}, 4) OVER w AS f{k}") + ", open, high, low, lag(close) OVER w AS pc, lag(vol) OVER w AS pv, " + f"stddev_samp(close) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dc, stddev_samp(vol) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dv, stddev_samp(s4) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e4, stddev_samp(s20) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e20, " + ", ".join(f"stddev_samp(s{k} / {k}.0) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS d{k}" for k in (4, 8, 20)) + f", row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS back, count(*) OVER (PARTITION BY code) AS total FROM sums WINDOW w AS ({_W})",
+    "lagged": "SELECT code, ts, close, vol, n, " + each("s{k}, lag(s{k}) OVER w AS p{k}, lag(s{k}, 2) OVER w AS q{k}, lag(s{k}, 4) OVER w AS f{k}") + ", open, high, low, lag(close) OVER w AS pc, lag(vol) OVER w AS pv, " + f"stddev_samp(close) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dc, stddev_samp(vol) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS dv, stddev_samp(s4) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e4, stddev_samp(s20) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS e20, " + ", ".join(f"stddev_samp(s{k} / {k}.0) OVER ({_W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS d{k}" for k in (4, 8, 20)) + f", row_number() OVER (PARTITION BY code ORDER BY ts DESC) AS back, row_number() OVER w AS total FROM sums WINDOW w AS ({_W})",
 }
 
 
@@ -148,10 +148,10 @@ ORACLE_SQL = {
         "event_hours": "SELECT event_type AS code, date_trunc('hour', ts) AS ts, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     }.items()
 }
-LAST_BAR = ORACLE_SQL["last_bar_features"]
+LAST_BAR, LAST_CELLS = ORACLE_SQL["last_bar_features"], _LAST
 
 
-def _changed(at: str, new: dict[str, str], **changed: str) -> dict[str, str]:
+def changed(at: str, new: dict[str, str], **changed: str) -> dict[str, str]:
     """TABLES with new expressions before the one named `at`, and others in place of theirs."""
     out = {}
     for name, text in TABLES.items():
@@ -161,7 +161,7 @@ def _changed(at: str, new: dict[str, str], **changed: str) -> dict[str, str]:
 
 _STAGED = "SELECT * FROM sums WHERE (code, n) IN (SELECT m.code, m.n FROM stages g JOIN sums m ON m.code = g.code AND m.n BETWEEN g.lo AND g.hi WHERE g.stage = 'stage2')"
 _TWENTY = TABLES["recent"].replace("30 - back", "20 - back").replace("back <= 30 AND total >= 30", "back <= 20 AND total >= 20")
-ORACLE_SQL["stage_last_bars"] = sql("SELECT code, " + ", ".join(f"{v} AS {k}" for k, v in _LAST.items()) + " FROM lagged WHERE back = 1", tables=_changed("lagged", {"staged": _STAGED}, lagged=TABLES["lagged"].replace(" FROM sums ", " FROM staged ")))
-ORACLE_SQL["screen_two_spans"] = sql("SELECT * FROM current", tables=_changed("found2", {"recent20": _TWENTY}, found2=TABLES["found2"].replace("recent ", "recent20 "), ends=TABLES["ends"].replace("hi = 29", "hi = 19")))
+ORACLE_SQL["stage_last_bars"] = sql("SELECT code, " + ", ".join(f"{v} AS {k}" for k, v in _LAST.items()) + " FROM lagged WHERE back = 1", tables=changed("lagged", {"staged": _STAGED}, lagged=TABLES["lagged"].replace(" FROM sums ", " FROM staged ")))
+ORACLE_SQL["screen_two_spans"] = sql("SELECT * FROM current", tables=changed("found2", {"recent20": _TWENTY}, found2=TABLES["found2"].replace("recent ", "recent20 "), ends=TABLES["ends"].replace("hi = 29", "hi = 19")))
 ORACLE_SQL["stage_features11"] = "SELECT code, stage, lo, hi, " + ", ".join(f"f{i if i < 6 else i + 6} AS f{i}" for i in range(11)) + f" FROM ({ORACLE_SQL['stage_features']})"
 ORACLE_SQL["same_stage_close"] = f"SELECT * FROM ({ORACLE_SQL['same_stage_cosine']}) WHERE similarity >= 0.8"

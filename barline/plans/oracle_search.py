@@ -237,11 +237,6 @@ ORACLE_SQL = {
     "label_summary": sql(
         """SELECT stage, count(*) FILTER (WHERE duration_type = 'long') AS long, count(*) FILTER (WHERE duration_type = 'short') AS short, CAST(sum("end" - start + 1) AS BIGINT) AS days, min(start) AS first FROM features GROUP BY stage"""
     ),
-    "segments_with_probabilities": sql("SELECT code, stage, lo, hi, duration_type, CASE WHEN lo % 3 = 0 THEN 2 ELSE 0 END AS classes, CASE WHEN lo % 3 = 0 THEN 0.75 ELSE 0.0 END::DOUBLE AS class2 FROM features"),
-    "segment_votes": sql(
-        """SELECT g.code, g.stage, g.lo, g.hi, CASE WHEN avg(CAST(r4 AS INTEGER)) > 0.5 THEN 'long' ELSE 'short' END AS kind, round(avg(rc / 6.0), 6) AS up, round(avg(1 - rc / 6.0), 6) AS down
-        FROM stages g JOIN flags f ON f.code = g.code AND f.n BETWEEN g.lo AND g.hi GROUP BY g.code, g.stage, g.lo, g.hi"""
-    ),
     "box_suppression": _BOXES,
     "tree_features": f"SELECT code, round((ma4 - ma47) / greatest(ma4_std, abs(ma20_slope) + 1.0), 4) AS value, {_PART} AS part FROM ({LAST_BAR})",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.functions.ma import PERIODS, death_cross, falls_below, golden_cross, ordered
+from barline.functions.ma import PERIODS, by_time, death_cross, falls_below, golden_cross, ordered
 from barline.operators import blocks, golden, history, indicators, learning, patterns, returns, screen, search, stages, verdicts
 from barline.sources import bars as sources
 
@@ -373,21 +373,35 @@ def label_summary(spark, sf_dir):
     return found.groupBy("stage").agg(F.count_if(F.col("duration_type") == "long").alias("long"), F.count_if(F.col("duration_type") == "short").alias("short"), F.sum("days").alias("days"), F.min("start").alias("first"))
 
 
+#: What the models of segments are given.
+FEATURES = ["ma4_slope", "ma20_slope", "ma47_slope", "ma4_ma47_ratio", "price_ma20_ratio", "price_change", "bullish_strength", "trend_consistency"]
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The segments with their part, and a prediction for each of their bars: whether the close rises over five bars, by a model for each stage and duration type, fitted on the training part."""
+    sums = _sums(spark, sf_dir)
+    segments = learning.split(stages.stage_segments(sums).select("code", "stage", "lo", "hi", "start", "end", "duration_type"), "code", "stage", "lo")
+    later = sums.select("code", F.col("n").alias("at"), F.lead("close", 5).over(by_time()).alias("later"))
+    rows = learning.segment_rows(segments, sums).withColumn("at", F.col("n")).join(later, ["code", "at"])
+    rows = rows.withColumn("label", (F.col("later") > F.col("close")).cast("int"))
+    models = learning.fitted(rows.where("part = 'train'"), FEATURES, "label", "stage", "duration_type")
+    return segments, learning.predicted(rows, FEATURES, models, "stage", "duration_type")
+
+
 @_query
 def segments_with_probabilities(spark, sf_dir):
-    """Segments with probabilities of one in three of them; the others have an empty map."""
-    found = stages.stage_segments(_sums(spark, sf_dir)).select("code", "stage", "lo", "hi", "duration_type")
-    told = found.where("lo % 3 = 0").withColumn("probabilities", F.create_map(F.lit("class1"), F.lit(0.25), F.lit("class2"), F.lit(0.75)))
-    return verdicts.with_probabilities(found, told).select("code", "stage", "lo", "hi", "duration_type", F.size("probabilities").alias("classes"), F.coalesce(F.try_element_at("probabilities", F.lit("class2")), F.lit(0.0)).alias("class2"))
+    """Segments with the mean probabilities of their bars, where they are of the test part; the others have an empty map."""
+    segments, rows = _predictions(spark, sf_dir)
+    told = rows.where("part = 'test'").groupBy("code", "stage", "lo", "hi").agg(F.create_map(F.lit("class1"), 1 - F.avg("up"), F.lit("class2"), F.avg("up")).alias("probabilities"))
+    return verdicts.with_probabilities(segments, told).select("code", "stage", "lo", "hi", "duration_type", F.size("probabilities").alias("classes"), F.round(F.coalesce(F.try_element_at("probabilities", F.lit("class2")), F.lit(0.0)), 4).alias("class2"))
 
 
 @_query
 def segment_votes(spark, sf_dir):
-    """Every bar of a segment votes long if its close rose; the mean of two made-up classes beside."""
-    sums = _sums(spark, sf_dir)
-    bars = stages.bars_of(stages.stage_positions(sums), stages.flags(sums))
-    rows = bars.select("code", "stage", "lo", "hi", F.col("r4").cast("int").alias("prediction"), F.create_map(F.lit("up"), (F.col("rc") / 6.0), F.lit("down"), 1 - F.col("rc") / 6.0).alias("probabilities"))
-    return learning.vote(rows, "code", "stage", "lo", "hi").select("code", "stage", "lo", "hi", "kind", F.round(F.element_at("probabilities", "up"), 6).alias("up"), F.round(F.element_at("probabilities", "down"), 6).alias("down"))
+    """What the bars of each segment vote by their model's predictions, and the mean of both classes."""
+    _, rows = _predictions(spark, sf_dir)
+    told = rows.withColumn("probabilities", F.create_map(F.lit("up"), F.col("up"), F.lit("down"), 1 - F.col("up")))
+    return learning.vote(told, "code", "stage", "lo", "hi").select("code", "stage", "lo", "hi", "kind", F.round(F.element_at("probabilities", "up"), 4).alias("up"), F.round(F.element_at("probabilities", "down"), 4).alias("down"))
 
 
 TREE = ("div", ("sub", "ma4", "ma47"), ("max", "ma4_std", ("add", ("abs", "ma20_slope"), 1.0)))

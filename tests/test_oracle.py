@@ -5,10 +5,10 @@ import datetime
 import duckdb
 import pytest
 
-from barline.plans import oracle, oracle_indicators, oracle_search, oracle_ticks
+from barline.plans import oracle, oracle_indicators, oracle_learning, oracle_search, oracle_ticks
 from barline.plans.queries import QUERIES
 
-ORACLE_SQL = oracle.ORACLE_SQL | oracle_search.ORACLE_SQL | oracle_ticks.ORACLE_SQL | oracle_indicators.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | oracle_search.ORACLE_SQL | oracle_ticks.ORACLE_SQL | oracle_indicators.ORACLE_SQL | oracle_learning.ORACLE_SQL
 
 SF = "/root/testdata/sf0.001"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import scalars
 from barline.functions.ma import PERIODS, s
+from barline.operators import blocks
 from barline.sources.bars import BASE
 
 CROSS_PAIRS = tuple((p, q) for i, p in enumerate(PERIODS) for q in PERIODS[i + 1 :])
@@ -21,21 +22,22 @@ def similar_windows(sums: DataFrame, code: str, lo: int, length: int = 10, strid
     """Every window of `length` bars at every `stride`-th place against the window of `code` at `lo`: code, start, similarity.
 
     0.4 trend + 0.3 exp(-mean squared difference) + 0.3 cosine of the z-scored (bars x averages) matrices. For z-scores the
-    cosine is Pearson's r and the squared difference 2 (1 - r), so five sums of each window are enough, and they add up before the
-    shuffle. The base pattern is `length` rows: its broadcast has a fixed size.
+    cosine is Pearson's r and the squared difference 2 (1 - r), so five sums of each window are enough. Windows are frames over blocks of bars that also have the
+    `length` bars behind them, so each bar is exchanged once, but for those at the edge of a block, whatever the pattern's length. The pattern is one row: its broadcast has a fixed size.
     """
     values = F.array(*[centred(k) for k in PERIODS])
-    base = sums.where((F.col("code") == code) & F.col("n").between(lo, lo + length - 1)).select((F.col("n") - lo).alias("o"), values.alias("y"))
-    starts = F.explode(F.filter(F.sequence(F.col("n") - (length - 1), F.col("n")), lambda x: (x >= 0) & (x % stride == 0)))
-    rows = sums.select("code", "n", values.alias("x")).withColumn("start", starts).withColumn("o", F.col("n") - F.col("start")).join(F.broadcast(base), "o")
-    add = lambda f: F.sum(F.aggregate(F.zip_with("x", "y", f), F.lit(0.0), lambda a, v: a + v))
-    ends = lambda c, i, by: by(F.get(c, i), "o")
-    got = rows.groupBy("code", "start").agg(
-        F.count("*").alias("bars"), add(lambda x, y: x).alias("sx"), add(lambda x, y: y).alias("sy"),
-        add(lambda x, y: x * x).alias("sxx"), add(lambda x, y: y * y).alias("syy"), add(lambda x, y: x * y).alias("sxy"),
-        ends("x", 0, F.min_by).alias("x0"), ends("x", len(PERIODS) - 1, F.max_by).alias("x1"),
-        ends("y", 0, F.min_by).alias("y0"), ends("y", len(PERIODS) - 1, F.max_by).alias("y1"),
-    ).where(F.col("bars") == length)
+    flat = lambda c: F.flatten(F.transform(F.array_sort(c), lambda x: x["y"]))
+    base = sums.where((F.col("code") == code) & F.col("n").between(lo, lo + length - 1)).agg(flat(F.collect_list(F.struct("n", values.alias("y")))).alias("y"))
+    size = length * len(PERIODS)
+    base = base.where(F.size("y") == size)  # one row, or none where the code has no such bars
+    add = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, v: a + f(v))
+    base = base.select("y", add("y", lambda v: v).alias("sy"), add("y", lambda v: v * v).alias("syy"), F.get("y", 0).alias("y0"), F.get("y", size - 1).alias("y1"))
+    rows = sums.select("code", F.col("n").cast("long").alias("n"), values.alias("x")).withColumn("block", F.expr(f"n div {blocks.BLOCK}"))
+    frame = blocks.in_block().rowsBetween(0, length - 1)
+    rows = blocks.around(rows, 0, length - 1, blocks.BLOCK).withColumns({"sx": F.sum(add("x", lambda v: v)).over(frame), "sxx": F.sum(add("x", lambda v: v * v)).over(frame), "xs": F.collect_list("x").over(frame)})
+    got = rows.where(F.col("own") & (F.col("n") % stride == 0) & (F.size("xs") == length)).crossJoin(F.broadcast(base))
+    sxy = F.aggregate(F.zip_with(F.flatten("xs"), "y", lambda x, y: x * y), F.lit(0.0), lambda a, v: a + v)
+    got = got.select("code", F.col("n").cast(sums.schema["n"].dataType).alias("start"), "sx", "sxx", "sy", "syy", "y0", "y1", sxy.alias("sxy"), F.get("x", 0).alias("x0"), F.element_at(F.element_at("xs", -1), -1).alias("x1"))
     m = float(length * len(PERIODS))
     sd = lambda a, b: F.sqrt(F.greatest(F.col(b) / m - (F.col(a) / m) * (F.col(a) / m), F.lit(0.0)))
     got = got.withColumns({"dx": sd("sx", "sxx"), "dy": sd("sy", "syy")})

@@ -156,3 +156,31 @@ def test_names_of_exchanges(spark):
     rows = spark.createDataFrame([("600000", "近20天"), ("000021", ""), ("300.SH", "last 5 of 9"), ("1", None)], "code string, text string")
     got = rows.select(scalars.exchange_index(F.col("code")), scalars.suffixed(F.col("code")), scalars.recent_days(F.col("text"))).collect()
     assert [tuple(r) for r in got] == [("000001", "600000.SH", 20), ("399001", "000021.SZ", 20), ("000001", "300.SH.SZ", 5), ("399001", "1.SZ", 20)]
+
+
+def test_long_patterns_in_blocks(spark, monkeypatch):
+    """Windows across blocks, of a pattern longer than a block, against a loop; bars are exchanged once, whatever the length."""
+    df, rows = bars_of(spark, {"a": 47 + 90, "b": 47 + 50, "c": 47 + 20}, 8)
+    sums = stages.rolling_sums(df).cache()
+    lines = {}
+    for code in "abc":
+        c = [r[5] for r in rows if r[0] == code]
+        lines[code] = [[sum(c[i - k + 1 : i + 1]) / k for k in PERIODS] for i in range(46, len(c))]
+    pattern = [x for row in lines["a"][7:37] for x in row]
+
+    def score(x, y):
+        mx, my = sum(x) / len(x), sum(y) / len(y)
+        dx, dy = statistics.pstdev(x), statistics.pstdev(y)
+        zx, zy = [(v - mx) / dx for v in x], [(v - my) / dy for v in y]
+        r = sum(a * b for a, b in zip(zx, zy, strict=True)) / len(x)
+        tx, ty = zx[-1] - zx[0], zy[-1] - zy[0]
+        trend = (1 + ((tx * ty > 0) - (tx * ty < 0)) * (min(abs(tx), abs(ty)) / max(abs(tx), abs(ty)))) / 2
+        return 0.4 * trend + 0.3 * math.exp(-2 * (1 - r)) + 0.3 * r
+
+    expected = {(code, i): score([x for row in own[i : i + 30] for x in row], pattern) for code, own in lines.items() for i in range(0, len(own) - 29, 3)}
+    for block in (8, 1 << 16):
+        monkeypatch.setattr(patterns.blocks, "BLOCK", block)
+        found = patterns.similar_windows(sums, "a", 7, 30, 3)
+        got = {(r.code, r.start): r.similarity for r in found.collect()}
+        assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], abs_tol=2e-5) for k in got)  # closes far from BASE lose digits
+    assert patterns.similar_windows(sums, "c", 7, 30).collect() == []  # no such pattern

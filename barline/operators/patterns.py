@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions import scalars
+from barline.functions import scalars, warping
 from barline.functions.ma import PERIODS, s
 from barline.operators import blocks
 from barline.sources.bars import BASE
@@ -88,6 +88,28 @@ def pair_similarities(both: DataFrame, *keys: str) -> DataFrame:
 
     The shorter array is resampled to the longer one's length. Constant arrays have no correlation; its value is 0.5. Arrays are averages less BASE.
     """
+    return warped(pair_metrics(both, *keys)).select(*keys, *WEIGHTS)
+
+
+def _near_warp(distance: Column) -> Column:
+    return 1 - F.least(F.coalesce(F.try_divide(distance, F.col("_scale")), F.lit(0.0)), F.lit(1.0))
+
+
+def warped(pairs: DataFrame) -> DataFrame:
+    """pairs of `pair_metrics` with dtw, the similarity by their warping distance: a dynamic program over Arrow batches."""
+    return pairs.withColumn("dtw", F.round(_near_warp(warping.distance("a", "b")), 6))
+
+
+def least_warp(a: Column, b: Column) -> Column:
+    """A distance that no warping is below: both ends are met, and so is every value, which lies as far from the other array's range."""
+    beyond = lambda x, y: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.greatest(v - F.array_max(y), F.array_min(y) - v, F.lit(0.0)))
+    # One cell may be both ends.
+    ends = F.greatest(F.abs(F.get(a, 0) - F.get(b, 0)), F.abs(F.element_at(a, -1) - F.element_at(b, -1)))
+    return F.greatest(beyond(a, b), beyond(b, a), ends)
+
+
+def pair_metrics(both: DataFrame, *keys: str) -> DataFrame:
+    """As pair_similarities without dtw; with a and b at one length, and what a warping distance is divided by."""
     both = both.select(*keys, scalars.unified(F.col("a"), F.col("b")).alias("a"), scalars.unified(F.col("b"), F.col("a")).alias("b")).withColumn("size", F.size("a"))
     n = F.col("size").cast("double")
     centre = lambda c: F.transform(c, lambda x: x - scalars.mean(c))
@@ -102,7 +124,6 @@ def pair_similarities(both: DataFrame, *keys: str) -> DataFrame:
     slope = lambda c: F.coalesce(F.try_divide(dot(steps, F.col(c)), (n * n * n - n) / 12), F.lit(0.0))
     sd = lambda c: F.sqrt(dot(F.col(c), F.col(c)) / n)
     reach = F.greatest(F.array_max("a"), F.array_max("b")) - F.least(F.array_min("a"), F.array_min("b"))
-    warped = 1 - F.least(F.coalesce(F.try_divide(scalars.dtw(F.col("a"), F.col("b")), F.sqrt(n * reach * reach)), F.lit(0.0)), F.lit(1.0))
     level = lambda c: scalars.mean(F.col(c)) + float(BASE)
     same_way = scalars.mean(F.zip_with("da", "db", lambda x, y: (F.signum(x) == F.signum(y)).cast("double")))
     metrics = {
@@ -111,10 +132,9 @@ def pair_similarities(both: DataFrame, *keys: str) -> DataFrame:
         "volatility": 1 - F.abs(sd("ca") - sd("cb")) / (sd("ca") + sd("cb") + 1e-10),
         "pearson": corr(F.col("ca"), F.col("cb")),
         "spearman": corr(F.col("cra"), F.col("crb")),
-        "dtw": warped,
         "mean_level": near(level("a"), level("b")),
     }
-    return both.select(*keys, *[F.round(v, 6).alias(k) for k, v in metrics.items()])
+    return both.select(*keys, "a", "b", F.sqrt(n * reach * reach).alias("_scale"), *[F.round(v, 6).alias(k) for k, v in metrics.items()])
 
 
 def line_similarities(rows: DataFrame, code: str, k: int = 4) -> DataFrame:
@@ -165,17 +185,30 @@ def crossover_similarity(rows: DataFrame, code: str, weights: dict[str, float] =
 def group_similarity(rows: DataFrame, code: str, top: int = 20, weights: dict[str, float] = WEIGHTS, groups: dict[str, float] = GROUP_WEIGHTS, crosses: dict[str, float] = CROSS_WEIGHTS, golden: bool = True, resampled: bool = True) -> DataFrame:
     """The `top` codes most similar to `code`, itself among them: code, similarity, the mean line similarity and the crossover similarity weighted; ties by code.
 
-    rows are series(); all lines of a code are scored in one pass. Weights are divided by their sum.
+    rows are series(); weights are divided by their sum. Warping is the dear part: each code gets a bound from `least_warp`, the `top` codes of the highest bounds are warped,
+    and then those alone whose bound reaches the least score of these. The result is that of warping all.
     """
     weights, groups = normalised(weights), normalised(groups)
     lines = rows.select("code", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("a")) for k in PERIODS])).alias("line")).select("code", "line.*")
     target = lines.where(F.col("code") == code).select("k", F.col("a").alias("b"))  # six rows
-    scored = pair_similarities(lines.join(F.broadcast(target), "k"), "code", "k")
-    own = sum((F.col(n) * w for n, w in weights.items()), F.lit(0.0))
-    mean = scored.groupBy("code").agg((F.sum(own) / len(PERIODS)).alias("lines"))
-    both = mean.join(crossover_similarity(rows, code, crosses, golden, resampled), "code")
-    score = groups["lines"] * F.col("lines") + groups["crossover"] * F.col("crossover")
-    return both.select("code", F.round(score, 6).alias("similarity")).orderBy(F.desc("similarity"), "code").limit(top)
+    pairs = pair_metrics(lines.join(F.broadcast(target), "k"), "code", "k")
+    crossed = crossover_similarity(rows, code, crosses, golden, resampled)
+    share = weights.get("dtw", 0.0)
+    rest = sum((F.col(n) * w for n, w in weights.items() if n != "dtw"), F.lit(0.0))
+
+    def scores(df: DataFrame, dtw: Column) -> DataFrame:
+        """code and similarity of lines, by their warping similarity or a bound of it."""
+        mean = df.groupBy("code").agg((F.sum(rest + share * dtw) / len(PERIODS)).alias("lines"))
+        return mean.join(crossed, "code").select("code", F.round(groups["lines"] * F.col("lines") + groups["crossover"] * F.col("crossover"), 6).alias("similarity"))
+
+    if not share:
+        return scores(pairs, F.lit(0.0)).orderBy(F.desc("similarity"), "code").limit(top)
+    bounds = scores(pairs, _near_warp(least_warp(F.col("a"), F.col("b"))))
+    exact = lambda codes: scores(warped(pairs.join(codes.select("code"), "code", "left_semi")), F.col("dtw"))
+    first = exact(bounds.orderBy(F.desc("similarity"), "code").limit(top))
+    # One row. Scores are rounded, so a bound may lie below its score by two last digits.
+    bar = first.agg(F.when(F.count("*") >= top, F.min("similarity") - 2e-6).otherwise(-1.0).alias("bar"))
+    return exact(bounds.crossJoin(F.broadcast(bar)).where("similarity >= bar")).orderBy(F.desc("similarity"), "code").limit(top)
 
 
 def older_group_similarity(rows: DataFrame, code: str, top: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from barline.functions import scalars
+from barline.functions import scalars, warping
 from barline.functions.ma import PERIODS
 from barline.operators import golden, patterns, returns, screen, search, stages
 
@@ -184,3 +184,39 @@ def test_long_patterns_in_blocks(spark, monkeypatch):
         got = {(r.code, r.start): r.similarity for r in found.collect()}
         assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], abs_tol=2e-5) for k in got)  # closes far from BASE lose digits
     assert patterns.similar_windows(sums, "c", 7, 30).collect() == []  # no such pattern
+
+
+def test_warping_of_batches():
+    rng = random.Random(5)
+    a = [[rng.random() for _ in range(rng.randint(1, 9))] for _ in range(80)]
+    b = [[rng.random() for _ in range(rng.randint(1, 9))] for _ in range(80)]
+    got = warping.warp_all([*a, None, [1.0]], [*b, [1.0], []])
+    assert all(math.isclose(x, warp(p, q)) for x, p, q in zip(got, a, b, strict=False)) and all(map(math.isnan, got[80:]))
+
+
+def test_only_what_may_be_among_the_first_is_warped(spark, monkeypatch):
+    """The pruned search gives what warping all gives, and warps fewer."""
+    rng = random.Random(6)
+    rows = []
+    for c in range(24):
+        level, drift = 10_000_000, rng.choice((-30, 0, 30))
+        walk = []
+        for _ in range(80):
+            level += rng.choice((-100, 100)) + (drift if c else 0)
+            walk.append(float(level - patterns.BASE))
+        rows.append((f"c{c:02d}", *[[v + 0.1 * k * i % 7 for i, v in enumerate(walk)] for k in PERIODS]))
+    df = spark.createDataFrame(rows, "code string, " + ", ".join(f"m{k} array<double>" for k in PERIODS)).cache()
+    got = [tuple(r) for r in patterns.group_similarity(df, "c00", 5).collect()]
+    lines = df.select("code", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("a")) for k in PERIODS])).alias("l")).select("code", "l.*")
+    both = lines.join(lines.where("code = 'c00'").select("k", F.col("a").alias("b")), "k")
+    every = patterns.pair_similarities(both, "code", "k")
+    mean = every.groupBy("code").agg((sum((F.sum(n) * w for n, w in patterns.WEIGHTS.items()), F.lit(0.0)) / 6).alias("lines"))
+    whole = mean.join(patterns.crossover_similarity(df, "c00"), "code").select("code", F.round(0.6 * F.col("lines") + 0.4 * F.col("crossover"), 6).alias("similarity"))
+    assert got == [tuple(r) for r in whole.orderBy(F.desc("similarity"), "code").limit(5).collect()]
+    pairs = patterns.pair_metrics(both, "code", "k")
+    close = patterns.warped(pairs).withColumn("bound", patterns._near_warp(patterns.least_warp(F.col("a"), F.col("b")))).select("dtw", "bound").collect()
+    assert all(r.bound >= r.dtw - 1e-6 for r in close)
+    seen = []
+    monkeypatch.setattr(patterns, "warped", lambda p, f=patterns.warped: (seen.append(p.count()), f(p))[1])
+    patterns.group_similarity(df, "c00", 5)
+    assert seen[0] == 5 * 6 and seen[1] < 24 * 6

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.ma import by_time, golden_cross, ordered
+from barline.operators import blocks
 from barline.operators.returns import as_of, five_points, forward_returns
 from barline.operators.stages import calendar_islands
 
@@ -23,6 +25,21 @@ def matching_bars(sums: DataFrame, predicate: Column | Callable[[], Column], arr
     return sums.withColumn("_hit", hit).where("_hit").drop("_hit")
 
 
+def python_matches(sums: DataFrame, predicate: Callable[[pd.DataFrame], bool], prefix: int, block: int = 4096) -> DataFrame:
+    """Bars for which a Python function is true of the `prefix` bars that end with it (fewer at a series' start), in order.
+
+    Blocks of bars, each with the bars before it, are the groups, so a function sees what it asks for and no task holds a series. Expressions need none of this.
+    """
+    rows = blocks.around(sums.withColumn("block", F.expr(f"n div {block}")), prefix - 1, 0, block)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("n", ignore_index=True)
+        hit = [i for i in range(len(group)) if group["own"].iat[i] and predicate(group.iloc[max(0, i - prefix + 1) : i + 1])]
+        return group.iloc[hit]
+
+    return rows.groupBy("code", "block").applyInPandas(run, rows.schema).select(*sums.columns)
+
+
 def matching_intervals(sums: DataFrame, index: DataFrame, predicate: Column | Callable[[], Column] | None = None, arranged: bool = True, extend: int = 3, min_days: int = 1, after: int = 30, older: bool = False) -> DataFrame:
     """Runs of matching bars at most a day apart, one row each: code, k (place in the code's time order), start, end, the days from `extend` before to `extend` after with
     their number of bars, the number of bars in the `after` days that follow, the mean return of the next 5 bars (0 without any), and the index's

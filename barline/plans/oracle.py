@@ -164,4 +164,5 @@ _TWENTY = TABLES["recent"].replace("30 - back", "20 - back").replace("back <= 30
 ORACLE_SQL["stage_last_bars"] = sql("SELECT code, " + ", ".join(f"{v} AS {k}" for k, v in _LAST.items()) + " FROM lagged WHERE back = 1", tables=changed("lagged", {"staged": _STAGED}, lagged=TABLES["lagged"].replace(" FROM sums ", " FROM staged ")))
 ORACLE_SQL["screen_two_spans"] = sql("SELECT * FROM current", tables=changed("found2", {"recent20": _TWENTY}, found2=TABLES["found2"].replace("recent ", "recent20 "), ends=TABLES["ends"].replace("hi = 29", "hi = 19")))
 ORACLE_SQL["stage_features11"] = "SELECT code, stage, lo, hi, " + ", ".join(f"f{i if i < 6 else i + 6} AS f{i}" for i in range(11)) + f" FROM ({ORACLE_SQL['stage_features']})"
+ORACLE_SQL["golden_cross_function"] = f"SELECT code, ts FROM ({ORACLE_SQL['crosses']}) WHERE golden"
 ORACLE_SQL["same_stage_close"] = f"SELECT * FROM ({ORACLE_SQL['same_stage_cosine']}) WHERE similarity >= 0.8"

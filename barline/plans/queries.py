@@ -141,6 +141,13 @@ def golden_cross_default(spark, sf_dir):
     return golden.matching_bars(_sums(spark, sf_dir), golden_cross(4, 12)).select("code", "ts", "close")
 
 
+@_query
+def golden_cross_function(spark, sf_dir):
+    """Bars at which a Python function of two bars finds a cross of 4 above 12."""
+    crossed = lambda bars: len(bars) == 2 and bars["s4"].iat[0] * 12 <= bars["s12"].iat[0] * 4 and bars["s4"].iat[1] * 12 > bars["s12"].iat[1] * 4
+    return golden.python_matches(_sums(spark, sf_dir).select("code", "ts", "n", "s4", "s12"), crossed, 2).select("code", "ts")
+
+
 @_query
 def golden_cross_older_intervals(spark, sf_dir):
     """The older search whole: plain crosses of 4 above 20 with the index around and after, later bars, and the mean of all returns that have any."""

@@ -220,3 +220,19 @@ def test_only_what_may_be_among_the_first_is_warped(spark, monkeypatch):
     monkeypatch.setattr(patterns, "warped", lambda p, f=patterns.warped: (seen.append(p.count()), f(p))[1])
     patterns.group_similarity(df, "c00", 5)
     assert seen[0] == 5 * 6 and seen[1] < 24 * 6
+
+
+def test_function_of_a_prefix(spark):
+    """A Python function sees the bars that it asks for, across blocks, and no others."""
+    df, rows = bars_of(spark, {"a": 70, "b": 3}, 2)
+    numbered = patterns.blocks.numbered(df).drop("block")
+    for block in (4, 4096):
+        got = golden.python_matches(numbered, lambda p: len(p) == 6 and p["close"].iat[-1] == p["close"].max(), 6, block)
+        c = [r[5] for r in rows if r[0] == "a"]
+        assert sorted((r.code, r.n) for r in got.collect()) == [("a", i) for i in range(5, 70) if c[i] == max(c[i - 5 : i + 1])]
+    whole = golden.python_matches(numbered, lambda p: len(p) < 3, 3)
+    assert sorted((r.code, r.n) for r in whole.collect()) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    crossed = lambda p: len(p) == 2 and p["s4"].iat[0] * 12 <= p["s12"].iat[0] * 4 and p["s4"].iat[1] * 12 > p["s12"].iat[1] * 4
+    sums = stages.rolling_sums(df)
+    plain = golden.matching_bars(sums, golden.golden_cross(4, 12), arranged=False, filtered=False)
+    assert sorted(r.ts for r in golden.python_matches(sums, crossed, 2, 8).collect()) == sorted(r.ts for r in plain.collect())

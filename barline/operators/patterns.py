@@ -9,6 +9,7 @@ from barline.functions import scalars, warping
 from barline.functions.ma import PERIODS, s
 from barline.operators import blocks
 from barline.sources.bars import BASE
+from barline.sources.store import cut
 
 CROSS_PAIRS = tuple((p, q) for i, p in enumerate(PERIODS) for q in PERIODS[i + 1 :])
 
@@ -192,17 +193,18 @@ def group_similarity(rows: DataFrame, code: str, top: int = 20, weights: dict[st
     lines = rows.select("code", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"m{k}").alias("a")) for k in PERIODS])).alias("line")).select("code", "line.*")
     target = lines.where(F.col("code") == code).select("k", F.col("a").alias("b"))  # six rows
     pairs = pair_metrics(lines.join(F.broadcast(target), "k"), "code", "k")
-    crossed = crossover_similarity(rows, code, crosses, golden, resampled)
+    pairs = pairs.join(crossover_similarity(rows, code, crosses, golden, resampled), "code")
     share = weights.get("dtw", 0.0)
     rest = sum((F.col(n) * w for n, w in weights.items() if n != "dtw"), F.lit(0.0))
 
     def scores(df: DataFrame, dtw: Column) -> DataFrame:
         """code and similarity of lines, by their warping similarity or a bound of it."""
-        mean = df.groupBy("code").agg((F.sum(rest + share * dtw) / len(PERIODS)).alias("lines"))
-        return mean.join(crossed, "code").select("code", F.round(groups["lines"] * F.col("lines") + groups["crossover"] * F.col("crossover"), 6).alias("similarity"))
+        mean = df.groupBy("code").agg((F.sum(rest + share * dtw) / len(PERIODS)).alias("lines"), F.first("crossover").alias("crossover"))
+        return mean.select("code", F.round(groups["lines"] * F.col("lines") + groups["crossover"] * F.col("crossover"), 6).alias("similarity"))
 
     if not share:
         return scores(pairs, F.lit(0.0)).orderBy(F.desc("similarity"), "code").limit(top)
+    pairs = cut(pairs)  # six rows a code, which three branches read
     bounds = scores(pairs, _near_warp(least_warp(F.col("a"), F.col("b"))))
     exact = lambda codes: scores(warped(pairs.join(codes.select("code"), "code", "left_semi")), F.col("dtw"))
     first = exact(bounds.orderBy(F.desc("similarity"), "code").limit(top))

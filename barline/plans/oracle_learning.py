@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barline.operators.learning import SMOOTH
+from barline.operators.learning import SMOOTH, readable
+from barline.operators.symbolic import STILL
 from barline.plans import oracle
-from barline.plans.queries import FEATURES
+from barline.plans.queries import FEATURES, POPULATION
 
 _KEY = "concat_ws('|', code, stage, lo, hi)"
 _PART = f"CASE WHEN CAST('0x' || substr(md5(concat_ws('|', code, stage, lo, '42')), 1, 7) AS BIGINT) < CAST(floor(0.7 * 268435456) AS BIGINT) THEN 'train' ELSE 'test' END"
@@ -27,7 +28,33 @@ _TABLES = oracle.changed(
     "votes": "SELECT key, avg(up) AS up, avg(CAST(up > 0.5 AS INTEGER)) AS share FROM told GROUP BY key",
 }
 
+_BARS = oracle.TABLES | {
+    "cells": "SELECT code, ts, n, close, " + ", ".join(f"coalesce(CAST({oracle.LAST_CELLS[c]} AS DOUBLE), 0.0) AS {c}" for c in FEATURES) + " FROM lagged",
+    "ahead": f"SELECT *, CAST(lead(close, 5) OVER (PARTITION BY code ORDER BY ts) AS DOUBLE) / close - 1 AS ahead, {_PART.replace('stage, lo', 'ts')} AS part FROM cells",
+}
+
+
+def formula(tree: tuple | str | float) -> str:
+    """An expression tree as SQL."""
+    if not isinstance(tree, tuple):
+        return tree if isinstance(tree, str) else f"CAST({tree!r} AS DOUBLE)"
+    name, (a, *b) = tree[0], [formula(x) for x in tree[1:]]
+    return {
+        "add": "({a} + {b})", "sub": "({a} - {b})", "mul": "({a} * {b})", "div": "CASE WHEN abs({b}) > 0.001 THEN {a} / {b} ELSE 1.0 END", "max": "greatest({a}, {b})", "min": "least({a}, {b})",
+        "neg": "(-{a})", "abs": "abs({a})", "sqrt": "sqrt(abs({a}))", "log": "CASE WHEN abs({a}) > 0.001 THEN ln(abs({a})) ELSE 0.0 END",
+    }[name].format(a=a, b=b[0] if b else "")
+
+
+def _scored(place: int, tree: tuple | str | float) -> str:
+    moments = f"stddev_pop(x) > {STILL!r} * max(abs(x))"
+    return f"SELECT {place} AS place, '{readable(tree)}' AS feature, CASE WHEN {moments} THEN abs(covar_pop(x, ahead) / (stddev_pop(x) * stddev_pop(ahead))) ELSE 0.0 END AS fitness FROM (SELECT {formula(tree)} AS x, ahead FROM train)"
+
+
 ORACLE_SQL = {
+    "symbolic_fitness": oracle.sql(
+        "SELECT CAST(place AS INTEGER) AS place, feature, round(fitness, 6) AS fitness FROM (" + " UNION ALL ".join(_scored(i, t) for i, t in enumerate(POPULATION)) + ")",
+        tables=_BARS | {"train": "SELECT * FROM ahead WHERE ahead IS NOT NULL AND part = 'train'"},
+    ),
     "segments_with_probabilities": oracle.sql(
         "SELECT own AS code, stage, lo, hi, duration_type, CASE WHEN up IS NULL OR part = 'train' THEN 0 ELSE 2 END AS classes, round(CASE WHEN up IS NULL OR part = 'train' THEN 0.0 ELSE up END, 4) AS class2 FROM parted LEFT JOIN votes USING (key)",
         tables=_TABLES,

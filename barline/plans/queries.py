@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.ma import PERIODS, by_time, death_cross, falls_below, golden_cross, ordered
-from barline.operators import blocks, golden, history, indicators, learning, patterns, returns, screen, search, stages, verdicts
+from barline.operators import blocks, golden, history, indicators, learning, patterns, returns, screen, search, stages, symbolic, verdicts
 from barline.sources import bars as sources
+from barline.sources.store import cut
 
 CODE, LO = "Brand#11", 60  # the pattern and target series of the search queries
 QUERIES = {}
@@ -421,6 +424,34 @@ def tree_features(spark, sf_dir):
     return rows.select("code", F.round(learning.expression(TREE), 4).alias("value"), "part")
 
 
+def _ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of every bar that has five bars behind it, `ahead`, the change of the close up to the fifth, and the part of the split that it is in."""
+    sums = _sums(spark, sf_dir)
+    later = sums.select("code", "ts", (F.lead("close", 5).over(by_time()) / F.nullif("close", F.lit(0)) - 1).alias("ahead"))
+    return learning.split(screen.bar_features(sums).join(later, ["code", "ts"]).where("ahead is not null"), "code", "ts")
+
+
+#: The first generation of the scored trees, by its seed.
+POPULATION = symbolic.first(random.Random(7), FEATURES, list(symbolic.FUNCTIONS), 40, 3)
+
+
+@_query
+def symbolic_fitness(spark, sf_dir):
+    """How far each tree of a first generation goes with the next five bars' change, over the training part."""
+    rows = _ahead(spark, sf_dir).where("part = 'train'")
+    found = symbolic.fitness(symbolic.numbers(rows, FEATURES, "ahead"), POPULATION)
+    return spark.createDataFrame([(i, learning.readable(t), round(r, 6)) for i, (t, r) in enumerate(zip(POPULATION, found, strict=True))], "place int, feature string, fitness double")
+
+
+@_query
+def symbolic_features(spark, sf_dir):
+    """Features bred from the training part, with the size of their correlation there and in the test part."""
+    rows = cut(_ahead(spark, sf_dir).select(*FEATURES, "ahead", "part"))
+    found = symbolic.search(rows.where("part = 'train'"), FEATURES, "ahead", generations=4, population=100, components=5, hall=30, tournament=10)
+    held = symbolic.fitness(symbolic.numbers(rows.where("part = 'test'"), FEATURES, "ahead"), [t for t, _ in found])
+    return spark.createDataFrame([(i, learning.readable(t), symbolic.size(t), r, h) for i, ((t, r), h) in enumerate(zip(found, held, strict=True), 1)], "rank int, feature string, nodes int, fitness double, held_out double")
+
+
 @_query
 def tumbling_windows(spark, sf_dir):
     return screen.tumbling(_sums(spark, sf_dir))

@@ -6,7 +6,10 @@ subtract-green, palette with bundled pixels). It gives an array of shape (height
 blue, alpha.
 
 A payload is stored as grey images 576 samples wide: under a palette where at most 16 byte values occur, else with
-subtract-green, so that the code for green carries a pixel either way. Copies are only runs of one sample. For such streams the decoder looks the code up at every bit position at once and then only follows the
+subtract-green, so that the code for green carries a pixel either way; a predictor is added where the file gets shorter by
+it. Passages that stand earlier in the image become back-references where these are shorter. A colour cache holds no pixel
+that a grey image's code for green doesn't give as shortly, and cross-colour has nothing to take from constant channels, so
+streams have neither. For such streams the decoder looks the code up at every bit position at once and then only follows the
 chain of lengths; any other stream goes pixel by pixel.
 """
 
@@ -40,6 +43,11 @@ HASH, LITERALS, LENGTHS, DISTANCES = 0x1E35A7BD, 256, 24, 40
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 SIDE = 576  # samples in a row of a stored payload
 TALLEST = 16_383  # rows of one image; longer payloads take several images
+GRAM = 8  # samples that a copy must share with what it copies
+SHORTEST = 12  # samples of a copy
+COPY_BITS = 40  # bits of a copy's codes, and what it must save beyond them to be worth its time
+BLOCK = (1 << 20) - len(NEAR)  # samples of which one may copy another; the format's largest distance
+PREDICTOR_BITS = 400  # of a predictor's table and its codes
 _CHUNK = 1 << 16
 
 
@@ -165,22 +173,35 @@ def _green_only(r: Reader, width: int, total: int, codes: list[Code]) -> np.ndar
         part = part[:-2] | part[1:-1] << 8 | part[2:] << 16
         index = ((part[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(green.mask)).ravel()
         lengths = literal[index].tobytes() + bytes(16)
-        place, end = r.at - first * 8, len(index)
+        place, end, start = r.at - first * 8, len(index), done
         places: list[int] = []
+        copies: list[tuple[int, int, int]] = []
         add = places.append
-        for _ in repeat(None, total - done):
-            step = lengths[place]
-            if not step:
-                break
-            add(place)
-            place += step
-        out[done : done + len(places)] = green.symbol[index[places]]
-        done += len(places)
+        while done < total and place < end:
+            before = len(places)
+            for _ in repeat(None, total - done):
+                step = lengths[place]
+                if not step:
+                    break
+                add(place)
+                place += step
+            done += len(places) - before
+            if done < total and place < end:
+                r.at = first * 8 + place
+                n = r.value(r.symbol(green) - LITERALS)
+                copies.append((done, n, r.distance(codes[4], width)))
+                done += n
+                place = r.at - first * 8
         r.at = first * 8 + place
-        if done < total and place < end:
-            n = r.value(r.symbol(green) - LITERALS)
-            _copy(out, done, r.distance(codes[4], width), n)
-            done += n
+        if done > total:
+            raise ValueError("a back-reference leaves the image")
+        # Literals don't depend on copies, so they are set first; copies follow in order.
+        literals = np.ones(done - start, bool)
+        for at, n, _ in copies:
+            literals[at - start : at - start + n] = False
+        out[start:done][literals] = green.symbol[index[places]]
+        for at, n, distance in copies:
+            _copy(out, at, distance, n)
     red, blue, alpha = others
     return np.uint32(alpha << 24 | red << 16 | blue) | out << 8
 
@@ -474,33 +495,71 @@ def spelled(lengths: np.ndarray) -> list[str]:
     return [f"{c:0{n}b}"[::-1] if n else "" for c, n in zip(code.tolist(), lengths.tolist(), strict=True)]
 
 
-class Coder:
-    """Writes many symbols of one code at once."""
+def _runs(argb: np.ndarray) -> list[tuple[int, int, int]]:
+    """Runs of a pixel as copies (place, length, distance 1)."""
+    edges = np.concatenate(([0], np.flatnonzero(argb[1:] != argb[:-1]) + 1, [len(argb)]))
+    long = np.flatnonzero(np.diff(edges) > 8)
+    return [(int(a) + 1, int(b - a) - 1, 1) for a, b in zip(edges[long], edges[long + 1], strict=True)]
+
+
+def _price(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol at its share; those that don't occur have none."""
+    return np.where(counts, np.log2(np.maximum(1, counts.sum()) / np.maximum(1, counts)), 0.0)
 
-    def __init__(self, lengths: np.ndarray):
-        code, self.bits = codes_of(lengths)
-        self.table = ((code[:, None] >> np.arange(self.bits)) & 1).astype(np.uint8)
-        self.keep = np.arange(self.bits)[None] < lengths[:, None]
 
-    def __call__(self, values: np.ndarray) -> np.ndarray:
-        return self.table[values][self.keep[values]]
+def copies_of(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """Copies (place, length, distance) of what stands earlier in the samples, where they are shorter than the samples' own codes.
+
+    Each place's last earlier place with the same GRAM samples is found by sorting; neighbouring places at one distance make a copy. Taken
+    from left to right, each copy loses what one before it has covered. Distances stay in a block of BLOCK samples, which bounds memory and
+    is what the format can name.
+    """
+    saved = np.concatenate(([0.0], np.cumsum(_price(np.bincount(samples, minlength=256))[samples])))
+    found, last = [], 0
+    for base in range(0, len(samples), BLOCK):
+        block = np.ascontiguousarray(samples[base : base + BLOCK])
+        if len(block) <= GRAM:
+            continue
+        grams = np.ndarray((len(block) - GRAM + 1,), "<u8", block, 0, (1,)).copy()
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        again = np.flatnonzero(grams[1:] == grams[:-1])
+        distance = np.zeros(len(order) + 1, np.int64)
+        distance[order[again + 1]] = order[again + 1] - order[again]
+        edges = np.concatenate(([0], np.flatnonzero(distance[1:] != distance[:-1]) + 1))
+        lengths = np.diff(edges, append=len(distance)) + GRAM - 1
+        kept = np.flatnonzero((distance[edges] > 0) & (lengths >= SHORTEST))
+        starts, lengths, far = edges[kept], lengths[kept], distance[edges[kept]]
+        for at, end, d in zip((starts + base).tolist(), (starts + lengths + base).tolist(), far.tolist(), strict=True):
+            at = max(at, last)
+            if end - at >= SHORTEST and saved[end] - saved[at] > COPY_BITS + d.bit_length() + (end - at).bit_length():
+                found.append((at, end - at, d))
+                last = end
+    return found
+
+
+@lru_cache(maxsize=64)
+def _near(width: int) -> dict[int, int]:
+    """Distances that have a near code in images of a width, each with its lowest."""
+    out: dict[int, int] = {}
+    for i, (x, y) in enumerate(NEAR, 1):
+        out.setdefault(max(1, x + y * width), i)
+    return out
 
 
-def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0) -> None:
-    """One entropy-coded image. Runs of a pixel become back-references; with a cache, pixels found there become cache symbols."""
+def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None) -> None:
+    """One entropy-coded image with the given copies, or with runs of a pixel as such. With a cache, pixels found there become cache symbols."""
     w.put(int(cache_bits > 0), 1)
     if cache_bits:
         w.put(cache_bits, 4)
     if main:
         w.put(0, 1)
     n = len(argb)
-    edges = np.concatenate(([0], np.flatnonzero(argb[1:] != argb[:-1]) + 1, [n]))
-    long = np.flatnonzero(np.diff(edges) > 8)
-    copies = [(int(a) + 1, min(int(b), int(a) + 1 + i + 4096) - int(a) - 1 - i, int(a) + 1 + i) for a, b in zip(edges[long], edges[long + 1], strict=True) for i in range(0, int(b - a) - 1, 4096)]
+    copies = [(at + i, min(length - i, 4096), d) for at, length, d in (_runs(argb) if copies is None else copies) for i in range(0, length, 4096)]
     symbols = ((argb >> 8) & 255).astype(np.int64)
     cached = np.zeros(n, bool)
     taken = np.zeros(n, bool)
-    for _, length, at in copies:
+    for at, length, _ in copies:
         taken[at : at + length] = True
     if cache_bits:
         cache = [0] * (1 << cache_bits)
@@ -510,10 +569,10 @@ def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
                 cached[i], symbols[i] = True, LITERALS + LENGTHS + key
             cache[key] = pixel
     plain = ~taken & ~cached
-    numbers = [w.number(length) for _, length, _ in copies]
-    counts = np.bincount(np.concatenate((symbols[~taken], [LITERALS + s for s, _, _ in numbers])).astype(np.int64), minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0))
-    near = NEAR.index((1, 0)) + 1 if width > 1 else NEAR.index((0, 1)) + 1
-    distance = w.number(near)
+    near = _near(width)
+    numbers = np.array([w.number(length) for _, length, _ in copies], np.int64).reshape(-1, 3).T
+    distances = np.array([w.number(near.get(d) or d + len(NEAR)) for _, _, d in copies], np.int64).reshape(-1, 3).T
+    counts = np.bincount(np.concatenate((symbols[~taken], LITERALS + numbers[0])), minlength=LITERALS + LENGTHS + (1 << cache_bits if cache_bits else 0))
     lengths = [w.code(lengths_of(counts, 12))]
     rest = argb & np.uint32(0xFFFF00FF)
     if (rest == rest[0]).all():
@@ -523,24 +582,27 @@ def _put_image(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
     else:
         channels = [((argb >> shift) & 255).astype(np.int64) for shift in (16, 0, 24)]
         lengths += [w.code(lengths_of(np.bincount(c[plain], minlength=256))) for c in channels]
-    w.put(5 | distance[0] << 3, 11)
-    green, at = Coder(lengths[0]), 0
-    names = [spelled(x) for x in lengths] if channels else []
-    near_bits = f"{distance[1]:0{distance[2]}b}"[::-1] if distance[2] else ""
-    for i, (_, length, start) in enumerate([*copies, (0, 0, n)]):
-        if not names:
-            w.parts.append(green(symbols[at:start]))
-        else:
-            for j in range(at, start):
-                w.parts.append(names[0][symbols[j]])
-                if plain[j]:
-                    w.parts += [name[c[j]] for name, c in zip(names[1:], channels, strict=True)]
-        if length:
-            s, value, extra = numbers[i]
-            w.parts.append(green(np.array([LITERALS + s])))
-            w.put(value, extra)
-            w.parts.append(near_bits)
-        at = start + length
+    far = w.code(lengths_of(np.bincount(distances[0], minlength=DISTANCES)))
+    # A token is a sample or a copy: its bits as one number, lowest first, of 59 bits at most.
+    heads = np.zeros(n, bool)
+    heads[[at for at, _, _ in copies]] = True
+    symbols[heads] = LITERALS + numbers[0]
+    tokens = np.flatnonzero(~taken | heads)
+    code = codes_of(lengths[0])[0]
+    bits, sizes = code[symbols[tokens]], lengths[0][symbols[tokens]]
+    if copies:
+        more, length = bits[heads[tokens]], sizes[heads[tokens]]
+        for value, size in ((numbers[1], numbers[2]), (codes_of(far)[0][distances[0]], far[distances[0]]), (distances[1], distances[2])):
+            more, length = more | value << length, length + size
+        bits[heads[tokens]], sizes[heads[tokens]] = more, length
+    if channels:
+        for own, c in zip(lengths[1:], channels, strict=True):
+            literal = plain[tokens]
+            value = c[tokens]
+            bits, sizes = np.where(literal, bits | codes_of(own)[0][value] << sizes, bits), np.where(literal, sizes + own[value], sizes)
+    ends = np.cumsum(sizes)
+    step = np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)
+    w.parts.append(((np.repeat(bits, sizes) >> step) & 1).astype(np.uint8))
 
 
 def _join(image: np.ndarray) -> np.ndarray:
@@ -603,8 +665,21 @@ def _file(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
+def _residual(samples: np.ndarray, mode: int) -> np.ndarray:
+    """What is left of grey samples by the predictor with the sample to the left (1) or above (2)."""
+    out = samples.copy()
+    out[0, 1:] -= samples[0, :-1]
+    out[1:, 0] -= samples[:-1, 0]
+    out[1:, 1:] -= samples[1:, :-1] if mode == 1 else samples[:-1, 1:]
+    return out
+
+
 def encode_grey(samples: np.ndarray) -> bytes:
-    """A lossless WebP file of (height, width) grey samples: under a palette where that bundles pixels, else with green taken from red and blue."""
+    """A lossless WebP file of (height, width) grey samples.
+
+    Under a palette where that bundles pixels, else with green taken from red and blue and, where its codes are shorter by more than its
+    table, a predictor: the sample to the left or above. Copies of earlier samples are taken where they are shorter than their codes.
+    """
     height, width = samples.shape
     seen = np.bincount(samples.ravel(), minlength=256) > 0
     values = np.flatnonzero(seen)
@@ -617,9 +692,20 @@ def encode_grey(samples: np.ndarray) -> bytes:
         argb, width = _join(image), image.shape[1]
     else:
         w.put(SUBTRACT_GREEN, 2)
-        argb = np.uint32(0xFF000000) | samples.ravel().astype(np.uint32) << 8
+        ways = {0: samples, 1: _residual(samples, 1), 2: _residual(samples, 2)}
+        bits = {}
+        for mode, left in ways.items():
+            counts = np.bincount(left.ravel(), minlength=256)
+            bits[mode] = float(counts @ _price(counts)) + (PREDICTOR_BITS if mode else 0)
+        mode = min(bits, key=bits.__getitem__)
+        if mode:
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(7, 3)  # blocks of 512 samples
+            _put_image(w, np.full((-(-height // 512)) * -(-width // 512), 0xFF000000 | mode << 8, np.uint32), -(-width // 512), False)
+        argb = np.uint32(0 if mode else 0xFF000000) | ways[mode].ravel().astype(np.uint32) << 8
     w.put(0, 1)
-    _put_image(w, argb, width, True)
+    _put_image(w, argb, width, True, 0, copies_of(((argb >> 8) & 255).astype(np.uint8)))
     return _file(w.bytes())
 
 

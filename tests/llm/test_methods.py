@@ -279,3 +279,60 @@ def test_webp_long_payload():
     payload = bytes(range(256)) * (9 * 20_000)
     images = webp.store(payload)
     assert len(images) > 1 and webp.load(images).tobytes() == payload
+
+
+def test_webp_copies_are_what_stands_earlier():
+    rng = np.random.default_rng(5)
+    passage = rng.integers(32, 127, 300).astype(np.uint8)
+    parts = [x for i in range(12) for x in (rng.integers(32, 127, int(rng.integers(1, 900))).astype(np.uint8), passage[: 300 - 20 * i])]
+    for samples in (np.concatenate(parts), np.zeros(5000, np.uint8), np.tile(passage[:9], 400), passage, passage[:5], rng.integers(0, 2, 6000).astype(np.uint8)):
+        found, last = webp.copies_of(samples), 0
+        for at, n, distance in found:
+            assert at >= max(last, distance) and n >= webp.SHORTEST and at + n <= len(samples)
+            assert all(samples[i] == samples[i - distance] for i in range(at, at + n))
+            last = at + n
+        whole = samples.tobytes() + b"\xff" * (-len(samples) % webp.SIDE)
+        assert webp.load(webp.store(whole)).tobytes() == whole
+    found = webp.copies_of(np.concatenate(parts))
+    assert sum(n for _, n, d in found if d > 1) > 0.9 * sum(300 - 20 * i for i in range(1, 12))
+
+
+def test_webp_copies_stay_in_a_block(monkeypatch):
+    monkeypatch.setattr(webp, "BLOCK", 1000)
+    samples = np.tile(np.random.default_rng(6).integers(0, 256, 700).astype(np.uint8), 6)
+    found = webp.copies_of(samples)
+    assert found and all(at // 1000 == (at - d) // 1000 for at, _, d in found)
+    whole = samples.tobytes() + b"\xff" * (-len(samples) % webp.SIDE)
+    assert webp.load(webp.store(whole)).tobytes() == whole
+
+
+def test_webp_streams_use_what_shrinks_them():
+    """Each way of a stored stream: transforms from its head, copies from the decoder."""
+    rng = np.random.default_rng(7)
+
+    def transforms(file):
+        r, found = webp.Reader(file[20:]), []
+        r.read(8 + 14 + 14 + 4)
+        while r.read(1):
+            found.append(r.read(2))
+            if found[-1] != webp.SUBTRACT_GREEN:
+                break
+        return found
+
+    noise = rng.integers(0, 256, (40, webp.SIDE)).astype(np.uint8)
+    ramp = np.cumsum(rng.integers(0, 3, (40, webp.SIDE)), 1).astype(np.uint8)
+    down = np.cumsum(rng.integers(0, 3, (400, webp.SIDE)), 0).astype(np.uint8)
+    few = rng.integers(0, 2, (40, webp.SIDE)).astype(np.uint8) * 200
+    wanted = ((noise, [webp.SUBTRACT_GREEN]), (ramp, [webp.SUBTRACT_GREEN, webp.PREDICTOR]), (down, [webp.SUBTRACT_GREEN, webp.PREDICTOR]), (few, [webp.PALETTE]))
+    for image, kinds in wanted:
+        file = webp.encode_grey(image)
+        assert transforms(file) == kinds and (webp.decode(file)[..., 1] == image).all()
+    assert len(webp.encode_grey(ramp)) < 0.5 * ramp.size and len(webp.encode_grey(np.concatenate((noise, noise)))) < 1.1 * len(webp.encode_grey(noise))
+
+
+def test_webp_documents_hold_copies():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    found = [webp.copies_of(np.frombuffer((t or "").encode(), np.uint8)) for t in texts]
+    assert sum(any(d > 1 for _, _, d in copies) for copies in found) > len(texts) // 10

@@ -21,7 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby, repeat
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +84,14 @@ class Code:
         return self._lists
 
 
+@lru_cache(maxsize=1024)
+def _simple(size: int, *symbols: int) -> Code:
+    """A code of one or two symbols."""
+    lengths = np.zeros(size, np.int64)
+    lengths[list(symbols)] = 1
+    return Code(lengths)
+
+
 class Reader:
     """Bits of a byte string, lowest first."""
 
@@ -105,14 +113,11 @@ class Reader:
         return symbols[i]
 
     def code(self, size: int) -> Code:
-        lengths = np.zeros(size, np.int64)
         if self.read(1):
             two, wide = self.read(1), self.read(1)
-            lengths[self.read(8 if wide else 1)] = 1
-            if two:
-                lengths[self.read(8)] = 1
-            return Code(lengths)
-        own = np.zeros(19, np.int64)
+            first = self.read(8 if wide else 1)
+            return _simple(size, first, self.read(8) if two else first)
+        lengths, own = np.zeros(size, np.int64), np.zeros(19, np.int64)
         for i in range(4 + self.read(4)):
             own[ORDER[i]] = self.read(3)
         code, left = Code(own), size
@@ -174,18 +179,19 @@ def _green_only(r: Reader, width: int, total: int, codes: list[Code]) -> np.ndar
         index = ((part[:, None] >> np.arange(8, dtype=np.uint32)) & np.uint32(green.mask)).ravel()
         lengths = literal[index].tobytes() + bytes(16)
         place, end, start = r.at - first * 8, len(index), done
-        places: list[int] = []
+        mark = bytearray(len(lengths))
         copies: list[tuple[int, int, int]] = []
-        add = places.append
         while done < total and place < end:
-            before = len(places)
-            for _ in repeat(None, total - done):
+            left = total - done
+            for taken in range(left):
                 step = lengths[place]
                 if not step:
                     break
-                add(place)
+                mark[place] = 1
                 place += step
-            done += len(places) - before
+            else:
+                taken = left
+            done += taken
             if done < total and place < end:
                 r.at = first * 8 + place
                 n = r.value(r.symbol(green) - LITERALS)
@@ -199,7 +205,7 @@ def _green_only(r: Reader, width: int, total: int, codes: list[Code]) -> np.ndar
         literals = np.ones(done - start, bool)
         for at, n, _ in copies:
             literals[at - start : at - start + n] = False
-        out[start:done][literals] = green.symbol[index[places]]
+        out[start:done][literals] = green.symbol[index[np.flatnonzero(np.frombuffer(mark, np.uint8))]]
         for at, n, distance in copies:
             _copy(out, at, distance, n)
     red, blue, alpha = others
@@ -373,7 +379,8 @@ def decode(file: bytes) -> np.ndarray:
         elif kind == CROSS_COLOUR:
             image = _cross(image, table, bits)
         elif kind == SUBTRACT_GREEN:
-            image[..., [0, 2]] = (image[..., [0, 2]] + image[..., 1:2]) & 255
+            for c in (0, 2):
+                image[..., c] = (image[..., c] + image[..., 1]) & 255
         else:
             step = 8 >> bits
             index = image[..., 1]
@@ -507,6 +514,12 @@ def _price(counts: np.ndarray) -> np.ndarray:
     return np.where(counts, np.log2(np.maximum(1, counts.sum()) / np.maximum(1, counts)), 0.0)
 
 
+def _entropy(counts: np.ndarray) -> float:
+    """Bits of all symbols at their shares."""
+    used = counts[counts > 0]
+    return float(used @ (np.log2(used.sum()) - np.log2(used)))
+
+
 def copies_of(samples: np.ndarray) -> list[tuple[int, int, int]]:
     """Copies (place, length, distance) of what stands earlier in the samples, where they are shorter than the samples' own codes.
 
@@ -695,8 +708,7 @@ def encode_grey(samples: np.ndarray) -> bytes:
         ways = {0: samples, 1: _residual(samples, 1), 2: _residual(samples, 2)}
         bits = {}
         for mode, left in ways.items():
-            counts = np.bincount(left.ravel(), minlength=256)
-            bits[mode] = float(counts @ _price(counts)) + (PREDICTOR_BITS if mode else 0)
+            bits[mode] = _entropy(np.bincount(left.ravel(), minlength=256)) + (PREDICTOR_BITS if mode else 0)
         mode = min(bits, key=bits.__getitem__)
         if mode:
             w.put(1, 1)

@@ -23,6 +23,11 @@ def in_block() -> WindowSpec:
     return Window.partitionBy("code", "block").orderBy("n")
 
 
+def _back(by: str, *keys: str) -> WindowSpec:
+    """From the last row to the first. What lies behind a row is read this way: a frame without a following bound is summed anew for each row, in time that grows with the square of the rows."""
+    return Window.partitionBy("code", *keys).orderBy(F.desc(by))
+
+
 def _bucket(bars: DataFrame, time: str) -> Column:
     """Years of days, days of timestamps: the resolution of the time bounds a bucket's bars."""
     return F.year(time) if isinstance(bars.schema[time].dataType, T.DateType) else F.datediff(F.col(time).cast("date"), F.lit("1970-01-01").cast("date"))
@@ -71,12 +76,13 @@ def runs(rows: DataFrame, flag: Column, last_before: dict[str, Column], next_aft
     only those rows are ordered by code.
     """
     number = F.col("n")
-    earlier, later, on = (in_block().rowsBetween(x, y) for x, y in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing), (0, Window.unboundedFollowing)))
+    start, back = Window.unboundedPreceding, _back("n", "block")
+    earlier, later, on = in_block().rowsBetween(start, -1), back.rowsBetween(start, -1), in_block().rowsBetween(0, Window.unboundedFollowing)
     conditions = {**last_before, **next_after, **next_from}
     marked = rows.select("code", "block", "n", flag.alias("_flag"), *[F.when(c, number).alias(f"_{k}") for k, c in conditions.items()], *[c.alias(k) for k, c in {**first, **last}.items()])
     marked = marked.withColumns({
         **{k: F.max(f"_{k}").over(earlier) for k in last_before}, **{k: F.min(f"_{k}").over(later) for k in next_after}, **{k: F.min(f"_{k}").over(on) for k in next_from},
-        "_island": F.when(F.col("_flag"), number - F.count_if("_flag").over(in_block().rowsBetween(Window.unboundedPreceding, 0))),
+        "_island": F.when(F.col("_flag"), number - F.count_if("_flag").over(in_block().rowsBetween(start, 0))),
     })
     at_a, at_b = (*last_before, *next_from, *first), (*next_after, *last)
     parts = marked.groupBy("code", "block", "_island").agg(
@@ -93,15 +99,15 @@ def runs(rows: DataFrame, flag: Column, last_before: dict[str, Column], next_aft
     blocks = blocks.withColumn("_tail", F.coalesce(F.try_element_at(F.filter("_parts", lambda p: p["b"] == F.col("_hi")), F.lit(1))["a"], F.lit(-1)))
     goes_on = (F.col("_tail") == F.col("_lo")) & F.coalesce(F.lag("_tail").over(along) >= 0, F.lit(False))
     blocks = blocks.withColumn("_opened", F.when(~goes_on, F.col("_tail")))
-    before, behind = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    before, behind = along.rowsBetween(start, -1), _back("block").rowsBetween(start, -1)
     blocks = blocks.withColumns({
         "_open": F.coalesce(F.last("_opened", ignorenulls=True).over(before), F.lit(-1)), "last_n": F.max("_hi").over(Window.partitionBy("code")),
         **{f"_c{k}": F.max(f"_{k}").over(before) if k in last_before else F.min(f"_{k}").over(behind) for k in conditions},
     })
     each = blocks.select("code", "last_n", "_open", "_lo", *[f"_c{k}" for k in conditions], F.inline("_parts"))
     carried = {k: F.coalesce(k, f"_c{k}") for k in conditions}
-    start = F.when((F.col("a") == F.col("_lo")) & (F.col("_open") >= 0), F.col("_open")).otherwise(F.col("a"))
-    each = each.withColumns({**carried, "_start": start})
+    opened = F.when((F.col("a") == F.col("_lo")) & (F.col("_open") >= 0), F.col("_open")).otherwise(F.col("a"))
+    each = each.withColumns({**carried, "_start": opened})
     found = each.groupBy("code", "_start").agg(F.max("b").alias("b"), F.max("last_n").alias("last_n"), *[F.min_by(k, "a").alias(k) for k in at_a], *[F.max_by(k, "b").alias(k) for k in at_b])
     return found.withColumnRenamed("_start", "a")
 

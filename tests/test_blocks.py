@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,3 +101,20 @@ def test_one_code_in_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(held) == 4 and max(held) < 0.5 * n
     assert sorted(map(tuple, blocks.stage_positions(bars, block=block).collect())) == sorted(map(tuple, stages.stage_positions(stages.rolling_sums(bars)).collect()))
+
+
+def long_block(spark, n=30_000):
+    """Bars of one code that fill one block: rises and falls, each some dozens of bars long."""
+    return spark.range(n).select(F.lit("x").alias("code"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (1_000_000 + F.abs(F.col("id") % 200 - 100) * 30 + (F.xxhash64("id") % 40)).alias("close"))
+
+
+def frames_summed_anew(df):
+    """Window frames that begin at a row and have no end: each of their rows costs all rows behind it."""
+    return re.findall(r"specifiedwindowframe\(RowFrame, (?!unboundedpreceding)[^)]*?, unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def test_bullish_runs_of_a_full_block(spark):
+    bars = long_block(spark)
+    found = blocks.bullish_runs(bars)
+    assert not frames_summed_anew(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, blocks.bullish_runs(bars, block=500).collect())) != []

@@ -77,7 +77,7 @@ def runs(rows: DataFrame, flag: Column, last_before: dict[str, Column], next_aft
     """
     number = F.col("n")
     start, back = Window.unboundedPreceding, _back("n", "block")
-    earlier, later, on = in_block().rowsBetween(start, -1), back.rowsBetween(start, -1), in_block().rowsBetween(0, Window.unboundedFollowing)
+    earlier, later, on = in_block().rowsBetween(start, -1), back.rowsBetween(start, -1), back.rowsBetween(start, 0)
     conditions = {**last_before, **next_after, **next_from}
     marked = rows.select("code", "block", "n", flag.alias("_flag"), *[F.when(c, number).alias(f"_{k}") for k, c in conditions.items()], *[c.alias(k) for k, c in {**first, **last}.items()])
     marked = marked.withColumns({

@@ -110,7 +110,7 @@ def long_block(spark, n=30_000):
 
 def frames_summed_anew(df):
     """Window frames that begin at a row and have no end: each of their rows costs all rows behind it."""
-    return re.findall(r"specifiedwindowframe\(RowFrame, (?!unboundedpreceding)[^)]*?, unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString())
+    return re.findall(r"specifiedwindowframe\(RowFrame, (?!unboundedpreceding)\S+, unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString())
 
 
 def test_bullish_runs_of_a_full_block(spark):
@@ -118,3 +118,11 @@ def test_bullish_runs_of_a_full_block(spark):
     found = blocks.bullish_runs(bars)
     assert not frames_summed_anew(found)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, blocks.bullish_runs(bars, block=500).collect())) != []
+
+
+def test_stages_of_a_full_block(spark):
+    bars = long_block(spark)
+    found = blocks.stage_positions(bars)
+    assert not frames_summed_anew(found)
+    rows = sorted(map(tuple, found.collect()))
+    assert rows == sorted(map(tuple, blocks.stage_positions(bars, block=500).collect())) and {r[1] for r in rows} >= {"stage1", "stage2", "all"}

@@ -27,7 +27,8 @@ from barline.llm._text import hashes, lower, mix, pieces
 ROWS, LEAST_BITS, MOST_BITS = 2, 16, 26  # rows of the sketch; binary logarithms of a row's counters
 BYTES = 16  # of text for each counter of a row
 BLOCK = 1 << 17  # counters that travel as one value
-PIECE = 1 << 22  # bytes of text that are worked on at once
+PIECE, SKETCH_PIECE = 1 << 21, 1 << 20  # bytes of text that are worked on at once; the first step also holds a sketch
+HASHED = (1 << 18) - 1  # bytes that are hashed at once; a hash takes dozens of bytes for each
 HOT = 1000  # a part is hot if more than one in HOT cuts have it
 SALTS = 8  # parts of the phrases of a language
 UNKNOWN = "und"
@@ -49,17 +50,27 @@ class Words:
         self.ends = np.flatnonzero(inside & (edge[1:] | ~np.concatenate((inside[1:], [False])))) + 1
         self.data, self.inside = data, inside
         self.row = np.searchsorted(offsets, self.starts, "right") - 1
-        breaks = np.cumsum(_BREAK[data])[self.starts]
+        breaks = np.cumsum(_BREAK[data], dtype=np.int32)[self.starts]
         joined = (breaks[1:] == breaks[:-1]) & (self.row[1:] == self.row[:-1])
         joined = np.concatenate((joined, np.zeros(longest, bool)))  # whether a word and the next lie in one phrase
         self.begins = [np.arange(len(self.starts))]
         for k in range(longest - 1):
             self.begins.append(self.begins[-1][joined[self.begins[-1] + k]])
 
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash of every word, made from as many words at once as lie in HASHED bytes, one at least."""
+        out, i, n = np.empty(len(self.starts), np.uint64), 0, len(self.starts)
+        while i < n:
+            low = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, low + HASHED, "right")))
+            out[i:j] = hashes(self.data[low : self.ends[j - 1]], self.starts[i:j] - low, self.ends[i:j] - low)
+            i = j
+        return out
+
     def phrase_hashes(self, language: np.ndarray) -> list[np.ndarray]:
         """A 64-bit hash of language and words of every phrase, by its length; equal phrases have equal hashes."""
         factor = np.uint64(0x9E3779B97F4A7C15)
-        word = hashes(self.data, self.starts, self.ends)
+        word = self.hashes()
         total, out = language[self.row] * factor + word, []
         for k, at in enumerate(self.begins):
             if k:
@@ -83,9 +94,9 @@ def _languages(batch: pa.RecordBatch, row: int, end: int) -> tuple[np.ndarray, p
     return cells.indices.to_numpy().astype(np.int64), names, hashes(np.concatenate(raw) if raw else np.zeros(0, np.uint8), ends[:-1], ends[1:])
 
 
-def _parts(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[Words, np.ndarray, pa.Array, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch], longest: int, size: int) -> Iterator[tuple[Words, np.ndarray, pa.Array, np.ndarray]]:
     for batch in batches:
-        for row, end, data, offsets in pieces(batch["text"], PIECE):
+        for row, end, data, offsets in pieces(batch["text"], size):
             number, names, hashed = _languages(batch, row, end)
             yield Words(data, offsets, longest), number, names, hashed
 
@@ -95,27 +106,54 @@ def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits * (row + 1)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
-def count(row: np.ndarray, at: np.ndarray, least: int) -> None:
-    """Adds every place to a row of the sketch; counters stop at `least`."""
+def _times(at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct places in order, and how often each occurs, `least` at most."""
     at = np.sort(at)
     first = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), at[1:] != at[:-1])))
-    times = np.minimum(np.diff(np.append(first, len(at))), least)
-    at = at[first]
-    row[at] = np.minimum(row[at].astype(np.int64) + times, least)
+    return at[first], np.minimum(np.diff(np.append(first, len(at))), least).astype(np.uint8)
+
+
+def count(row: np.ndarray, at: np.ndarray, least: int) -> None:
+    """Adds every place to a row of the sketch; counters stop at `least`."""
+    at, times = _times(at, least)
+    row[at] = np.minimum(row[at] + times, np.uint8(least))
+
+
+def count_packed(row: np.ndarray, at: np.ndarray, least: int) -> None:
+    """As `count`, in a row of half the bytes: each has a counter of the first half and one of the second. `least` is 15 at most."""
+    at, times = _times(at, least)
+    middle = int(np.searchsorted(at, len(row)))
+    have = row[low := at[:middle]]
+    row[low] = have & np.uint8(0xF0) | np.minimum((have & np.uint8(15)) + times[:middle], np.uint8(least))
+    have = row[high := at[middle:] - np.uint32(len(row))]
+    row[high] = have & np.uint8(15) | np.minimum((have >> np.uint8(4)) + times[middle:], np.uint8(least)) << np.uint8(4)
+
+
+def unpacked(row: np.ndarray, first: int, end: int) -> np.ndarray:
+    """Counters first .. end - 1 of such a row, one in a byte."""
+    n = len(row)
+    return np.concatenate((row[first:end] & np.uint8(15), row[max(first - n, 0) : max(end - n, 0)] >> np.uint8(4)))
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], bits: int, least: int, longest: int) -> Iterator[pa.RecordBatch]:
     """Step 1, in the task that reads the texts: its counters, block by block."""
-    held = np.zeros((ROWS, 1 << bits), np.uint8)
-    for words, number, _, hashed in _parts(batches, longest):
+    packed = least < 16
+    held, add = np.zeros((ROWS, 1 << bits >> packed), np.uint8), count_packed if packed else count
+    for words, number, _, hashed in _parts(batches, longest, SKETCH_PIECE):
         h = np.concatenate(words.phrase_hashes(hashed[number] if len(hashed) else np.zeros(len(number), np.uint64)))
         for k in range(ROWS):
-            count(held[k], cells(h, k, bits), least)
-    blocks, codec = held.reshape(-1, min(BLOCK, 1 << bits)), pa.Codec("zstd", 1)
-    for first in range(0, len(blocks), 16):
-        some = [i for i in range(first, min(first + 16, len(blocks))) if blocks[i].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([codec.compress(blocks[i], asbytes=True) for i in some], pa.binary())], names=["block", "counters"])
-    del held, blocks
+            add(held[k], cells(h, k, bits), least)
+    size, codec = min(BLOCK, 1 << bits), pa.Codec("zstd", 1)
+    for first in range(0, ROWS << bits, 16 * size):
+        places, counters = [], []
+        for i in range(first, min(first + 16 * size, ROWS << bits), size):
+            row, at = held[i >> bits], i & (1 << bits) - 1
+            own = unpacked(row, at, at + size) if packed else row[at : at + size]
+            if own.any():
+                places.append(i // size)
+                counters.append(codec.compress(own, asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(counters, pa.binary())], names=["block", "counters"])
+    del held, row, own
     tidy()
 
 
@@ -150,7 +188,7 @@ def survivors(rows: DataFrame, least: int, longest: int, most_bits: int = MOST_B
 def _exact(batches: Iterator[pa.RecordBatch], sketch: tuple[int, np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
     """Step 2: how often each surviving phrase occurs in a part of the text, and its number of words under size 0."""
     bits, reached = sketch
-    for words, number, names, hashed in _parts(batches, longest):
+    for words, number, names, hashed in _parts(batches, longest, PIECE):
         own = number[words.row]
         lang, size, phrase, times = [names], [np.zeros(len(names), np.int32)], [pa.array([""] * len(names), pa.large_string())], [np.bincount(own, minlength=len(names))]
         which, distinct = words.dictionary()

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -77,6 +78,52 @@ def test_counters_never_fall_short():
     assert merged["bits"].to_pylist() == [np.packbits([True, True, True]).tobytes()]
 
 
+@pytest.mark.parametrize("least", [1, 10, 15])
+def test_two_counters_in_a_byte(least):
+    rng = np.random.default_rng(2)
+    row, packed = np.zeros(64, np.uint8), np.zeros(32, np.uint8)
+    for n in (0, 1, 5, 40, 200, 5000):
+        at = rng.integers(0, 64, n).astype(np.uint32)
+        collocations.count(row, at, least)
+        collocations.count_packed(packed, at, least)
+        for first, end in ((0, 64), (0, 16), (16, 48), (32, 64), (48, 64)):
+            assert (collocations.unpacked(packed, first, end) == row[first:end]).all()
+
+
+def test_counters_of_a_byte(spark):
+    rows = rows_of(5, 600)
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    assert sorted(tuple(r) for r in collocations.collocations(docs, 16).collect()) == plain(rows, least=16) != []
+
+
+def test_hashes_of_words_in_parts(monkeypatch):
+    """Equal words have equal hashes, wherever they stand and however many are hashed at once."""
+    texts = [b"a bb a", b"", b" ccc" * 30, b"x" * 100, b"bb a"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = collocations.Words(data, offsets, 3).hashes()
+    for n in (1, 7, 64):
+        monkeypatch.setattr(collocations, "HASHED", n)
+        assert (collocations.Words(data, offsets, 3).hashes() == whole).all()
+    assert len(whole) == 36 and len(set(whole.tolist())) == 4
+
+
+@pytest.mark.parametrize("step", ["sketch", "exact"])
+def test_memory_of_a_task(step):
+    """Beside the text a task holds its sketch and what a part of the text needs, a few hundredths of an executor."""
+    rng = np.random.default_rng(3)
+    rows = [" ".join(f"w{i}" for i in rng.zipf(1.3, 20_000) % 10_000) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(rows)), pa.array(rows)], names=["lang", "text"])
+    assert batch.nbytes > 6_000_000
+    tracemalloc.start()
+    try:
+        out = collocations._sketch(iter([batch]), 22, 10, 3) if step == "sketch" else collocations._exact(iter([batch]), (22, np.full(collocations.ROWS << 22 >> 3, 255, np.uint8)), 3)
+        assert sum(x.num_rows for x in out)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < (50 if step == "sketch" else 160) * 1e6
+
+
 def test_sketch_thins_out(spark):
     """Of phrases that occur once nearly none survive."""
     rows = [("en", " ".join(f"w{i}x{j}" for j in range(200))) for i in range(200)]
